@@ -17,9 +17,11 @@ def report_document(positions: DataFrame, trades: DataFrame, cash: DataFrame,
     by the universe and by ``last_actions``.
     """
     held = positions.groupBy("account").agg(
-        F.round(F.sum("market_value"), 2).alias("market_value"),
+        F.sum(F.col("market_value").cast("decimal(30,8)")).cast("decimal(36,8)")
+        .alias("held_value"),
         F.array_sort(F.collect_list(F.struct("symbol", "shares", "locked_shares", "last_price",
-                                             "market_value", "weight"))).alias("positions"))
+                                             F.round("market_value", 2).alias("market_value"),
+                                             "weight"))).alias("positions"))
     actions = recent_actions(trades, last_actions).groupBy("account").agg(
         F.reverse(F.array_sort(F.collect_list(F.struct(
             "trade_date", "trade_id", "symbol", "side", "shares", "price", "gross",
@@ -30,11 +32,12 @@ def report_document(positions: DataFrame, trades: DataFrame, cash: DataFrame,
         row = row.join(state.select("account", "state"), "account", "left")
         notices = F.array_compact(F.array(F.when(
             F.col("state") != "ACTIVE", F.concat(F.lit("SIGNAL_STATE_"), "state"))))
-    value = F.coalesce("market_value", F.lit(0.0))
-    total = F.round(F.col("cash").cast("double") + value, 2)
+    value = F.coalesce("held_value", F.lit(0)).cast("decimal(36,8)")
+    total = F.round(F.col("cash").cast("decimal(36,8)") + value, 2)
     document = F.struct(
         F.col("account"),
-        F.struct(F.col("cash"), value.alias("market_value"), total.alias("total_assets"),
+        F.struct(F.col("cash"), F.round(value, 2).alias("market_value"),
+                 total.alias("total_assets"),
                  F.coalesce("positions", F.array()).alias("positions"),
                  F.coalesce("recent_actions", F.array()).alias("recent_actions"))
         .alias("portfolio"),

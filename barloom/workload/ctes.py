@@ -14,6 +14,16 @@ def symbol(k: str) -> str:
     return SYMBOL.format(k=k)
 
 
+def exact(x: str) -> str:
+    """A double as the decimal of its shortest text form, as Spark casts it."""
+    return f"cast(cast({x} as varchar) as decimal(30,8))"
+
+
+def half_up(x: str, places: int) -> str:
+    """A double rounded half up on its shortest text form, as Spark rounds it."""
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38,20)), {places}) as double)"
+
+
 CTES = {
     "kbars": f"""
 select l_suppkey % 5000 as k, cast(l_shipdate as date) as trade_date,
@@ -85,7 +95,8 @@ select m as market, s.* from (values ('SH'), ('SZ')) t(m), (values
 select * from (values ('main', 100, 0.10::double), ('gem', 100, 0.20::double),
   ('star', 100, 0.20::double)) t(board, lot_size, price_limit_pct)""",
     "trades": f"""
-select {SEQ} as trade_id, o_custkey as account, {symbol('(l_suppkey % 5000)')} as symbol,
+select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as trade_id,
+  o_custkey as account, {symbol('(l_suppkey % 5000)')} as symbol,
   cast(l_shipdate as date) as trade_date,
   case when l_returnflag = 'R' then 'sell' else 'buy' end as side,
   cast(l_quantity as bigint) * 100 as shares, l_extendedprice / l_quantity as price,
@@ -238,6 +249,40 @@ select *, (transient_before and before = 'FAILURE') as is_retry from (
   from request_log
   window w as (partition by api_name, request_id, "offset" order by sequence))"""
 
+CTES["rebalance_rows"] = f"""
+select coalesce(h.account, t.account) as account, coalesce(h.symbol, t.symbol) as symbol, h.shares,
+  t.rank from holdings h full join (
+    select o_custkey as account, {symbol('(l_suppkey % 5000)')} as symbol,
+      min(l_linenumber) as rank
+    from lineitem join (select o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k
+      as o_orderkey from orders group by 1) on l_orderkey = o_orderkey group by 1, 2) t
+  on t.account = h.account and t.symbol = h.symbol"""
+CTES["rebalance_sized"] = """
+select *, case reason when 'KEEP' then shares when 'REBALANCE_TRIM' then shares - move
+    when 'REBALANCE_TOPUP' then shares + move end as after
+from (select *, case reason when 'MODEL_EXIT' then shares
+    when 'REBALANCE_TRIM' then least(moved, shares)
+    when 'REBALANCE_TOPUP' then cast(floor(moved / 100) * 100 as bigint) end as move
+  from (select *, case when shares is not null and rank is null then 'MODEL_EXIT'
+      when shares is not null and price is null then 'KEEP'
+      when shares is not null and moved >= lot and drift < -0.02::double then 'REBALANCE_TRIM'
+      when shares is not null and moved >= lot and drift > 0.02::double then 'REBALANCE_TOPUP'
+      when shares is not null then 'KEEP'
+      when price is not null and lot is not null then 'MODEL_TOP_SCORE' else 'SKIP' end as reason
+    from (select *, cast(floor(abs(drift) * total / price) as bigint) as moved
+      from (select r.*, p.price, a.total, m.lot_size as lot,
+          0.2::double - r.shares * p.price / a.total as drift
+        from rebalance_rows r left join (select symbol, arg_max(close, trade_date) as price
+          from bars where trade_date <= date '2000-12-29' group by 1) p on p.symbol = r.symbol
+        join (select a.account, round(abs(cash)::double * 10 + coalesce(v, 0.0), 2) as total
+          from accounts a left join (select account, sum(shares * price) as v from holdings h
+            join (select symbol, arg_max(close, trade_date) as price from bars
+              where trade_date <= date '2000-12-29' group by 1) p on p.symbol = h.symbol
+            group by 1) h on h.account = a.account) a on a.account = r.account
+        left join market_rules m on m.board = case when r.symbol like '%.BJ' then 'unsupported'
+          when r.symbol like '688%' then 'star' when r.symbol like '300%' then 'gem'
+          else 'main' end))))"""
+
 
 def with_ctes(body: str) -> str:
     """``body`` behind a WITH clause holding exactly the tables it names."""

@@ -197,7 +197,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account"))
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey",
-        (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         .alias("trade_id"),
         symbol_of(F.col("l_suppkey") % INSTRUMENTS).alias("symbol"),
         F.col("l_shipdate").cast("date").alias("trade_date"),

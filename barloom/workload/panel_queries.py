@@ -9,6 +9,7 @@ from ..operators import calendars as C
 from ..operators import features as X
 from ..operators import ranking as R
 from . import fixtures as T
+from .ctes import half_up
 from .registry import query
 
 FEATURES_ROUNDED = ", ".join(f"round({n}, 6) as {n}" for n in X.FEATURE_NAMES)
@@ -67,15 +68,14 @@ def high_low_position(spark, sf):
 
 
 @query("feature_replay", f"""
-select symbol, trade_date, round(close / lag(close) over w - 1, 9) as close_return_1d,
-  round(volume / nullif(avg(volume) over w5, 0), 9) as volume_ratio_5d
+select symbol, trade_date,
+  {half_up('close / lag(close) over w - 1', 12)} as close_return_1d,
+  {half_up('volume / nullif(avg(volume) over w5, 0)', 12)} as volume_ratio_5d
 from bars where trade_date <= date '{T.AS_OF}'
 window w as (partition by symbol order by trade_date),
   w5 as (partition by symbol order by trade_date rows between 4 preceding and current row)""")
 def feature_replay(spark, sf):
-    # The operator rounds to 12 decimals, where the engines break ties in their own ways.
-    replay = X.feature_replay(T.bars(spark, sf), as_of=T.AS_OF, dataset_as_of=T.LAST_DAY)
-    return rounded(replay, "close_return_1d", "volume_ratio_5d", to=9)
+    return X.feature_replay(T.bars(spark, sf), as_of=T.AS_OF, dataset_as_of=T.LAST_DAY)
 
 
 @query("forward_labels", """

@@ -163,10 +163,21 @@ def member_count_anomalies(spark, sf):
 
 
 @query("silent_skips", """
-select symbol, count(*) as expected from classified group by 1
-having count(*) filter (class <> 'MISSING') = 0""")
+select symbol, count(*) as expected from classified
+where symbol in (select ts_code from securities where k % 10 = 9) group by 1
+having count(*) filter (trade_date = delisted_on) = 0
+union all select symbol, count(*) from classified group by 1
+having count(*) filter (class <> 'MISSING') = 0
+  and symbol not in (select ts_code from securities where k % 10 = 9)""")
 def silent_skips(spark, sf):
-    return V.silent_skips(_classified(spark, sf))
+    # A planted outage: one symbol in ten delivers no bars and no suspensions, and the
+    # delisting day is the only evidence it could leave.
+    out = T.instruments(spark, sf).where("k % 10 = 9").select(
+        T.symbol_of(F.col("k")).alias("symbol"))
+    bars = T.bars(spark, sf).join(out, "symbol", "left_anti")
+    stopped = T.suspensions(spark, sf).join(
+        out.withColumnRenamed("symbol", "ts_code"), "ts_code", "left_anti")
+    return V.silent_skips(V.coverage_classify(_expected(spark, sf), bars, stopped))
 
 
 @query("delisted_in_scope", f"""
@@ -283,7 +294,7 @@ def parse_trade_cal(spark, sf):
     return O.parse_trade_cal(T.raw_calendar(spark, sf), "SSE", *W)
 
 
-@query("parse_securities", f"""
+PARSED_SECURITIES = f"""
 select batch, ts_code, symbol, name, coalesce(area, '') as area, industry,
   coalesce(market, '') as market, list_date, delist_date, list_status,
   sha256(concat_ws('|', '=' || ts_code, '=' || symbol, '=' || name, coalesce('=' || area, '~'),
@@ -309,7 +320,10 @@ from (select *, count(*) filter (code is null) over (partition by batch, ts_code
         case when k % 19 <> 4 then list_date end as list_date,
         case when k % 23 = 9 then date '1990-01-01' else delist_date end as delist_date,
         case when k % 29 = 1 then 'X' else list_status end as list_status
-      from securities, (select 1 as copy union all select 2) where copy = 1 or k % 37 = 30)))""")
+      from securities, (select 1 as copy union all select 2) where copy = 1 or k % 37 = 30)))"""
+
+
+@query("parse_securities", PARSED_SECURITIES)
 def parse_securities(spark, sf):
     return O.parse_securities(T.raw_securities(spark, sf))
 
@@ -496,7 +510,13 @@ def source_identity(spark, sf):
     return L.source_identity(urls, T.OFFICIAL_HOST)
 
 
-@query("reconcile_batches", None)
+@query("reconcile_batches", f"""
+select *, raw_rows = accepted_rows + rejected_rows and symbols_in_two_batches = 0 as reconciles
+from (select batch, count(*) as raw_rows, count(*) filter (reason_code is null) as accepted_rows,
+    count(*) filter (reason_code = 'INVALID_VENDOR_TS_CODE') as rejected_rows,
+    count(*) filter (reason_code <> 'INVALID_VENDOR_TS_CODE') as failed_rows,
+    0::bigint as symbols_in_two_batches
+  from ({PARSED_SECURITIES}) group by 1)""")
 def reconcile_batches(spark, sf):
     return L.reconcile_batches(O.parse_securities(T.raw_securities(spark, sf)))
 
