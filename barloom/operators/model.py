@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -89,16 +90,22 @@ def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HOR
                       **settings) -> dict[int, PipelineModel]:
     """One boosted-tree regressor per horizon, on the rows whose label is usable."""
     params = {**MODEL_SETTINGS, "seed": SEED, **settings}
-    models = {}
-    for h in horizons:
-        label = f"label_{h}"
-        rows = training.where(F.col(label).isNotNull()).select(*FEATURE_NAMES, label)
-        if len(rows.take(MIN_TRAINING_ROWS)) < MIN_TRAINING_ROWS:
-            raise ValueError(f"horizon {h} has fewer than {MIN_TRAINING_ROWS} training rows")
-        stages = [VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features"),
-                  GBTRegressor(labelCol=label, **params)]
-        models[h] = Pipeline(stages=stages).fit(rows)
-    return models
+    assembler = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features")
+    labels = [f"label_{h}" for h in horizons]
+    # Every horizon and every boosting round reads the matrix again.
+    rows = assembler.transform(training).select("features", *labels).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        usable = rows.agg(*[F.count(c).alias(c) for c in labels]).first()
+        models = {}
+        for h, label in zip(horizons, labels):
+            if usable[label] < MIN_TRAINING_ROWS:
+                raise ValueError(f"horizon {h} has fewer than {MIN_TRAINING_ROWS} training rows")
+            trees = GBTRegressor(labelCol=label, **params).fit(rows.where(F.col(label).isNotNull()))
+            models[h] = PipelineModel([assembler, trees])
+        return models
+    finally:
+        rows.unpersist()
 
 
 def score_panel(features: DataFrame, models: Mapping[int, PipelineModel]) -> DataFrame:
