@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import largest_group, ordered_scan
+from ..plans import largest_group, ordered_scan, spread
 from .calendars import small
 
 FOREVER = "9999-12-31"
@@ -15,9 +15,10 @@ def _end(column: str):
     return F.coalesce(F.col(column), F.lit(FOREVER).cast("date"))
 
 
-def expected_member_days(memberships: DataFrame, lifecycles: DataFrame, open_days: DataFrame,
-                         window_start, window_end) -> DataFrame:
-    """Distinct (symbol, session) inside a membership and the listed life.
+def member_days(memberships: DataFrame, lifecycles: DataFrame, open_days: DataFrame,
+                window_start, window_end) -> DataFrame:
+    """(symbol, session) inside a membership and the listed life; a day that lies in two
+    memberships comes twice.
 
     The two closed intervals are intersected per membership and expanded to days; the
     sessions then filter by equality, so no range join is planned.
@@ -29,24 +30,37 @@ def expected_member_days(memberships: DataFrame, lifecycles: DataFrame, open_day
                 F.greatest("valid_from", "listed_on", first).alias("a"),
                 F.least(_end("valid_to"), _end("delisted_on"), last).alias("b"))
         .where("a <= b"))
-    days = spans.select("symbol", "delisted_on", F.explode(F.sequence("a", "b")).alias("trade_date"))
-    return (days.join(small(open_days.select("trade_date")), "trade_date", "left_semi")
-            .groupBy("symbol", "trade_date").agg(F.first("delisted_on").alias("delisted_on")))
+    days = spread(spans, "symbol").select(
+        "symbol", "delisted_on", F.explode(F.sequence("a", "b")).alias("trade_date"))
+    return days.join(small(open_days.select("trade_date")), "trade_date", "left_semi")
+
+
+def expected_member_days(memberships: DataFrame, lifecycles: DataFrame, open_days: DataFrame,
+                         window_start, window_end) -> DataFrame:
+    """Distinct expected member-days."""
+    return (member_days(memberships, lifecycles, open_days, window_start, window_end)
+            .groupBy("symbol", "trade_date").agg(F.max("delisted_on").alias("delisted_on")))
 
 
 def coverage_classify(expected: DataFrame, bars: DataFrame, suspensions: DataFrame) -> DataFrame:
     """BAR, else SUSPENDED (type S only), else EXPECTED_DELISTED, else MISSING.
 
-    Both kinds of evidence are unioned and reduced to one row per key before one join.
+    Expected days and both kinds of evidence are unioned and grouped by key: one
+    aggregation finds the best evidence and drops repeated days, with no join.
     """
-    evidence = (
-        bars.select("symbol", "trade_date", F.lit(2).alias("e"))
+    nothing = F.lit(None).cast("date")
+    rows = (
+        expected.select("symbol", "trade_date", "delisted_on", F.lit(True).alias("_wanted"),
+                        F.lit(0).alias("_e"))
+        .union(bars.select("symbol", "trade_date", nothing, F.lit(False), F.lit(2)))
         .union(suspensions.where("suspend_type = 'S'")
-               .select(F.col("ts_code").alias("symbol"), "trade_date", F.lit(1)))
-        .groupBy("symbol", "trade_date").agg(F.max("e").alias("e")))
-    return expected.join(evidence, ["symbol", "trade_date"], "left").select(
+               .select(F.col("ts_code"), "trade_date", nothing, F.lit(False), F.lit(1))))
+    best = rows.groupBy("symbol", "trade_date").agg(
+        F.max("delisted_on").alias("delisted_on"), F.max("_wanted").alias("_wanted"),
+        F.max("_e").alias("_e")).where("_wanted")
+    return best.select(
         "symbol", "trade_date", "delisted_on",
-        F.when(F.col("e") == 2, "BAR").when(F.col("e") == 1, "SUSPENDED")
+        F.when(F.col("_e") == 2, "BAR").when(F.col("_e") == 1, "SUSPENDED")
         .when(F.col("delisted_on") == F.col("trade_date"), "EXPECTED_DELISTED")
         .otherwise("MISSING").alias("class"))
 
@@ -84,20 +98,33 @@ def delisted_in_scope(classified: DataFrame, window_end) -> DataFrame:
             .where(F.col("delisted_on") <= F.lit(str(window_end)).cast("date")))
 
 
-def coverage_summary(classified: DataFrame, anomalies: DataFrame, open_days: DataFrame,
+def coverage_summary(classified: DataFrame, open_days: DataFrame, expected_members: int,
                      window_start, window_end) -> DataFrame:
-    """One row: the counts of the audit, whether it passed, and why not."""
+    """One row: the counts of the audit, whether it passed, and why not.
+
+    The classified days are grouped by symbol and by session in one pass; both groupings
+    combine on the map side.
+    """
     first, last = (F.lit(str(d)).cast("date") for d in (window_start, window_end))
-    symbols = per_symbol(classified).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_days")
-          for c in ("expected", "bar", "suspended", "delisted", "missing")],
-        F.count_if(F.col("expected") == F.col("missing")).alias("silent_symbols"))
-    days = open_days.where(F.col("trade_date").between(first, last)).agg(
-        F.countDistinct("trade_date").alias("sessions"))
-    odd = anomalies.agg(F.count("*").alias("anomalous_sessions"))
-    parts = symbols.unionByName(days, allowMissingColumns=True).unionByName(
-        odd, allowMissingColumns=True)
-    row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+    names = {"bar": "BAR", "suspended": "SUSPENDED", "delisted": "EXPECTED_DELISTED",
+             "missing": "MISSING"}
+    groups = classified.groupingSets(
+        [[F.col("symbol")], [F.col("trade_date")]], "symbol", "trade_date").agg(
+        F.count("*").alias("expected"),
+        *[F.count_if(F.col("class") == c).alias(n) for n, c in names.items()])
+    days = open_days.where(F.col("trade_date").between(first, last)).select(
+        "trade_date", F.lit(True).alias("_open"))
+    # A session without any member has no group, so the calendar is joined in full.
+    rows = groups.join(small(days), "trade_date", "full")
+    by_symbol = F.col("symbol").isNotNull()
+    sizes = [F.coalesce(F.sum(F.when(by_symbol, F.col(c))), F.lit(0)).alias(f"{c}_days")
+             for c in ("expected", *names)]
+    row = rows.agg(
+        *sizes, F.count_if(by_symbol & (F.col("expected") == F.col("missing")))
+        .alias("silent_symbols"),
+        F.count("_open").alias("sessions"),
+        F.count_if(F.col("_open") & (F.coalesce("expected", F.lit(0)) != expected_members))
+        .alias("anomalous_sessions"))
     codes = F.array_compact(F.array(
         F.when(F.col("missing_days") > 0, "MISSING_MEMBER_DAYS"),
         F.when(F.col("silent_symbols") > 0, "SILENT_MEMBER_SKIP"),
@@ -109,8 +136,9 @@ def audit_coverage(memberships: DataFrame, lifecycles: DataFrame, open_days: Dat
                    bars: DataFrame, suspensions: DataFrame, window_start, window_end,
                    expected_members: int) -> dict[str, DataFrame]:
     """The whole audit as tables: classified days, anomalies, skips, delistings, summary."""
+    wanted = member_days(memberships, lifecycles, open_days, window_start, window_end)
     expected = expected_member_days(memberships, lifecycles, open_days, window_start, window_end)
-    classified = coverage_classify(expected, bars, suspensions)
+    classified = coverage_classify(wanted, bars, suspensions)
     anomalies = member_count_anomalies(expected, open_days, expected_members, window_start,
                                        window_end)
     return {
@@ -118,7 +146,8 @@ def audit_coverage(memberships: DataFrame, lifecycles: DataFrame, open_days: Dat
         "member_count_anomalies": anomalies,
         "silent_skips": silent_skips(classified),
         "delisted_in_scope": delisted_in_scope(classified, window_end),
-        "summary": coverage_summary(classified, anomalies, open_days, window_start, window_end),
+        "summary": coverage_summary(classified, open_days, expected_members, window_start,
+                                    window_end),
     }
 
 

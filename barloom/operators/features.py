@@ -27,76 +27,93 @@ def _history():
     return Window.partitionBy("symbol").orderBy("trade_date")
 
 
-def _last(n: int):
-    return _history().rowsBetween(1 - n, 0)
-
-
-def _return(n: int) -> Column:
-    return F.col("close") / F.lag("close", n).over(_history()) - 1
-
-
-def _ratio_to_mean(column: str, n: int) -> Column:
-    mean = F.avg(column).over(_last(n))
-    return F.when(mean > 0, F.col(column) / mean).otherwise(1.0)
+def _windows() -> dict[str, Column]:
+    """Every window value the features need, once each: a repeated window expression is
+    evaluated again for every use."""
+    own = _history()
+    last_5, last_20 = own.rowsBetween(-4, 0), own.rowsBetween(-19, 0)
+    return {
+        **{f"_close_{n}": F.lag("close", n).over(own) for n in (1, 5, 10, 20)},
+        "_volume_5": F.avg("volume").over(last_5),
+        "_volume_20": F.avg("volume").over(last_20),
+        "_amount_mean": F.avg("amount").over(last_20),
+        "_amount_std": F.stddev_pop("amount").over(last_20),
+        "_high": F.max("high").over(last_20),
+        "_low": F.min("low").over(last_20),
+        "_seen": F.row_number().over(own),
+    }
 
 
-def _zscore(column: str, n: int) -> Column:
-    mean, std = F.avg(column).over(_last(n)), F.stddev_pop(column).over(_last(n))
-    return F.when(std > 0, (F.col(column) - mean) / std).otherwise(0.0)
+def _features() -> dict[str, Column]:
+    """The features from the window values."""
+    c = F.col
+    span = c("_high") - c("_low")
+    ratio = {n: F.when(c(f"_volume_{n}") > 0, c("volume") / c(f"_volume_{n}")).otherwise(1.0)
+             for n in (5, 20)}
+    return {
+        **{f"ret_{n}d": c("close") / c(f"_close_{n}") - 1 for n in (1, 5, 10, 20)},
+        "vol_ratio_5d": ratio[5],
+        "vol_ratio_20d": ratio[20],
+        "amount_z_20d": F.when(c("_amount_std") > 0, (c("amount") - c("_amount_mean"))
+                               / c("_amount_std")).otherwise(0.0),
+        "close_to_high_20d": c("close") / c("_high"),
+        "range_position_20d": F.when(c("_high") > c("_low"), (c("close") - c("_low")) / span)
+        .otherwise(0.5),
+    }
 
 
-def _range_position(n: int) -> Column:
-    high, low = F.max("high").over(_last(n)), F.min("low").over(_last(n))
-    return F.when(high > low, (F.col("close") - low) / (high - low)).otherwise(0.5)
+def with_windows(bars: DataFrame, **more: Column) -> DataFrame:
+    """Bars with the window values, and any further columns over the same windows."""
+    return bars.select("*", *[w.alias(n) for n, w in {**_windows(), **more}.items()])
 
 
-def feature_columns() -> dict[str, Column]:
-    return {
-        "ret_1d": _return(1), "ret_5d": _return(5), "ret_10d": _return(10),
-        "ret_20d": _return(20),
-        "vol_ratio_5d": _ratio_to_mean("volume", 5),
-        "vol_ratio_20d": _ratio_to_mean("volume", 20),
-        "amount_z_20d": _zscore("amount", 20),
-        "close_to_high_20d": F.col("close") / F.max("high").over(_last(20)),
-        "range_position_20d": _range_position(20),
-    }
+def features_of(windowed: DataFrame, *more: str, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
+    """Features of rows that carry the window values; unused windows are pruned."""
+    every = _features()
+    return windowed.select("symbol", "trade_date", *[every[n].alias(n) for n in names], *more)
 
 
 def with_columns(bars: DataFrame, names: Sequence[str]) -> DataFrame:
     """Chosen features on every bar; null returns where history is too short."""
-    every = feature_columns()
-    return bars.select("symbol", "trade_date", *[every[n].alias(n) for n in names])
+    return features_of(with_windows(bars), names=names)
 
 
 def feature_panel(bars: DataFrame, as_of=None, dataset_as_of=None) -> DataFrame:
     """The nine features for every bar with a full history behind it."""
     if as_of is not None:
         bars = cut(bars, as_of, dataset_as_of)
-    seen = F.row_number().over(_history()).alias("_seen")
-    return (bars.select("symbol", "trade_date",
-                        *[c.alias(n) for n, c in feature_columns().items()], seen)
-            .where(F.col("_seen") >= MIN_OBSERVATIONS).drop("_seen"))
+    return features_of(with_windows(bars).where(F.col("_seen") >= MIN_OBSERVATIONS))
 
 
 def feature_replay(bars: DataFrame, as_of=None, dataset_as_of=None) -> DataFrame:
     """One-day return and volume against the mean of up to five rows, 12 decimals."""
     if as_of is not None:
         bars = cut(bars, as_of, dataset_as_of)
-    mean = F.avg("volume").over(_last(5))
-    return bars.select(
-        "symbol", "trade_date", F.round(_return(1), 12).alias("close_return_1d"),
-        F.round(F.when(mean != 0, F.col("volume") / mean), 12).alias("volume_ratio_5d"))
+    own = _history()
+    rows = bars.select("symbol", "trade_date", "close", "volume",
+                       F.lag("close").over(own).alias("_before"),
+                       F.avg("volume").over(own.rowsBetween(-4, 0)).alias("_mean"))
+    return rows.select(
+        "symbol", "trade_date",
+        F.round(F.col("close") / F.col("_before") - 1, 12).alias("close_return_1d"),
+        F.round(F.when(F.col("_mean") != 0, F.col("volume") / F.col("_mean")), 12)
+        .alias("volume_ratio_5d"))
 
 
 def forward_labels(bars: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS) -> DataFrame:
     """Return to the h-th next bar of the same symbol and the date it ends, per horizon."""
     if any(h < 1 for h in horizons):
         raise ValueError("label horizon must be positive")
-    columns = []
+    return bars.select("symbol", "trade_date",
+                       *[c.alias(n) for n, c in label_columns(horizons).items()])
+
+
+def label_columns(horizons: Sequence[int]) -> dict[str, Column]:
+    own, columns = _history(), {}
     for h in horizons:
-        columns += [(F.lead("close", h).over(_history()) / F.col("close") - 1).alias(f"label_{h}"),
-                    F.lead("trade_date", h).over(_history()).alias(f"label_end_{h}")]
-    return bars.select("symbol", "trade_date", *columns)
+        columns[f"label_{h}"] = F.lead("close", h).over(own) / F.col("close") - 1
+        columns[f"label_end_{h}"] = F.lead("trade_date", h).over(own)
+    return columns
 
 
 def safe_labels(bars: DataFrame, index: DataFrame, cutoff: Column | str,
@@ -110,15 +127,21 @@ def safe_labels(bars: DataFrame, index: DataFrame, cutoff: Column | str,
     if isinstance(cutoff, str):
         cutoff = F.lit(cutoff).cast("date")
     labels = forward_labels(bars, horizons).where(F.col("trade_date") <= cutoff)
+    return mask_labels(labels, index, cutoff, horizons)
+
+
+def mask_labels(labels: DataFrame, index: DataFrame, cutoff: Column,
+                horizons: Sequence[int]) -> DataFrame:
+    """Null every label that either clock puts past the cutoff; other columns stay."""
     end = F.max(F.when(F.col("trade_date") == cutoff, F.col("idx"))).over(
         Window.partitionBy(F.lit(0)))
     clock = index.select("trade_date", (end - F.col("idx")).alias("_room"))
     joined = labels.join(small(clock), "trade_date")
-    columns = []
+    masked = {}
     for h in horizons:
         usable = (F.col("_room") >= h) & (F.col(f"label_end_{h}") <= cutoff)
-        columns += [F.when(usable, F.col(c)).alias(c) for c in (f"label_{h}", f"label_end_{h}")]
-    return joined.select("symbol", "trade_date", *columns)
+        masked |= {c: F.when(usable, F.col(c)) for c in (f"label_{h}", f"label_end_{h}")}
+    return joined.select(*[masked.get(c, F.col(c)).alias(c) for c in labels.columns])
 
 
 def panel_difference(a: DataFrame, b: DataFrame) -> DataFrame:

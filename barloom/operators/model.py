@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .calendars import calendar_index, sessions, small
 from .features import (
-    DEFAULT_HORIZONS, FEATURE_NAMES, MIN_OBSERVATIONS, feature_columns, feature_panel,
-    forward_labels, panel_difference,
+    DEFAULT_HORIZONS, FEATURE_NAMES, MIN_OBSERVATIONS, feature_panel, features_of, forward_labels,
+    label_columns, mask_labels, panel_difference, with_windows,
 )
 
 # Split points, minimum sizes and model settings.
@@ -66,24 +66,10 @@ def training_matrix(bars: DataFrame, index: DataFrame, cutoff,
     label end.
     """
     cut = F.lit(str(cutoff)).cast("date")
-    own = Window.partitionBy("symbol").orderBy("trade_date")
-    wide = []
-    for h in horizons:
-        wide += [(F.lead("close", h).over(own) / F.col("close") - 1).alias(f"label_{h}"),
-                 F.lead("trade_date", h).over(own).alias(f"label_end_{h}")]
-    panel = (bars.select("symbol", "trade_date",
-                         *[c.alias(n) for n, c in feature_columns().items()], *wide,
-                         F.row_number().over(own).alias("_seen"))
-             .where((F.col("_seen") >= MIN_OBSERVATIONS) & (F.col("trade_date") <= cut)))
-    end = F.max(F.when(F.col("trade_date") == cut, F.col("idx"))).over(
-        Window.partitionBy(F.lit(0)))
-    clock = index.select("trade_date", (end - F.col("idx")).alias("_room"))
-    joined = panel.join(small(clock), "trade_date")
-    safe = []
-    for h in horizons:
-        usable = (F.col("_room") >= h) & (F.col(f"label_end_{h}") <= cut)
-        safe += [F.when(usable, F.col(c)).alias(c) for c in (f"label_{h}", f"label_end_{h}")]
-    return joined.select("symbol", "trade_date", *FEATURE_NAMES, *safe)
+    labels = label_columns(horizons)
+    rows = with_windows(bars, **labels).where(
+        (F.col("_seen") >= MIN_OBSERVATIONS) & (F.col("trade_date") <= cut))
+    return mask_labels(features_of(rows, *labels), index, cut, horizons)
 
 
 def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,

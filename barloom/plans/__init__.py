@@ -1,4 +1,4 @@
-from .joins import fits_broadcast, interval_join
+from .joins import fits_broadcast, interval_join, spread
 from .ordered import largest_group, ordered_scan
 
-__all__ = ["fits_broadcast", "interval_join", "largest_group", "ordered_scan"]
+__all__ = ["fits_broadcast", "interval_join", "largest_group", "ordered_scan", "spread"]

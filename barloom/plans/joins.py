@@ -15,6 +15,17 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Lay a small table over all shuffle partitions before it is expanded.
+
+    A few rows per symbol fit one file and so one task; exploding them to days there would
+    leave the whole result to that task. The number is explicit because adaptive execution
+    would merge partitions that are small before the expansion.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *columns)
+
+
 def interval_join(
     facts: DataFrame,
     intervals: DataFrame,
@@ -47,7 +58,7 @@ def interval_join(
         last = "1970-01-01"
     clipped = F.least(until, F.lit(last).cast("date"))
     months = (
-        intervals.where(F.col(start) <= F.lit(last).cast("date"))
+        spread(intervals, *keys, start).where(F.col(start) <= F.lit(last).cast("date"))
         .withColumn("_month", F.explode(F.sequence(
             F.trunc(F.col(start), "month"), F.trunc(clipped, "month"), F.expr("interval 1 month"))))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bars import bars_from_ticks
-from ..plans import ordered_scan
+from ..plans import ordered_scan, spread
 
 # The request window and the as-of dates the queries use.
 WINDOW_START, WINDOW_END = "1995-02-01", "2001-09-30"
@@ -122,7 +122,7 @@ def memberships(spark: SparkSession, sf: str) -> DataFrame:
 
 def suspensions(spark: SparkSession, sf: str) -> DataFrame:
     """Records on days without a bar: S, R or none by ``(k + day of year) % 5``."""
-    days = (instruments(spark, sf)
+    days = (spread(instruments(spark, sf), "k")
             .select("k", F.explode(F.sequence(day(FIRST_DAY), day(LAST_DAY))).alias("trade_date")))
     pick = (F.col("k") + F.dayofyear("trade_date")) % 5
     traded = ticks(spark, sf).select("k", "trade_date").distinct()

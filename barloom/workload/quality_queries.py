@@ -136,8 +136,13 @@ def _expected(spark, sf):
                                   T.open_days(spark, sf), *W)
 
 
+def _wanted(spark, sf):
+    return V.member_days(T.memberships(spark, sf), T.lifecycles(spark, sf),
+                         T.open_days(spark, sf), *W)
+
+
 def _classified(spark, sf):
-    return V.coverage_classify(_expected(spark, sf), T.bars(spark, sf), T.suspensions(spark, sf))
+    return V.coverage_classify(_wanted(spark, sf), T.bars(spark, sf), T.suspensions(spark, sf))
 
 
 @query("expected_member_days", "select symbol, trade_date from expected")
@@ -177,7 +182,7 @@ def silent_skips(spark, sf):
     bars = T.bars(spark, sf).join(out, "symbol", "left_anti")
     stopped = T.suspensions(spark, sf).join(
         out.withColumnRenamed("symbol", "ts_code"), "ts_code", "left_anti")
-    return V.silent_skips(V.coverage_classify(_expected(spark, sf), bars, stopped))
+    return V.silent_skips(V.coverage_classify(_wanted(spark, sf), bars, stopped))
 
 
 @query("delisted_in_scope", f"""
@@ -203,10 +208,8 @@ select *, codes = '' as passed, codes as reason_codes from (
     from classified))""".replace("select *, codes = '' as passed",
                                  "select * exclude (codes), codes = '' as passed"))
 def coverage_summary(spark, sf):
-    classified = _classified(spark, sf)
-    anomalies = V.member_count_anomalies(_expected(spark, sf), T.open_days(spark, sf), 60, *W)
-    return joined_codes(V.coverage_summary(classified, anomalies, T.open_days(spark, sf), *W),
-                        "reason_codes")
+    summary = V.coverage_summary(_classified(spark, sf), T.open_days(spark, sf), 60, *W)
+    return joined_codes(summary, "reason_codes")
 
 
 @query("class_reconciliation", """
