@@ -63,27 +63,29 @@ def freshness(latest: DataFrame, calendar: DataFrame, expected_as_of,
         raise ValueError("allowed lag cannot be negative")
     expected = F.lit(str(expected_as_of)).cast("date")
     index = calendar_index(calendar)
-    span = index.agg(F.least(F.min("trade_date"), expected).alias("a"),
-                     F.greatest(F.max("trade_date"), expected).alias("b"))
-    days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
+    # One row about the calendar: its first day and the sessions up to the expected date.
+    edge = index.agg(
+        F.min("trade_date").alias("first"), F.max("trade_date").alias("last"),
+        F.count_if(F.col("trade_date") <= expected).alias("due"),
+        F.count_if(F.col("trade_date") == expected).alias("is_session")).first()
+    if edge.first is None:
+        raise ValueError("the calendar has no session")
+    days = calendar.sparkSession.range(1).select(
+        F.explode(F.sequence(F.lit(edge.first), F.lit(edge.last))).alias("day"))
     so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     position = (days.join(index, F.col("day") == F.col("trade_date"), "left")
-                .select("day", F.col("trade_date").isNotNull().alias("is_session"),
-                        F.coalesce(F.max("idx").over(so_far), F.lit(-1)).alias("pos")))
-    everywhere = Window.partitionBy(F.lit(0))
-    is_expected = F.col("day") == expected
-    at = position.select(
-        F.col("day").alias("latest_date"), "pos", "is_session",
-        F.max(F.when(is_expected, F.col("pos"))).over(everywhere).alias("expected_pos"),
-        F.max(F.when(is_expected, F.col("is_session"))).over(everywhere)
-        .alias("expected_is_session"))
-    joined = latest.join(small(at), "latest_date", "left")
-    # Dates outside the calendar lie before every session or after the last one.
-    lag = F.when(F.col("latest_date") > expected, 0).otherwise(
-        F.greatest(F.col("expected_pos") - F.col("pos"), F.lit(0)))
-    out = joined.select("name", "latest_date", lag.cast("bigint").alias("lag_sessions"),
-                        F.coalesce("is_session", F.lit(False)).alias("is_session"),
-                        "expected_is_session")
+                .select(F.col("day").alias("latest_date"),
+                        F.col("trade_date").isNotNull().alias("is_session"),
+                        (F.max("idx").over(so_far) + 1).alias("_done")))
+    joined = latest.join(small(position), "latest_date", "left")
+    # A date outside the calendar lies before every session, or after the last one.
+    done = F.coalesce("_done", F.when(F.col("latest_date") < F.lit(edge.first), 0)
+                      .otherwise(edge.due))
+    out = joined.select(
+        "name", "latest_date",
+        F.greatest(F.lit(edge.due) - done, F.lit(0)).cast("bigint").alias("lag_sessions"),
+        F.coalesce("is_session", F.lit(False)).alias("is_session"),
+        F.lit(edge.is_session > 0).alias("expected_is_session"))
     codes = F.array_compact(F.array(
         F.when(~F.col("expected_is_session"), "EXPECTED_AS_OF_NOT_TRADING_DAY"),
         F.when(~F.col("is_session"), "LATEST_COMPLETE_NOT_TRADING_DAY"),
