@@ -66,41 +66,43 @@ def ordered_scan(
     if group_rows <= window_rows:
         return _scan(df, keys, order, number, running, previous)
 
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(default, -(-df.count() // window_rows))
     sliced = stored(
-        df.repartitionByRange(*[F.col(c) for c in keys + order])
-        .withColumn("_slice", F.spark_partition_id()),
+        df.repartitionByRange(slices, *[F.col(c) for c in keys + order])
+        .withColumn("_scan_slice", F.spark_partition_id()),
         "slices",
     )
-    local = _scan(sliced, keys + ["_slice"], order, "_n", running, previous)
-    totals = [F.max("_n").alias("_rows")]
+    local = _scan(sliced, keys + ["_scan_slice"], order, "_scan_n", running, previous)
+    totals = [F.max("_scan_n").alias("_scan_rows")]
     for name, (kind, column) in running.items():
-        totals.append(_RUNNING[kind](column).alias(f"_end_{name}"))
+        totals.append(_RUNNING[kind](column).alias(f"_scan_end_{name}"))
     if previous:
         last = F.struct(*[F.col(c).alias(n) for n, c in previous.items()])
-        totals.append(F.max_by(last, F.struct(*order)).alias("_last"))
-    ends = local.groupBy(*keys, "_slice").agg(*totals)
-    before = (Window.partitionBy(*keys).orderBy("_slice")
+        totals.append(F.max_by(last, F.struct(*order)).alias("_scan_last"))
+    ends = local.groupBy(*keys, "_scan_slice").agg(*totals)
+    before = (Window.partitionBy(*keys).orderBy("_scan_slice")
               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = [F.sum("_rows").over(before).alias("_rows_before")]
+    carried = [F.sum("_scan_rows").over(before).alias("_scan_rows_before")]
     for name, (kind, _) in running.items():
-        carried.append(_RUNNING[kind](f"_end_{name}").over(before).alias(f"_in_{name}"))
+        carried.append(_RUNNING[kind](f"_scan_end_{name}").over(before).alias(f"_scan_in_{name}"))
     if previous:
-        carried.append(F.lag("_last").over(
-            Window.partitionBy(*keys).orderBy("_slice")).alias("_last_before"))
-    carry = (ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                         F.col("_slice").alias("_k_slice"), *carried)
-             .where("_rows_before is not null"))
-    match = F.col("_slice") == F.col("_k_slice")
+        carried.append(F.lag("_scan_last").over(
+            Window.partitionBy(*keys).orderBy("_scan_slice")).alias("_scan_last_before"))
+    carry = (ends.select(*[F.col(k).alias(f"_scan_k_{k}") for k in keys],
+                         F.col("_scan_slice").alias("_scan_k_slice"), *carried)
+             .where("_scan_rows_before is not null"))
+    match = F.col("_scan_slice") == F.col("_scan_k_slice")
     for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        match = match & F.col(k).eqNullSafe(F.col(f"_scan_k_{k}"))
     joined = local.join(carry, match, "left")
     out = [F.col(c) for c in df.columns]
     if number:
-        out.append((F.coalesce("_rows_before", F.lit(0)) + F.col("_n")).alias(number))
+        out.append((F.coalesce("_scan_rows_before", F.lit(0)) + F.col("_scan_n")).alias(number))
     for name, (kind, _) in running.items():
-        out.append(_combine(kind, F.col(f"_in_{name}"), F.col(name)).alias(name))
+        out.append(_combine(kind, F.col(f"_scan_in_{name}"), F.col(name)).alias(name))
     for name in previous:
-        out.append(F.when(F.col("_n") == 1, F.col(f"_last_before.{name}"))
+        out.append(F.when(F.col("_scan_n") == 1, F.col(f"_scan_last_before.{name}"))
                    .otherwise(F.col(name)).alias(name))
     return joined.select(*out)
 
