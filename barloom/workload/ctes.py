@@ -95,7 +95,8 @@ select m as market, s.* from (values ('SH'), ('SZ')) t(m), (values
 select * from (values ('main', 100, 0.10::double), ('gem', 100, 0.20::double),
   ('star', 100, 0.20::double)) t(board, lot_size, price_limit_pct)""",
     "trades": f"""
-select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as trade_id,
+select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    strftime(l_shipdate, '%Y%m%d')) as trade_id,
   o_custkey as account, {symbol('(l_suppkey % 5000)')} as symbol,
   cast(l_shipdate as date) as trade_date,
   case when l_returnflag = 'R' then 'sell' else 'buy' end as side,

@@ -197,8 +197,8 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account"))
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey",
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        .alias("trade_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias("trade_id"),
         symbol_of(F.col("l_suppkey") % INSTRUMENTS).alias("symbol"),
         F.col("l_shipdate").cast("date").alias("trade_date"),
         F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
