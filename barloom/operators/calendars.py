@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import session_label
 
 
-def small(calendar: DataFrame) -> DataFrame:
-    """Broadcast hint for a calendar. Its size is bounded by the number of days, as
-    every caller passes distinct dates."""
-    return F.broadcast(calendar)
+def small(days: DataFrame, on: str = "trade_date") -> DataFrame:
+    """Broadcast hint for a table of days, reduced to one row per day.
+
+    That bounds its size whatever it is made from: a date column holds at most 3.7 million
+    different days, and a market's history some tens of thousands.
+    """
+    return F.broadcast(days.dropDuplicates([on]))
 
 
 def sessions(bars: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def freshness(latest: DataFrame, calendar: DataFrame, expected_as_of,
                 .select(F.col("day").alias("latest_date"),
                         F.col("trade_date").isNotNull().alias("is_session"),
                         (F.max("idx").over(so_far) + 1).alias("_done")))
-    joined = latest.join(small(position), "latest_date", "left")
+    joined = latest.join(small(position, "latest_date"), "latest_date", "left")
     # A date outside the calendar lies before every session, or after the last one.
     done = F.coalesce("_done", F.when(F.col("latest_date") < F.lit(edge.first), 0)
                       .otherwise(edge.due))
@@ -100,7 +103,7 @@ def label_sessions(events: DataFrame, open_days: DataFrame, utc_offset_hours: in
     """Part of the trading day of each UTC timestamp. Works on streams."""
     local = F.col(at) + F.expr(f"interval {int(utc_offset_hours)} hours")
     days = small(open_days.select(F.col("trade_date").alias("_day"),
-                                  F.lit(True).alias("_session")).distinct())
+                                  F.lit(True).alias("_session")), "_day")
     placed = (events.withColumn("_local", local)
               .withColumn("_date", F.to_date("_local"))
               .join(days, F.col("_date") == F.col("_day"), "left"))

@@ -153,18 +153,16 @@ def audit_coverage(memberships: DataFrame, lifecycles: DataFrame, open_days: Dat
 
 def class_reconciliation(classified: DataFrame) -> DataFrame:
     """Audit of the audit, per symbol: the classes add up and no day has two of them."""
-    keys = classified.groupBy("symbol", "trade_date").agg(
-        F.count("*").alias("rows"), F.min("class").alias("a"), F.max("class").alias("b"))
-    clashes = keys.groupBy("symbol").agg(
-        F.count("*").alias("distinct_days"),
-        F.count_if(F.col("a") != F.col("b")).alias("clashing_days"))
-    return (per_symbol(classified).join(clashes, "symbol")
-            .select("symbol", "expected", "distinct_days", "clashing_days",
-                    (F.col("bar") + F.col("suspended") + F.col("delisted") + F.col("missing"))
-                    .alias("classified"))
-            .withColumn("reconciles", (F.col("expected") == F.col("classified"))
-                        & (F.col("expected") == F.col("distinct_days"))
-                        & (F.col("clashing_days") == 0)))
+    classes = ("BAR", "SUSPENDED", "EXPECTED_DELISTED", "MISSING")
+    days = classified.groupBy("symbol", "trade_date").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("class").isin(*classes)).alias("known"),
+        *[F.count_if(F.col("class") == c).alias(c) for c in classes])
+    kinds = sum(((F.col(c) > 0).cast("int") for c in classes), F.lit(0))
+    return days.groupBy("symbol").agg(
+        F.sum("rows").alias("expected"), F.count("*").alias("distinct_days"),
+        F.count_if(kinds > 1).alias("clashing_days"), F.sum("known").alias("classified"),
+    ).withColumn("reconciles", (F.col("expected") == F.col("classified"))
+                 & (F.col("expected") == F.col("distinct_days")) & (F.col("clashing_days") == 0))
 
 
 def membership_overlap(memberships: DataFrame) -> DataFrame:

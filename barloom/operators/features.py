@@ -144,8 +144,20 @@ def mask_labels(labels: DataFrame, index: DataFrame, cutoff: Column,
     return joined.select(*[masked.get(c, F.col(c)).alias(c) for c in labels.columns])
 
 
+def panel_with_labels(bars: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS) -> DataFrame:
+    """Features and forward labels of every row with a full history, from one shuffle."""
+    labels = label_columns(horizons)
+    rows = with_windows(bars, **labels).where(F.col("_seen") >= MIN_OBSERVATIONS)
+    return features_of(rows, *labels)
+
+
 def panel_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows in only one of two panels; empty when they are equal."""
-    b = b.select(*a.columns)
-    return (a.exceptAll(b).withColumn("only_in", F.lit("left"))
-            .union(b.exceptAll(a).withColumn("only_in", F.lit("right"))))
+    """Rows that one of two panels holds more often than the other, with the surplus.
+
+    Empty when the panels are equal as multisets. Both are read once and grouped together.
+    """
+    both = (a.withColumn("_side", F.lit(1).cast("bigint"))
+            .union(b.select(*a.columns).withColumn("_side", F.lit(-1).cast("bigint"))))
+    surplus = both.groupBy(*a.columns).agg(F.sum("_side").alias("_side")).where("_side <> 0")
+    return surplus.select(*a.columns, F.abs("_side").alias("copies"),
+                          F.when(F.col("_side") > 0, "left").otherwise("right").alias("only_in"))

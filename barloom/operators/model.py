@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .calendars import calendar_index, sessions, small
 from .features import (
-    DEFAULT_HORIZONS, FEATURE_NAMES, MIN_OBSERVATIONS, feature_panel, features_of, forward_labels,
-    label_columns, mask_labels, panel_difference, with_windows,
+    DEFAULT_HORIZONS, FEATURE_NAMES, feature_panel, mask_labels, panel_difference,
+    panel_with_labels,
 )
 
 # Split points, minimum sizes and model settings.
@@ -66,10 +66,8 @@ def training_matrix(bars: DataFrame, index: DataFrame, cutoff,
     label end.
     """
     cut = F.lit(str(cutoff)).cast("date")
-    labels = label_columns(horizons)
-    rows = with_windows(bars, **labels).where(
-        (F.col("_seen") >= MIN_OBSERVATIONS) & (F.col("trade_date") <= cut))
-    return mask_labels(features_of(rows, *labels), index, cut, horizons)
+    panel = panel_with_labels(bars, horizons).where(F.col("trade_date") <= cut)
+    return mask_labels(panel, index, cut, horizons)
 
 
 def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,
@@ -111,24 +109,25 @@ def model_importances(models: Mapping[int, PipelineModel], like: DataFrame) -> D
     return like.sparkSession.createDataFrame(rows, "horizon int, name string, weight double")
 
 
-def validation_pairs(scored: DataFrame, bars: DataFrame, index: DataFrame,
+def validation_pairs(scored: DataFrame, index: DataFrame,
                      horizon: int = VALIDATION_HORIZON) -> DataFrame:
     """Scores and realised labels of the validation sessions whose labels end before the
-    test part starts, by the calendar and by the symbol's own dates."""
+    test part starts, by the calendar and by the symbol's own dates.
+
+    ``scored`` carries the score and the label columns of the horizon.
+    """
     split = session_splits(index)
     everywhere = Window.partitionBy(F.lit(0))
-    test = F.min(F.when(F.col("part") == "test", F.col("trade_date"))).over(everywhere)
-    test_idx = F.min(F.when(F.col("part") == "test", F.col("idx"))).over(everywhere)
-    days = split.select("trade_date", "part", test.alias("_test"),
-                        (F.col("idx") + horizon < test_idx).alias("_ok")).where(
-        "part = 'validation' and _ok")
-    labels = forward_labels(bars, (horizon,)).select(
-        "symbol", "trade_date", F.col(f"label_{horizon}").alias("label"),
-        F.col(f"label_end_{horizon}").alias("label_end"))
-    return (scored.select("symbol", "trade_date", "score")
-            .join(small(days), "trade_date").join(labels, ["symbol", "trade_date"])
-            .where(F.col("label_end") < F.col("_test"))
-            .select("symbol", "trade_date", "score", "label", "label_end"))
+    in_test = F.col("part") == "test"
+    days = split.select(
+        "trade_date", "part", F.col("idx"),
+        F.min(F.when(in_test, F.col("trade_date"))).over(everywhere).alias("_test"),
+        F.min(F.when(in_test, F.col("idx"))).over(everywhere).alias("_test_idx"),
+    ).where((F.col("part") == "validation") & (F.col("idx") + horizon < F.col("_test_idx")))
+    return (scored.join(small(days.select("trade_date", "_test")), "trade_date")
+            .where(F.col(f"label_end_{horizon}") < F.col("_test"))
+            .select("symbol", "trade_date", "score", F.col(f"label_{horizon}").alias("label"),
+                    F.col(f"label_end_{horizon}").alias("label_end")))
 
 
 def leak_checks(bars: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,
@@ -154,13 +153,14 @@ def leak_checks(bars: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,
         .alias("training_rows_time_ordered"),
     ).unpivot([], ["label_window_inside_train", "training_rows_time_ordered"], "check_id",
               "violations")
-    scored = feature_panel(bars).select("symbol", "trade_date", F.col("ret_20d").alias("score"))
-    validation = validation_pairs(scored, bars, index).agg(
+    scored = panel_with_labels(bars, (VALIDATION_HORIZON,)).withColumn("score", F.col("ret_20d"))
+    validation = validation_pairs(scored, index).agg(
         F.count_if(F.col("label_end") >= F.lit(split.test_start)).alias("violations")).select(
         F.lit("validation_labels_outside_test").alias("check_id"), "violations")
     full = feature_panel(bars).where(F.col("trade_date") <= F.lit(split.validation_end))
     again = feature_panel(bars, as_of=split.validation_end)
-    truncation = panel_difference(full, again).agg(F.count("*").alias("violations")).select(
+    truncation = panel_difference(full, again).agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("violations")).select(
         F.lit("feature_pit_truncation_invariant").alias("check_id"), "violations")
     disclosed = monotonic.select(F.lit("universe_fixed_audit_set_disclosed").alias("check_id"),
                                  F.lit(0 if universe_disclosed else 1).cast("bigint")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import board
+from .costs import market_rules_lookup
 from .features import FEATURE_NAMES
 
 
@@ -125,15 +125,12 @@ def recommend(ranks: DataFrame, positions: DataFrame, bars_latest: DataFrame, ru
     """
     signal, execution = (F.lit(str(d)).cast("date") for d in (signal_date, last_execution_day))
     held = positions.select("symbol", "locked_shares", F.lit(True).alias("_held"))
-    normal = rules.where("security_status = 'normal'").select(
-        F.col("board").alias("_board"), F.col("price_limit_pct").alias("_pct"))
-    joined = (ranks.join(held, "symbol", "left").join(bars_latest, "symbol", "left")
-              .withColumn("_board", board("symbol"))
-              .join(F.broadcast(normal), "_board", "left"))
+    joined = market_rules_lookup(
+        ranks.join(held, "symbol", "left").join(bars_latest, "symbol", "left"), rules)
     is_held, chosen = F.col("_held").isNotNull(), F.col("rank") <= top_k
     action = (F.when(chosen & is_held, "HOLD").when(chosen, "BUY")
               .when(is_held, "SELL").otherwise("WATCH"))
-    close, before, near = F.col("last_close"), F.col("second_close"), F.col("_pct") * 0.95
+    close, before, near = F.col("last_close"), F.col("second_close"), F.col("price_limit_pct") * 0.95
     notes = F.array_compact(F.array(
         F.when(F.col("last_date") < signal, "NO_BAR_ON_SIGNAL_DATE"),
         F.when(is_held & (F.col("last_date") < execution), "VALUATION_FROZEN_NO_BAR"),

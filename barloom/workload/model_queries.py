@@ -84,11 +84,8 @@ group by 1 having count(*) >= 3"""
 
 
 def _pairs(spark, sf):
-    bars = T.bars(spark, sf)
-    labels = X.forward_labels(bars, (5,)).select("symbol", "trade_date",
-                                                 F.col("label_5").alias("label"))
-    scores = X.feature_panel(bars).select("symbol", "trade_date", F.col("ret_20d").alias("score"))
-    return scores.join(labels, ["symbol", "trade_date"])
+    return X.panel_with_labels(T.bars(spark, sf), (5,)).select(
+        "symbol", "trade_date", F.col("ret_20d").alias("score"), F.col("label_5").alias("label"))
 
 
 @query("rank_ic", f"select count(*) as dates, round(avg(ic), 6) as rank_ic from ({IC})")
@@ -109,8 +106,8 @@ where f.trade_date between p.validation_start and p.validation_end and l.label_e
   and s.idx + 5 < (select idx from sessions where trade_date = p.test_start)""")
 def validation_pairs(spark, sf):
     bars = T.bars(spark, sf)
-    scores = X.feature_panel(bars).select("symbol", "trade_date", F.col("ret_20d").alias("score"))
-    pairs = G.validation_pairs(scores, bars, C.calendar_index(C.sessions(bars)))
+    scored = X.panel_with_labels(bars, (5,)).withColumn("score", F.col("ret_20d"))
+    pairs = G.validation_pairs(scored, C.calendar_index(C.sessions(bars)))
     return pairs.select("symbol", "trade_date", F.round("score", 6).alias("score"),
                         F.round("label", 6).alias("label"), "label_end")
 

@@ -126,7 +126,7 @@ def panel_equality(spark, sf):
     full = B.as_of(X.feature_panel(bars), T.AS_OF)
     again = X.feature_panel(bars, as_of=T.AS_OF)
     found = X.panel_difference(full, again).groupBy("only_in").agg(
-        F.count("*").alias("row_count"))
+        F.sum("copies").alias("row_count"))
     sides = spark.createDataFrame([("left",), ("right",)], "only_in string")
     return sides.join(found, "only_in", "left").select(
         "only_in", F.coalesce("row_count", F.lit(0)).alias("row_count"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calendars as C
@@ -177,9 +178,9 @@ def benchmark_nav(spark, sf):
 
 def _nav(bars):
     """Buy-and-hold value of every symbol since its first bar."""
-    base = bars.groupBy("symbol").agg(F.min_by("close", "trade_date").alias("base"))
-    return bars.join(base, "symbol").select(F.col("symbol").alias("series"), "trade_date",
-                                            (F.col("close") / F.col("base")).alias("nav"))
+    own = Window.partitionBy("symbol").orderBy("trade_date")
+    return bars.select(F.col("symbol").alias("series"), "trade_date",
+                       (F.col("close") / F.first("close").over(own)).alias("nav"))
 
 
 NAV = """select symbol as series, trade_date, close / first_value(close) over (
