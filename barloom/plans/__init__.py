@@ -1,4 +1,5 @@
-from .joins import fits_broadcast, interval_join, spread
+from .joins import INTERVAL_ROWS, fits_broadcast, interval_join, interval_pick, spread
 from .ordered import largest_group, ordered_scan
 
-__all__ = ["fits_broadcast", "interval_join", "largest_group", "ordered_scan", "spread"]
+__all__ = ["INTERVAL_ROWS", "fits_broadcast", "interval_join", "interval_pick", "largest_group",
+           "ordered_scan", "spread"]

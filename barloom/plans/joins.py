@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+INTERVAL_ROWS = 2_000  # each fact is tested against every interval of its key
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -33,7 +34,7 @@ def interval_join(
     at: str,
     start: str,
     end: str,
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_rows: int = INTERVAL_ROWS,
 ) -> DataFrame:
     """Left join of facts to every closed interval that contains the date ``at``.
 
@@ -69,3 +70,28 @@ def interval_join(
     for k in keys:
         match = match & (F.col(k) == F.col(f"_k_{k}"))
     return facts.join(right, match, "left").drop("_k_month", *[f"_k_{k}" for k in keys])
+
+
+def interval_pick(
+    facts: DataFrame,
+    intervals: DataFrame,
+    key: str,
+    at: str,
+    start: str,
+    end: str,
+    columns: Sequence[str],
+) -> DataFrame:
+    """Facts with the number of intervals that contain their date and one of them.
+
+    For an interval table small enough to broadcast (check it first): the intervals of a
+    key are gathered in one array, so no fact is repeated however many match.
+    """
+    one = F.struct(*columns, start, end)
+    lists = intervals.groupBy(F.col(key).alias("_k")).agg(F.collect_list(one).alias("_all"))
+    joined = facts.join(F.broadcast(lists), F.col(key) == F.col("_k"), "left")
+    hits = F.filter("_all", lambda s: (F.col(at) >= s[start]) & (
+        s[end].isNull() | (F.col(at) <= s[end])))
+    found = joined.withColumn("_hits", F.coalesce(hits, F.array()))
+    first = F.get("_hits", F.lit(0))
+    return found.select(*facts.columns, F.size("_hits").cast("bigint").alias("matches"),
+                        *[first[c].alias(c) for c in columns])
