@@ -1,5 +1,7 @@
-from .joins import INTERVAL_ROWS, fits_broadcast, interval_join, interval_pick, spread
+from .joins import (
+    INTERVAL_ROWS, fits_broadcast, interval_join, interval_pick, interval_shape, spread,
+)
 from .ordered import largest_group, ordered_scan
 
-__all__ = ["INTERVAL_ROWS", "fits_broadcast", "interval_join", "interval_pick", "largest_group",
-           "ordered_scan", "spread"]
+__all__ = ["INTERVAL_ROWS", "fits_broadcast", "interval_join", "interval_pick",
+           "interval_shape", "largest_group", "ordered_scan", "spread"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -72,6 +72,23 @@ def interval_join(
     return facts.join(right, match, "left").drop("_k_month", *[f"_k_{k}" for k in keys])
 
 
+def interval_shape(intervals: DataFrame, key: str, start: str, end: str,
+                   max_rows: int = INTERVAL_ROWS) -> tuple[bool, bool]:
+    """Whether an interval table is small, and whether intervals of a key overlap.
+
+    One job that reads at most one row more than ``max_rows``; the second answer counts
+    only when the first is true.
+    """
+    earlier = (Window.partitionBy(key).orderBy(start, end)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    until = F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
+    row = (intervals.select(key, start, end).limit(max_rows + 1)
+           .withColumn("_reach", F.max(until).over(earlier))
+           .agg(F.count("*").alias("n"),
+                F.count_if(F.col(start) <= F.col("_reach")).alias("overlaps")).first())
+    return row.n <= max_rows, row.overlaps > 0
+
+
 def interval_pick(
     facts: DataFrame,
     intervals: DataFrame,
