@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,5 +78,7 @@ class TrailingFeatures(StatefulProcessor):
 
 def stream_features(bars: DataFrame) -> DataFrame:
     """Features of every new bar with a full history; late bars come out marked."""
+    # Ship the processor with the job: the workers need no copy of this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return bars.groupBy("symbol").transformWithStateInPandas(
         TrailingFeatures(), OUTPUT, "Append", "None")
