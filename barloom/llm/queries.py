@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(fn: Query) -> Query:
@@ -24,6 +25,6 @@ def query(fn: Query) -> Query:
 
 @query
 def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+    pieces = pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, ranks=RANKS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset", "cost")
