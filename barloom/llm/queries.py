@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import compare_with_next
 from .packing import pack_documents
 from .sketch import near_duplicates
 from .tables import table
@@ -34,3 +35,8 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query
+def op2_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
