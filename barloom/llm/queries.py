@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import compare_with_next
+from .mixing import mix_sources
 from .packing import pack_documents
 from .sketch import near_duplicates
 from .tables import table
@@ -40,3 +41,11 @@ def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_entropy_balanced_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mix_sources(docs)
+    return mixed.select("doc_id", *[F.col("mix_" + c).alias(c) for c in (
+        "size", "source_size", "target", "taken", "copies")])
