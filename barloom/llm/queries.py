@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .fingerprints import compare_with_next
 from .mixing import mix_sources
 from .packing import pack_documents
+from .secrets import BASE_RULES, find_secrets
 from .sketch import near_duplicates
 from .tables import table
 
@@ -49,3 +50,21 @@ def op10_entropy_balanced_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs)
     return mixed.select("doc_id", *[F.col("mix_" + c).alias(c) for c in (
         "size", "source_size", "target", "taken", "copies")])
+
+
+@query
+def op6_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in BASE_RULES]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *[count(k).alias("n_" + k) for k in kinds],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
