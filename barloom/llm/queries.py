@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import compare_with_next
+from .language import fit_languages, fold_of, identify_languages
 from .mixing import mix_sources
 from .packing import pack_documents
 from .secrets import BASE_RULES, find_secrets
@@ -68,3 +69,12 @@ def op6_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k).alias("n_" + k) for k in kinds],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(fold_of(F.col("doc_id")) != 2))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc.doc_id", (fold_of(F.col("doc.doc_id")) == 2).alias("held_out"),
+                        "lang_pred", "score")
