@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .secrets import BASE_RULES, find_secrets
 from .sketch import near_duplicates
 from .tables import table
+from .toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +79,12 @@ def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_languages(docs.select("doc_id", "text"), model)
     return found.select("doc.doc_id", (fold_of(F.col("doc.doc_id")) == 2).alias("held_out"),
                         "lang_pred", "score")
+
+
+@query
+def op7_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id")) != 2)
+    found = score_toxicity(docs, fit_toxicity(docs, labels))
+    return found.select("doc.doc_id", (fold_of(F.col("doc.doc_id")) == 2).alias("held_out"),
+                        "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
