@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .fingerprints import compare_with_next
 from .language import fit_languages, fold_of, identify_languages
+from .lines import dropped_by_document, repeated_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .secrets import BASE_RULES, find_secrets
@@ -88,3 +89,20 @@ def op7_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_toxicity(docs, fit_toxicity(docs, labels))
     return found.select("doc.doc_id", (fold_of(F.col("doc.doc_id")) == 2).alias("held_out"),
                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, and the numbers of those that go as exact or near repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    by_doc = dropped_by_document(repeated_lines(docs))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("c"), F.when(
+        F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n_lines"))
+    found = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("rid"))
+                      & (F.col("c") == F.col("rc")), "left")
+    sizes = {k: F.coalesce(F.size(k), F.lit(0)).cast("long") for k in ("exact", "near")}
+    return found.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+        sizes["exact"].alias("n_exact"), sizes["near"].alias("n_near"),
+        *[F.coalesce(F.array_join(F.col(k).cast("array<string>"), ","), F.lit("")).alias(
+            k + "_lines") for k in ("exact", "near")])
