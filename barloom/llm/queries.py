@@ -15,8 +15,9 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .secrets import BASE_RULES, find_secrets
 from .sketch import near_duplicates
-from .tables import table
+from .tables import fresh_path, table
 from .toxicity import fit_toxicity, score_toxicity
+from .warc import assemble_transactions, read_records, warc_field, write_captures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +107,37 @@ def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         sizes["exact"].alias("n_exact"), sizes["near"].alias("n_near"),
         *[F.coalesce(F.array_join(F.col(k).cast("array<string>"), ","), F.lit("")).alias(
             k + "_lines") for k in ("exact", "near")])
+
+
+ORACLES["op3_transaction_assembly"] = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, h, min(page_id) over (partition by h) f, sha1(h) x from p),
+b as (select page_id, f, octet_length(encode(h)) n,
+             [('0x' || substr(x, 5 * i + 1, 5))::int for i in range(8)] g from d)
+select page_id, n::bigint payload_bytes,
+       array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (q // s) % 32 + 1, 1) for s in [32768, 1024, 32, 1]], '') for q in g], '')
+       payload_digest,
+       case when page_id = f then 'response' else 'revisit' end record_type,
+       case when page_id <> f then f end refers_to
+from b
+"""
+
+
+@query
+def op3_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = fresh_path(spark, "warc")
+    write_captures(pages, path)
+    captures = assemble_transactions(read_records(spark, path))
+    facts = captures.select("main", F.col("metadata")[0]["block"].alias("facts"))
+    kind = pages.schema["page_id"].dataType
+    declared = F.regexp_replace("main.declared_digest", "^sha1:", "")
+    refers = F.regexp_extract("main.refers_to", "^<urn:capture:(.*)>$", 1)
+    return facts.select(
+        warc_field(F.col("facts"), "page-id").cast(kind).alias("page_id"),
+        F.coalesce("main.payload_bytes", warc_field(F.col("facts"), "payload-length").cast("long"))
+        .alias("payload_bytes"),
+        F.coalesce("main.payload_digest", declared).alias("payload_digest"),
+        F.col("main.type").alias("record_type"),
+        F.when(F.col("main.type") == "revisit", refers).cast(kind).alias("refers_to"))
