@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .fingerprints import compare_with_next
 from .language import fit_languages, fold_of, identify_languages
 from .lines import dropped_by_document, repeated_lines
@@ -141,3 +142,9 @@ def op3_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("main.payload_digest", declared).alias("payload_digest"),
         F.col("main.type").alias("record_type"),
         F.when(F.col("main.type") == "revisit", refers).cast(kind).alias("refers_to"))
+
+
+@query
+def op4_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
