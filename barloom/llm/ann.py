@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,16 +110,16 @@ def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, step: int = 16, eps: f
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id",
            vector_col: str = "embedding", sample: int = 20_000, most_lists: int = 4096,
-           probes: int = 64, block_rows: int = 2048) -> DataFrame:
+           probe_share: float = 0.6, block_rows: int = 2048) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` largest inner products found of
     each row of ``queries`` with the rows of ``vectors`` of another id.
 
     Equal vectors form one class, known by its ``k + 1`` smallest ids, so a very common vector is
     searched and compared once. The index has about sqrt(n) lists (``most_lists`` at most), whose
     centres come from the ``sample`` classes of lowest id hash; every class is indexed. A query
-    scans its nearest list, which gives its limit, then its other nearest ``probes`` lists under
-    that limit. A list is cut into blocks of ``block_rows`` rows by id hash, each scanned in its
-    own group. Scores are double inner products of the original vectors; ties go to the smaller id.
+    scans its nearest list, which gives its limit, then the rest of the nearest ``probe_share`` of
+    all lists under that limit; vectors without clusters need a large share for a given recall. A
+    list is cut into blocks of ``block_rows`` rows by id hash, each scanned in its own group. Scores are double inner products of the original vectors; ties go to the smaller id.
 
     Rows of ``queries`` or ``vectors`` that take no part (see ``valid_vectors``) give no results;
     repeated rows count once. Fewer candidates than ``k`` give fewer ranks; empty tables none.
@@ -149,6 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
     points = np.frombuffer(b"".join(bytes(r["v"]) for r in picked), "<f8").reshape(len(picked), -1)
     lists = int(min(max(round(facts["n"] ** 0.5), 1), most_lists))
     index = Index.fit(points, facts["m"], lists)
+    probes = max(1, math.ceil(lists * probe_share))
     held = spark.sparkContext.broadcast(index)  # most_lists centres at most
 
     def assign(count: int, query: bool):
