@@ -145,6 +145,26 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return mixed.mapInArrow(compare, schema)
 
 
+def private_shingles(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id`` and ``own``: how many of its shingles no other of ``docs`` holds (if any)."""
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch["text"])
+            for a, b in slices(offsets):
+                values, begins = sets_of(data[offsets[a]:offsets[b]],
+                                         offsets[a:b + 1] - offsets[a], width)
+                at = pa.array(np.repeat(np.arange(a, b), np.diff(begins)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(at), pa.array(values.astype(np.int64))],
+                    names=["doc_id", "h"])
+
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("h", T.LongType())])
+    rows = texts.join(docs, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+        expand, schema)
+    once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    return once.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32,
                     rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
@@ -157,7 +177,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     probability (1 - 0.8**rows)**bands, 3e-6 by default. Candidates that share a key are confirmed
     on their full sets, in three steps that never list the pairs of a bucket already known to
     hang together: every document against one hub, then against the hubs of all its buckets, then
-    all pairs of the buckets that still hold several components.
+    the pairs of different components in the buckets that still hold several. Of these a pair is
+    left out if the shingles that only one document holds, which cannot be common, already put it
+    below the threshold; this bound loses no link.
 
     Null or empty texts have no shingle and stay alone. Repeated rows (same id and text) come out
     as often as they go in; a null id is kept and linked with nothing. Other columns are not read.
@@ -194,19 +216,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
 
     labels = components(links)
     more = labelled(labelled(stars, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb")
-    links = links.union(stored(verify(
-        more.select("a", "b").join(first, ["a", "b"], "left_anti"), texts, width, percent),
-        "verified"))
+    more = stored(more.select("a", "b").join(first, ["a", "b"], "left_anti"), "more")
+    links = links.union(stored(verify(more, texts, width, percent), "verified"))
     labels = components(links)
     split = labelled(entries.select("key", "rep", "n"), "rep", labels, "c")
     mixed = split.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(
         "lo < hi").select("key")
     split = stored(split.join(mixed, "key", "left_semi"), "mixed")
-    x = split.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = split.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where("ca <> cb and a < b").where(close("na", "nb")).select(
-        "a", "b").distinct().join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
-    links = links.union(stored(verify(rest, texts, width, percent), "verified"))
+    own = stored(private_shingles(split.select(F.col("rep").alias("doc_id")).distinct(), texts,
+                                  width), "private").withColumnRenamed("doc_id", "rep")
+    split = split.join(own, "rep", "left").withColumn(
+        "shared", F.col("n") - F.coalesce("own", F.lit(0))).where(
+        F.col("shared") * 100 >= F.col("n") * percent)
+    x, y = (split.select("key", *[F.col(c).alias(c + end) for c in ("rep", "n", "c", "shared")])
+            for end in ("_x", "_y"))
+    common = F.least("shared_x", "shared_y")
+    rest = x.join(y, "key").where("c_x <> c_y and rep_x < rep_y").where(
+        common * 100 >= (F.col("n_x") + F.col("n_y") - common) * percent).select(
+        F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    links = links.union(stored(verify(stored(rest, "rest"), texts, width, percent), "verified"))
     labels = components(links)
 
     found = labelled(classes, "rep", labels, "component").select("s1", "s2", "component")
