@@ -176,9 +176,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     sketched into ``bands`` keys of ``rows`` coordinates; a pair at 0.8 shares no key with
     probability (1 - 0.8**rows)**bands, 3e-6 by default. Candidates that share a key are confirmed
     on their full sets, in three steps that never list the pairs of a bucket already known to
-    hang together: every document against one hub, then against the hubs of all its buckets, then
-    the pairs of different components in the buckets that still hold several. Of these a pair is
-    left out if the shingles that only one document holds, which cannot be common, already put it
+    hang together: every document against one hub, then against the hubs of all its buckets, a
+    bucket's hub being the document that shares most keys and so is most central, then the pairs
+    of different components in the buckets that still hold several. Of these a pair is left out if the shingles that only one document holds, which cannot be common, already put it
     below the threshold; this bound loses no link.
 
     Null or empty texts have no shingle and stay alone. Repeated rows (same id and text) come out
@@ -191,23 +191,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     classes = stored(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes, ["s1", "s2"]).where("doc_id = rep").select(
         "rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    order = F.xxhash64("rep", F.col("key") % 4)
-    hubs = reps.groupBy("key").agg(
-        F.min(F.struct(order.alias("o"), "rep", "n")).alias("hub"),
-        F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(
-        "key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
-    entries = stored(reps.join(hubs, "key").select("key", "rep", "n", "hub", "hub_n"), "entries")
+    shared = reps.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(
+        "low < high").select("key")
+    entries = stored(reps.join(shared, "key"), "entries")
+    known = entries.join(entries.groupBy("rep").agg(F.count("*").alias("keys")), "rep")
+    hubs = known.groupBy("key").agg(
+        F.max(F.struct("keys", F.xxhash64("rep").alias("o"), "rep", "n")).alias("hub"))
 
     def close(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    stars = stored(entries.where("rep <> hub").where(close("n", "hub_n")).select(
-        F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    stars = stored(entries.join(hubs, "key").select(
+        F.col("rep").alias("a"), "n", F.col("hub.rep").alias("b"), F.col("hub.n").alias("hub_n"),
+        F.col("hub.keys").alias("keys"), F.col("hub.o").alias("o")).where("a <> b").where(
+        close("n", "hub_n")).select("a", "b", "keys", "o").distinct(), "stars")
     members = entries.select("rep").distinct()
     texts = stored(docs.join(members, docs["doc_id"] == members["rep"], "left_semi")
                    .dropDuplicates(["doc_id"]), "texts")
-    first = stored(stars.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), "b")).alias("s"))
+    first = stored(stars.groupBy("a").agg(F.max(F.struct("keys", "o", "b")).alias("s"))
                    .select("a", F.col("s.b").alias("b")), "first")
+    stars = stars.select("a", "b")
     links = stored(verify(first, texts, width, percent), "verified")
 
     def labelled(df: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
