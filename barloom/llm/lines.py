@@ -111,6 +111,35 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
+def later_lines(group: list[tuple], edits: int) -> list[int]:
+    """Of lines (part, own, h, id, c, at, line) that meet, those close to an earlier one.
+
+    Each edit changes the counts of characters by two at most in all, which rules out most pairs
+    before their distance is taken. Pairs of one part are left to the block of that part alone.
+    """
+    if len(group) < 2:
+        return []
+    order = sorted(group, key=lambda r: (r[3] is not None, r[3], r[4], r[5]))
+    counts = np.zeros((len(order), 32), np.int32)
+    for i, row in enumerate(order):
+        codes = np.frombuffer(row[6].encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts[i] = np.bincount(codes % 32, minlength=32)
+    part = np.array([r[0] for r in order])
+    own = np.array([r[1] for r in order])
+    several = (part != part[0]).any()
+    found = []
+    for i in range(1, len(order)):
+        may = own[:i] | own[i]
+        if several:
+            may &= part[:i] != part[i]
+        at = np.flatnonzero(may)
+        at = at[np.abs(counts[at] - counts[i]).sum(axis=1) <= 2 * edits]
+        if any(order[j][2] != order[i][2] and within(order[j][6], order[i][6], edits)
+               for j in at):
+            found.append(order[i][2])
+    return found
+
+
 def line_rows(docs: DataFrame, least: int) -> DataFrame:
     """``id``, ``c`` (content hash), ``at``, ``line``, ``h`` and ``g`` of lines of enough length."""
     rows = docs.select("id", F.xxhash64("text").alias("c"),
@@ -121,13 +150,15 @@ def line_rows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", part_rows: int = 500) -> DataFrame:
     """The lines to drop: ``id``, ``c`` (hash of the text), ``at`` (line from 0) and ``kind``.
 
     Of equal lines all but the first go (``exact``), the first being that of the smallest id, then
     place. A line goes as ``near`` if an earlier line differs from it in at most ``edits``
     characters, whether that one goes or not. Lines below ``least`` characters stay. Distinct
-    lines are found by one aggregate, so a common line is one line thereafter. A line is known by
+    lines are found by one aggregate, so a common line is one line thereafter. The lines that meet
+    in a segment are compared where they meet, in pairs of parts of about ``part_rows`` lines if
+    they are many; no row is made for a pair that is not close. A line is known by
     64 bits, and two lines that agree in them but not in 64 more are both left as they are.
 
     Null texts have no lines; repeated rows (same id and text) count as one document; null ids
@@ -152,56 +183,62 @@ def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col:
     probes = probes.repartition(parts, "key").sortWithinPartitions("key", F.col("own").desc())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        own = np.zeros(0, np.int64)
+        """The lines of each key that two lines have, dealt to pairs of parts if they are many."""
+        last, held = None, []
         for batch in batches:
-            key, h, mine = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "h", "own"))
-            a, b = [], []
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            alone = np.diff(cuts) == 1
-            for lo, hi, single in zip(cuts[:-1], cuts[1:], alone, strict=True):
-                if key[lo] != last:
-                    last, own = key[lo], own[:0]
-                    if single:
-                        own = h[lo:hi][mine[lo:hi]]
-                        continue
-                for x, is_own in zip(h[lo:hi], mine[lo:hi], strict=True):
-                    if len(own):
-                        a.append(np.minimum(own, x))
-                        b.append(np.maximum(own, x))
-                    if is_own:
-                        own = np.append(own, x)
-                if len(a) > 100_000:
-                    yield pairs_of(a, b)
-            if a:
-                yield pairs_of(a, b)
-
-    def pairs_of(a: list, b: list) -> pa.RecordBatch:
-        x, y = np.concatenate(a), np.concatenate(b)
-        a.clear()
-        b.clear()
-        pairs = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
-                                          names=["a", "b"])
-
-    pairs = probes.mapInArrow(meet, "a long, b long").distinct()
-    pairs = pairs.join(distinct.select(F.col("h").alias("a"), F.col("m").alias("ma")), "a")
-    pairs = pairs.join(distinct.select(F.col("h").alias("b"), F.col("m").alias("mb")), "b")
-    later = F.col("ma") > F.col("mb")
-    pairs = pairs.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h"),
-                         F.col("ma.line").alias("x"), F.col("mb.line").alias("y"))
+            columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "h", "own")]
+            cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+            out = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                key, h, own = (c[lo:hi] for c in columns)
+                if not len(key):
+                    continue
+                if key[0] != last:
+                    out += dealt(last, held)
+                    last, held = key[0], []
+                held.append((h, own))
+            if out:
+                yield as_batch(out)
+        if out := dealt(last, held):
+            yield as_batch(out)
+
+    def dealt(key, held: list) -> list:
+        if not held or len(held) == 1 and len(held[0][0]) == 1:
+            return []
+        h, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not own.any() or (h == h[0]).all():
+            return []
+        count = -(-len(h) // part_rows)
+        part = (mix(h.astype(np.uint64), 23) % np.uint64(count)).astype(np.int32)
+        return [(np.full(len(h), key), h, own, part, np.minimum(part, i), np.maximum(part, i))
+                for i in range(count)]
+
+    def as_batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)],
+            names=["key", "h", "own", "part", "x", "y"])
+
+    met = probes.mapInArrow(meet, "key long, h long, own boolean, part int, x int, y int")
+    met = met.withColumnRenamed("h", "mh").join(distinct, F.col("mh") == F.col("h")).select(
+        "key", "x", "y", "part", "own", "h", "m.id", "m.c", "m.at", "m.line")
+    names = met.columns
+    met = met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, group = None, []
         for batch in batches:
-            keep = [within(x, y, edits) for x, y in zip(
-                batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["h"].filter(pa.array(keep, pa.bool_()))],
-                                             names=["h"])
-
-    near = pairs.mapInArrow(confirm, "h long").distinct().withColumn("near", F.lit(True))
-    first = rows.select("h", "g", "id", "c", "at").groupBy("h").agg(
-        F.min(F.struct("id", "c", "at", "g")).alias("m"))
-    marked = first.join(near, "h", "left").withColumnRenamed("h", "fh")
+            found = []
+            for row in zip(*[batch[c].to_pylist() for c in names], strict=True):
+                if row[:3] != place:
+                    found += later_lines(group, edits)
+                    place, group = row[:3], []
+                group.append(row[3:])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(later_lines(group, edits), pa.int64())], names=["h"])
+
+    near = met.mapInArrow(confirm, "h long").distinct().withColumn("near", F.lit(True))
+    marked = distinct.select("h", F.struct("m.id", "m.c", "m.at", "m.g").alias("m")).join(near, "h", "left").withColumnRenamed("h", "fh")
     found = rows.select("id", "c", "at", "h", "g").join(
         marked, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("m.g")))
     is_first = (F.col("id").eqNullSafe(F.col("m.id")) & (F.col("c") == F.col("m.c"))

@@ -178,8 +178,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     on their full sets, in three steps that never list the pairs of a bucket already known to
     hang together: every document against one hub, then against the hubs of all its buckets, a
     bucket's hub being the document that shares most keys and so is most central, then the pairs
-    of different components in the buckets that still hold several. Of these a pair is left out if the shingles that only one document holds, which cannot be common, already put it
-    below the threshold; this bound loses no link.
+    of different components in the buckets that still hold several. Of these a pair is left out
+    if the shingles that only one document holds, which cannot be common, already put it below the
+    threshold; this bound loses no link.
 
     Null or empty texts have no shingle and stay alone. Repeated rows (same id and text) come out
     as often as they go in; a null id is kept and linked with nothing. Other columns are not read.
