@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,12 +57,12 @@ def limit_down(price: Column, previous_close: Column, pct: Column) -> Column:
     return price <= previous_close * (1 - pct) + LIMIT_TOLERANCE
 
 
-def execution_price(open_: Column | str, side: Column | str, slippage_bps: int) -> Column:
+def execution_price(open_: Column | str, side: Column | str, slippage_bps: float) -> Column:
     """Open moved against the trader by the slippage, buys up and sells down."""
     side = _col(side)
     exact = _col(open_).cast("decimal(30,18)")  # the shortest decimal form of the double
-    up = F.lit(f"{1 + slippage_bps / 10_000:.4f}").cast("decimal(6,4)")
-    down = F.lit(f"{1 - slippage_bps / 10_000:.4f}").cast("decimal(6,4)")
+    part = Decimal(str(slippage_bps)) / 10_000
+    up, down = (F.lit(str(1 + sign * part)).cast("decimal(10,8)") for sign in (1, -1))
     return (exact * F.when(side == "buy", up).otherwise(down)).cast("double")
 
 

@@ -13,12 +13,20 @@ from ..functions import session_label
 
 
 def small(days: DataFrame, on: str = "trade_date") -> DataFrame:
-    """Broadcast hint for a table of days, reduced to one row per day.
+    """Broadcast hint for a table of one row per day; a day with several different rows raises.
 
     That bounds its size whatever it is made from: a date column holds at most 3.7 million
     different days, and a market's history some tens of thousands.
     """
-    return F.broadcast(days.dropDuplicates([on]))
+    rest = [c for c in days.columns if c != on]
+    if not rest:
+        return F.broadcast(days.distinct())
+    row = F.struct(*rest)
+    one = days.groupBy(on).agg(F.min(row).alias("_row"), F.max(row).alias("_other"))
+    same = F.assert_true(F.col("_row") == F.col("_other"), f"a {on} has several different rows")
+    checked = one.where(same.isNull())
+    return F.broadcast(checked.select(*[F.col(f"_row.{c}").alias(c) if c != on else F.col(on)
+                                        for c in days.columns]))
 
 
 def sessions(bars: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import largest_group, ordered_scan, spread
+from ..plans import ordered_scan, spread
 from .calendars import small
 
 FOREVER = "9999-12-31"
@@ -171,11 +171,11 @@ def membership_overlap(memberships: DataFrame) -> DataFrame:
     A running maximum of the ends so far, instead of a self-join on ranges.
     """
     ends = memberships.withColumn("_end", _end("valid_to"))
-    size = largest_group(ends, ["symbol"])
+    year = F.year("valid_from")
     reach = ordered_scan(ends, ["symbol"], ["valid_from", "_end"],
-                         running={"_reach": ("max", "_end")}, group_rows=size)
+                         running={"_reach": ("max", "_end")}, slice_by=year)
     before = ordered_scan(reach, ["symbol"], ["valid_from", "_end"],
-                          previous={"_reach_before": "_reach"}, group_rows=size)
+                          previous={"_reach_before": "_reach"}, slice_by=year)
     return (before.where(F.col("valid_from") <= F.col("_reach_before"))
             .select("symbol", "valid_from", "valid_to",
                     F.col("_reach_before").alias("overlaps_until")))

@@ -54,7 +54,8 @@ def judge_bars(raw: DataFrame, requested: DataFrame, window_start, window_end) -
     Copies of a key are found by a pre-aggregated count. Only the keys that repeat are
     joined back, so a key with a huge number of copies is never gathered.
     """
-    asked = requested.select(F.col("symbol").alias("ts_code"), F.lit(True).alias("_requested"))
+    asked = requested.select(F.col("symbol").alias("ts_code")).distinct().withColumn(
+        "_requested", F.lit(True))
     repeated = duplicate_keys(
         raw.where(X.between_dates("trade_date", window_start, window_end)),
         ["ts_code", "trade_date"]).withColumnRenamed("copies", "_copies")

@@ -68,17 +68,24 @@ def momentum_argmax(bars: DataFrame, universe: DataFrame | None = None,
                     F.lit(target_weight).alias("target_weight")))
 
 
-def _ordinal_correlation(by: Sequence[str]) -> Column:
-    """Correlation of two ordinal ranks from integer sums.
+def _ordinal_correlation() -> Column:
+    """Correlation of two ordinal ranks of the same rows.
 
     Ordinal ranks of n rows are 0..n-1 in some order, so their mean and variance follow
-    from n, and only the sum of products needs the data.
+    from n, and only the sum of products needs the data. The sums are exact decimals of 38
+    digits, which hold the cubes of more rows than a table can have.
     """
+    def wide(c: Column) -> Column:
+        return c.cast("decimal(19,0)")
+
     n = F.count("*")
-    centre = n * (n - 1) * (n - 1)
-    spread = n * (n - 1) * (n + 1)
-    products = F.sum(F.col("_rx") * F.col("_ry"))
-    return F.when(n > 1, (12 * products - 3 * centre) / F.when(n > 1, spread)).otherwise(0.0)
+    count = n.cast("double")
+    products = F.sum(wide(F.col("_rx")) * wide(F.col("_ry"))).cast("decimal(38,0)")
+    whole = (n.cast("decimal(12,0)") * (n - 1).cast("decimal(12,0)")
+             * (n - 1).cast("decimal(12,0)")).cast("decimal(38,0)")
+    centred = (products * 4 - whole).cast("double")
+    return F.when(n > 1, 3 * centred / F.when(n > 1, count * (count - 1) * (count + 1))
+                  ).otherwise(0.0)
 
 
 def rank_ic_by_date(pairs: DataFrame, min_pairs: int = 3) -> DataFrame:
@@ -90,7 +97,7 @@ def rank_ic_by_date(pairs: DataFrame, min_pairs: int = 3) -> DataFrame:
         (F.row_number().over(day.orderBy("score", "symbol")) - 1).cast("bigint").alias("_rx"),
         (F.row_number().over(day.orderBy("label", "symbol")) - 1).cast("bigint").alias("_ry"))
     return (ranked.groupBy("trade_date")
-            .agg(F.count("*").alias("pairs"), _ordinal_correlation(["trade_date"]).alias("ic"))
+            .agg(F.count("*").alias("pairs"), _ordinal_correlation().alias("ic"))
             .where(F.col("pairs") >= min_pairs))
 
 
@@ -112,7 +119,7 @@ def feature_importance(scored: DataFrame, names: Sequence[str] = FEATURE_NAMES,
         (F.row_number().over(each.orderBy("value", "symbol")) - 1).cast("bigint").alias("_rx"),
         (F.row_number().over(each.orderBy("score", "symbol")) - 1).cast("bigint").alias("_ry"))
     return (ranked.groupBy("name")
-            .agg(F.round(F.abs(_ordinal_correlation(["name"])), 6).alias("weight"))
+            .agg(F.round(F.abs(_ordinal_correlation()), 6).alias("weight"))
             .orderBy(F.desc("weight"), "name").limit(top))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import resolve_state
 from ..plans import ordered_scan
-from ..plans.ordered import WINDOW_ROWS
 
 # Tolerances and the names of the bound fields.
 SUM_TOLERANCE = 1e-12
@@ -16,6 +15,7 @@ CONTRACT_FIELDS = (
     "data_schema", "normalization_version", "universe_policy", "universe_policy_version",
 )
 HASH_FIELDS = ("lockfile",)
+SLICE_ROWS = 100_000  # consecutive sequence numbers in a slice of an ordered scan
 
 
 def resolve_states(health: DataFrame) -> DataFrame:
@@ -113,13 +113,12 @@ def binding_issues(expected: DataFrame, actual: DataFrame, key: str = "run") ->
     return pairs.select(key, F.explode(found).alias("i")).select(key, "i.group", "i.code")
 
 
-def signal_chain_audit(signals: DataFrame, heads: DataFrame,
-                       window_rows: int = WINDOW_ROWS) -> DataFrame:
+def signal_chain_audit(signals: DataFrame, heads: DataFrame) -> DataFrame:
     """Broken links of every signal chain, one row per signal with its codes."""
     earlier = {f"_p_{c}": c for c in ("sequence", "document_hash", "as_of", "generated_at",
                                       "run_id", "signal_id")}
     linked = ordered_scan(signals, ["chain"], ["sequence", "generated_at", "signal_id"],
-                          previous=earlier, window_rows=window_rows)
+                          previous=earlier, slice_by=F.floor(F.col("sequence") / SLICE_ROWS))
     joined = linked.join(heads.drop("chain"), "signal_id", "left")
     first = F.col("_p_signal_id").isNull()
     rest = ~first

@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions import mask_message, redact_params, row_fingerprint, source_columns
 from ..plans import ordered_scan
-from ..plans.ordered import WINDOW_ROWS
 
 # Error reasons that mean "too many requests", and the page limit.
 RATE_LIMIT_REASONS = ("http_429", "rate_limit", "vendor_code_-2000")
 MAX_PAGES = 200
 
+SLICE_ROWS = 100_000  # consecutive sequence numbers in a slice of an ordered scan
+
 REQUEST_KEY = ["api_name", "request_id", "offset"]
 
 
-def attempts(log: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def attempts(log: DataFrame) -> DataFrame:
     """The log with ``is_retry``: the attempt before it on the same page failed in passing."""
     linked = ordered_scan(log, REQUEST_KEY, ["sequence"],
                           previous={"_before": "outcome", "_passing": "transient"},
-                          window_rows=window_rows)
+                          slice_by=F.floor(F.col("sequence") / SLICE_ROWS))
     retry = (F.col("_before") == "FAILURE") & F.col("_passing")
     return linked.withColumn("is_retry", F.coalesce(retry, F.lit(False))).drop(
         "_before", "_passing")
 
 
-def api_telemetry(log: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def api_telemetry(log: DataFrame) -> DataFrame:
     """Counters per API, and in total under ``(all)``."""
     passing = F.col("transient")
     limited = passing & F.col("error_reason").isin(*RATE_LIMIT_REASONS)
     fresh = ~F.col("is_retry")
-    counted = attempts(log, window_rows).rollup("api_name").agg(
+    counted = attempts(log).rollup("api_name").agg(
         F.count_if(fresh & (F.col("offset") == 0)).alias("logical_calls"),
         F.count_if(fresh).alias("pages"),
         F.count("*").alias("attempts"),
@@ -46,13 +47,13 @@ def api_telemetry(log: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
         & (F.col("attempts") == F.col("pages") + F.col("retries")))
 
 
-def page_audit(log: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def page_audit(log: DataFrame) -> DataFrame:
     """Findings per successful page of every request: the same page twice in a row, too
     many pages, or rows after a short page."""
     pages = log.where("outcome = 'SUCCESS'")
     linked = ordered_scan(pages, ["api_name", "request_id"], ["sequence"], number="page",
                           previous={"_hash": "page_hash", "_rows": "row_count"},
-                          window_rows=window_rows)
+                          slice_by=F.floor(F.col("sequence") / SLICE_ROWS))
     code = F.array_compact(F.array(
         F.when((F.col("page_hash") == F.col("_hash")) & (F.col("row_count") > 0),
                "IDENTICAL_PAGE"),

@@ -1,7 +1,6 @@
-from .joins import (
-    INTERVAL_ROWS, fits_broadcast, interval_join, interval_pick, interval_shape, spread,
-)
-from .ordered import largest_group, ordered_scan
+"""Join and scan helpers that hold one plan at every size."""
 
-__all__ = ["INTERVAL_ROWS", "fits_broadcast", "interval_join", "interval_pick",
-           "interval_shape", "largest_group", "ordered_scan", "spread"]
+from .joins import intervals_at, spread
+from .ordered import ordered_scan
+
+__all__ = ["intervals_at", "ordered_scan", "spread"]

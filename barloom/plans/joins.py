@@ -1,20 +1,10 @@
-"""Join helpers whose broadcast side is checked before it is hinted."""
+"""Join helpers that keep one plan at every size."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-INTERVAL_ROWS = 2_000  # each fact is tested against every interval of its key
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than one row past it."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Lay a small table over all shuffle partitions before it is expanded.
@@ -27,88 +17,26 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(partitions, *columns)
 
 
-def interval_join(
-    facts: DataFrame,
-    intervals: DataFrame,
-    on: Sequence[str],
-    at: str,
-    start: str,
-    end: str,
-    max_broadcast_rows: int = INTERVAL_ROWS,
-) -> DataFrame:
-    """Left join of facts to every closed interval that contains the date ``at``.
+def intervals_at(facts: DataFrame, intervals: DataFrame, key: str, at: str, start: str,
+                 end: str, name: str) -> DataFrame:
+    """``facts`` with ``name``: an array of the closed intervals of ``key`` that hold date ``at``.
 
-    ``end`` may be null (open). The key columns ``on`` are few and hot (three
-    markets hold all rows), so shuffling on them alone is the plan to avoid. A small
-    interval table is broadcast. A larger one is exploded to the months it touches
-    and joined on key and month, which spreads the hot key over the calendar and
-    leaves the rest to the skew join.
+    ``end`` may be null (open); an interval that ends before it starts holds no date. The distinct
+    (key, month) pairs of the facts, a few per month whatever their number, gather the intervals
+    that touch the month; the facts join these arrays by equality on key and month, which spreads a
+    hot key over the calendar. No fact is repeated or grouped, so equal facts stay apart.
     """
-    keys = list(on)
+    month = F.trunc(F.col(at), "month")
     until = F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
-    within: Column = (F.col(at) >= F.col(start)) & (F.col(at) <= until)
-    if fits_broadcast(intervals, max_broadcast_rows):
-        right = intervals.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                                 *[c for c in intervals.columns if c not in keys])
-        match = within
-        for k in keys:
-            match = match & (F.col(k) == F.col(f"_k_{k}"))
-        return facts.join(F.broadcast(right), match, "left").drop(*[f"_k_{k}" for k in keys])
-    last = facts.agg(F.max(at)).first()[0]
-    if last is None:
-        last = "1970-01-01"
-    clipped = F.least(until, F.lit(last).cast("date"))
-    months = (
-        spread(intervals, *keys, start).where(F.col(start) <= F.lit(last).cast("date"))
-        .withColumn("_month", F.explode(F.sequence(
-            F.trunc(F.col(start), "month"), F.trunc(clipped, "month"), F.expr("interval 1 month"))))
-    )
-    right = months.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                          F.col("_month").alias("_k_month"),
-                          *[c for c in intervals.columns if c not in keys])
-    match = within & (F.trunc(F.col(at), "month") == F.col("_k_month"))
-    for k in keys:
-        match = match & (F.col(k) == F.col(f"_k_{k}"))
-    return facts.join(right, match, "left").drop("_k_month", *[f"_k_{k}" for k in keys])
-
-
-def interval_shape(intervals: DataFrame, key: str, start: str, end: str,
-                   max_rows: int = INTERVAL_ROWS) -> tuple[bool, bool]:
-    """Whether an interval table is small, and whether intervals of a key overlap.
-
-    One job that reads at most one row more than ``max_rows``; the second answer counts
-    only when the first is true.
-    """
-    earlier = (Window.partitionBy(key).orderBy(start, end)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    until = F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
-    row = (intervals.select(key, start, end).limit(max_rows + 1)
-           .withColumn("_reach", F.max(until).over(earlier))
-           .agg(F.count("*").alias("n"),
-                F.count_if(F.col(start) <= F.col("_reach")).alias("overlaps")).first())
-    return row.n <= max_rows, row.overlaps > 0
-
-
-def interval_pick(
-    facts: DataFrame,
-    intervals: DataFrame,
-    key: str,
-    at: str,
-    start: str,
-    end: str,
-    columns: Sequence[str],
-) -> DataFrame:
-    """Facts with the number of intervals that contain their date and one of them.
-
-    For an interval table small enough to broadcast (check it first): the intervals of a
-    key are gathered in one array, so no fact is repeated however many match.
-    """
-    one = F.struct(*columns, start, end)
-    lists = intervals.groupBy(F.col(key).alias("_k")).agg(F.collect_list(one).alias("_all"))
-    joined = facts.join(F.broadcast(lists), F.col(key) == F.col("_k"), "left")
+    months = facts.select(F.col(key).alias("_key"), month.alias("_month")).distinct()
+    touching = intervals.where(F.col(start) <= until)
+    touching = months.join(
+        touching, (F.col("_key") == F.col(key)) & (F.trunc(F.col(start), "month") <= F.col("_month"))
+        & (until >= F.col("_month")))
+    one = F.struct(*[F.col(c) for c in intervals.columns if c != key])
+    lists = touching.groupBy("_key", "_month").agg(F.collect_list(one).alias("_all"))
+    joined = facts.join(lists, (F.col(key) == F.col("_key")) & (month == F.col("_month")), "left")
     hits = F.filter("_all", lambda s: (F.col(at) >= s[start]) & (
         s[end].isNull() | (F.col(at) <= s[end])))
-    found = joined.withColumn("_hits", F.coalesce(hits, F.array()))
-    first = F.get("_hits", F.lit(0))
-    return found.select(*facts.columns, F.size("_hits").cast("bigint").alias("matches"),
-                        *[first[c].alias(c) for c in columns])
+    return joined.withColumn(name, F.coalesce(hits, F.filter("_all", lambda s: F.lit(False)))).drop(
+        "_key", "_month", "_all")

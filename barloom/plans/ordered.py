@@ -2,15 +2,15 @@
 
 A window puts a whole group in one task. That is fine where a key bounds the group
 (one symbol has one row per session) and wrong where it does not: one account,
-chain or request key may hold a third of a table. ``ordered_scan`` measures the
-largest group with one pre-aggregated count and picks between a plain window and a
-range-partitioned scan:
+chain or request key may hold a third of a table. ``ordered_scan`` cuts every group into
+slices along its order, by a column of the data (a month, a block of sequence numbers):
 
-1. range partition by (keys, order), note the slice of each row, store the rows;
-2. compute the columns inside each (keys, slice);
-3. pre-aggregate every (keys, slice) to one row and carry the running state over the
-   slices of a key; at most one row per slice has anything to carry;
-4. join the carried state back and combine.
+1. compute the columns inside each (keys, slice);
+2. pre-aggregate every (keys, slice) to one row and carry the running state over the
+   slices of a key; a key has as many such rows as slices;
+3. join the carried state back on (keys, slice), where the rows already lie, and combine.
+
+There is one plan at every size, no job runs while it is built and nothing is stored.
 """
 
 from __future__ import annotations
@@ -20,25 +20,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
-
-WINDOW_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group (0 for an empty table)."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
-
-
-_RUNNING = {"sum": F.sum, "min": F.min, "max": F.max}
+_RUNNING = {"sum": F.sum, "min": F.min, "max": F.max, "min_before": F.min}
 
 
 def _combine(kind: str, carried: Column, local: Column) -> Column:
     if kind == "sum":
         return F.when(carried.isNull(), local).when(local.isNull(), carried).otherwise(
             carried + local)
-    return F.least(carried, local) if kind == "min" else F.greatest(carried, local)
+    return F.greatest(carried, local) if kind == "max" else F.least(carried, local)
 
 
 def ordered_scan(
@@ -46,53 +35,41 @@ def ordered_scan(
     keys: Sequence[str],
     order: Sequence[str],
     *,
+    slice_by: Column,
     number: str | None = None,
     running: Mapping[str, tuple[str, str]] | None = None,
     previous: Mapping[str, str] | None = None,
-    window_rows: int = WINDOW_ROWS,
-    group_rows: int | None = None,
 ) -> DataFrame:
     """Add row number, running aggregates and previous-row values to each group.
 
-    ``order`` must order a group totally. ``running`` maps a new column to
-    ``(kind, column)`` with kind sum, min or max over the rows so far; ``previous``
-    maps a new column to the column to take from the row before.
+    ``order`` must order a group totally and ``slice_by`` must not decrease along it; it should
+    keep a slice of a group within one task. ``running`` maps a new column to ``(kind, column)``
+    with kind sum, min or max over the rows so far, or min_before over the rows before;
+    ``previous`` maps a new column to the column to take from the row before.
     """
     running = dict(running or {})
     previous = dict(previous or {})
     keys, order = list(keys), list(order)
-    if group_rows is None:
-        group_rows = largest_group(df, keys)
-    if group_rows <= window_rows:
-        return _scan(df, keys, order, number, running, previous)
-
-    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(default, -(-df.count() // window_rows))
-    sliced = stored(
-        df.repartitionByRange(slices, *[F.col(c) for c in keys + order])
-        .withColumn("_scan_slice", F.spark_partition_id()),
-        "slices",
-    )
+    sliced = df.withColumn("_scan_slice", slice_by)
     local = _scan(sliced, keys + ["_scan_slice"], order, "_scan_n", running, previous)
     totals = [F.max("_scan_n").alias("_scan_rows")]
     for name, (kind, column) in running.items():
         totals.append(_RUNNING[kind](column).alias(f"_scan_end_{name}"))
     if previous:
         last = F.struct(*[F.col(c).alias(n) for n, c in previous.items()])
-        totals.append(F.max_by(last, F.struct(*order)).alias("_scan_last"))
+        totals.append(F.max_by(last, F.col("_scan_n")).alias("_scan_last"))
     ends = local.groupBy(*keys, "_scan_slice").agg(*totals)
-    before = (Window.partitionBy(*keys).orderBy("_scan_slice")
-              .rowsBetween(Window.unboundedPreceding, -1))
+    along = Window.partitionBy(*keys).orderBy("_scan_slice")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum("_scan_rows").over(before).alias("_scan_rows_before")]
     for name, (kind, _) in running.items():
         carried.append(_RUNNING[kind](f"_scan_end_{name}").over(before).alias(f"_scan_in_{name}"))
     if previous:
-        carried.append(F.lag("_scan_last").over(
-            Window.partitionBy(*keys).orderBy("_scan_slice")).alias("_scan_last_before"))
+        carried.append(F.lag("_scan_last").over(along).alias("_scan_last_before"))
     carry = (ends.select(*[F.col(k).alias(f"_scan_k_{k}") for k in keys],
                          F.col("_scan_slice").alias("_scan_k_slice"), *carried)
              .where("_scan_rows_before is not null"))
-    match = F.col("_scan_slice") == F.col("_scan_k_slice")
+    match = F.col("_scan_slice").eqNullSafe(F.col("_scan_k_slice"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_scan_k_{k}"))
     joined = local.join(carry, match, "left")
@@ -107,15 +84,15 @@ def ordered_scan(
     return joined.select(*out)
 
 
-def _scan(df: DataFrame, keys: list[str], order: list[str], number: str | None,
+def _scan(df: DataFrame, keys: list[str], order: list[str], number: str,
           running: Mapping[str, tuple[str, str]], previous: Mapping[str, str]) -> DataFrame:
     rows = Window.partitionBy(*keys).orderBy(*order)
     so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = []
-    if number:
-        new.append(F.row_number().over(rows).cast("bigint").alias(number))
+    earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
+    new = [F.row_number().over(rows).cast("bigint").alias(number)]
     for name, (kind, column) in running.items():
-        new.append(_RUNNING[kind](column).over(so_far).alias(name))
+        over = earlier if kind == "min_before" else so_far
+        new.append(_RUNNING[kind](column).over(over).alias(name))
     for name, column in previous.items():
         new.append(F.lag(column).over(rows).alias(name))
     return df.select("*", *new)

@@ -32,14 +32,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster such a
-    folder is lost with its machine.
+    Only a session in one process (``local`` or ``local[...]``) may fall back to a temporary
+    folder: on any cluster such a folder is lost with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _LOCAL_ROOT:

@@ -89,7 +89,8 @@ def split_securities(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _requested(rows: DataFrame, requested: DataFrame) -> DataFrame:
-    asked = requested.select(F.col("symbol").alias("ts_code"), F.lit(True).alias("_requested"))
+    asked = requested.select(F.col("symbol").alias("ts_code")).distinct().withColumn(
+        "_requested", F.lit(True))
     return rows.join(asked, "ts_code", "left")
 
 

@@ -11,7 +11,8 @@ from ..operators.quality import BAR_COLUMNS, bar_reason, with_units
 
 def stream_quality(raw: DataFrame, requested: DataFrame, window_start, window_end) -> DataFrame:
     """Every raw bar with its ``reason_code``. Repeated keys are left to ``stream_dedup``."""
-    asked = requested.select(F.col("symbol").alias("ts_code"), F.lit(True).alias("_requested"))
+    asked = requested.select(F.col("symbol").alias("ts_code")).distinct().withColumn(
+        "_requested", F.lit(True))
     joined = (raw.join(asked, "ts_code", "left")
               .withColumn("_in_window", X.between_dates("trade_date", window_start, window_end))
               .withColumn("_copies", F.lit(None).cast("bigint")))

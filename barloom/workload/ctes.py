@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
-SYMBOL = """(case {k} % 5 when 0 then '600' when 1 then '000' when 2 then '300' when 3 then '688'
- else '430' end || lpad(cast({k} // 5 as varchar), 3, '0') || case {k} % 5 when 0 then '.SH'
+HEAD = """(case {k} % 5 when 0 then '600' when 1 then '000' when 2 then '300' when 3 then '688'
+ else '430' end)"""
+SYMBOL = f"""(case when {{k}} // 5 < 88000
+ then lpad(cast(cast({HEAD} as bigint) * 1000 + {{k}} // 5 as varchar), 6, '0')
+ else {HEAD} || cast({{k}} // 5 as varchar) end || case {{k}} % 5 when 0 then '.SH'
  when 1 then '.SZ' when 2 then '.SZ' when 3 then '.SH' else '.BJ' end)"""
 SEQ = "(l_orderkey * 10000000 + l_partkey * 10 + l_linenumber)"
 
@@ -26,7 +29,7 @@ def half_up(x: str, places: int) -> str:
 
 CTES = {
     "kbars": f"""
-select l_suppkey % 5000 as k, cast(l_shipdate as date) as trade_date,
+select l_suppkey as k, cast(l_shipdate as date) as trade_date,
   arg_min(l_extendedprice / l_quantity, {SEQ}) as open, max(l_extendedprice / l_quantity) as high,
   min(l_extendedprice / l_quantity) as low, arg_max(l_extendedprice / l_quantity, {SEQ}) as close,
   cast(sum(cast(l_quantity as bigint)) as double) as volume,
@@ -34,7 +37,7 @@ select l_suppkey % 5000 as k, cast(l_shipdate as date) as trade_date,
 from lineitem group by all""",
     "bars": f"""
 select {symbol('k')} as symbol, trade_date, open, high, low, close, volume, amount from kbars""",
-    "instruments": "select distinct s_suppkey % 5000 as k from supplier",
+    "instruments": "select distinct s_suppkey as k from supplier",
     "trade_calendar": """
 select 'SSE' as exchange, d as cal_date, case when dayofweek(d) = 0 then 0 else 1 end as is_open,
   d - case when dayofweek(d) = 1 then 2 else 1 end as pretrade_date
@@ -97,7 +100,7 @@ select * from (values ('main', 100, 0.10::double), ('gem', 100, 0.20::double),
     "trades": f"""
 select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
     strftime(l_shipdate, '%Y%m%d')) as trade_id,
-  o_custkey as account, {symbol('(l_suppkey % 5000)')} as symbol,
+  o_custkey as account, {symbol('l_suppkey')} as symbol,
   cast(l_shipdate as date) as trade_date,
   case when l_returnflag = 'R' then 'sell' else 'buy' end as side,
   cast(l_quantity as bigint) * 100 as shares, l_extendedprice / l_quantity as price,
@@ -139,7 +142,7 @@ select chain, signal_id, as_of as head_as_of,
   sequence + case when signal_id % 71 = 0 then 1 else 0 end as head_sequence,
   document_hash as head_signal_hash from signals""",
     "targets": f"""
-select l_orderkey as signal_id, {symbol('(l_suppkey % 5000)')} as symbol,
+select l_orderkey as signal_id, {symbol('l_suppkey')} as symbol,
   l_quantity / 200 as weight from lineitem""",
     "health": """
 select o_orderkey as run, o_orderkey % 13 <> 0 as execution_data_valid,
@@ -253,7 +256,7 @@ select *, (transient_before and before = 'FAILURE') as is_retry from (
 CTES["rebalance_rows"] = f"""
 select coalesce(h.account, t.account) as account, coalesce(h.symbol, t.symbol) as symbol, h.shares,
   t.rank from holdings h full join (
-    select o_custkey as account, {symbol('(l_suppkey % 5000)')} as symbol,
+    select o_custkey as account, {symbol('l_suppkey')} as symbol,
       min(l_linenumber) as rank
     from lineitem join (select o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k
       as o_orderkey from orders group by 1) on l_orderkey = o_orderkey group by 1, 2) t

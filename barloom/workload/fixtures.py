@@ -18,7 +18,7 @@ FIRST_DAY, LAST_DAY = "1995-01-02", "2001-11-04"
 AS_OF = "2000-12-29"
 EXPECTED_AS_OF = "2001-11-03"
 OFFICIAL_HOST = "blog.tionsh.example.net"
-INSTRUMENTS = 5000
+SIX_DIGIT_TURNS = 88_000  # 600000 and this many more stay below 688000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,16 +30,23 @@ def day(text: str) -> Column:
 
 
 def symbol_of(k: Column) -> Column:
-    """Six-digit code and exchange of instrument ``k``; five families by ``k % 5``."""
+    """A code of its own and the exchange of instrument ``k``; five families by ``k % 5``.
+
+    Codes count up in six digits from the family's first one; instruments that six digits do not
+    hold without meeting another family get longer codes.
+    """
     family = (k % 5).cast("int") + 1
     head = F.element_at(F.array(*map(F.lit, ("600", "000", "300", "688", "430"))), family)
     tail = F.element_at(F.array(*map(F.lit, (".SH", ".SZ", ".SZ", ".SH", ".BJ"))), family)
-    return F.concat(head, F.lpad(F.floor(k / 5).cast("string"), 3, "0"), tail)
+    turn = F.floor(k / 5)
+    short = F.lpad((head.cast("bigint") * 1000 + turn).cast("string"), 6, "0")
+    return F.concat(F.when(turn < SIX_DIGIT_TURNS, short).otherwise(
+        F.concat(head, turn.cast("string"))), tail)
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
-        (F.col("l_suppkey") % INSTRUMENTS).alias("k"),
+        F.col("l_suppkey").alias("k"),
         F.col("l_shipdate").cast("date").alias("trade_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))
@@ -61,7 +68,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def instruments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(
-        (F.col("s_suppkey") % INSTRUMENTS).alias("k")).distinct()
+        F.col("s_suppkey").alias("k")).distinct()
 
 
 def trade_calendar(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +206,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey",
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                     F.date_format("l_shipdate", "yyyyMMdd")).alias("trade_id"),
-        symbol_of(F.col("l_suppkey") % INSTRUMENTS).alias("symbol"),
+        symbol_ofF.col("l_suppkey").alias("symbol"),
         F.col("l_shipdate").cast("date").alias("trade_date"),
         F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         (F.col("l_quantity").cast("bigint") * 100).alias("shares"),
@@ -243,7 +250,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
             F.col("o_orderdate").cast("date").alias("as_of"),
             F.when(F.col("o_orderstatus") == "F", "ACTIVE")
             .when(F.col("o_orderstatus") == "O", "HOLD").otherwise("REDUCE_ONLY").alias("state")),
-        ["chain"], ["as_of", "signal_id"], number="position")
+        ["chain"], ["as_of", "signal_id"], number="position", slice_by=F.trunc("as_of", "year"))
     sid = F.col("signal_id")
     made = numbered.select(
         "chain", "position", "signal_id", "as_of", "state",
@@ -256,7 +263,8 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
         "|", sid.cast("string"), "chain", "sequence", "state", F.col("as_of").cast("string"),
         "generated_at"), 256))
     linked = ordered_scan(hashed, ["chain"], ["position"],
-                          previous={"previous_signal_hash": "document_hash"})
+                          previous={"previous_signal_hash": "document_hash"},
+                          slice_by=F.floor(F.col("position") / 100_000))
     return linked.withColumn(
         "previous_signal_hash",
         F.when(sid % 59 == 0, F.sha2(sid.cast("string"), 256))
@@ -276,7 +284,7 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
     """Target weights of each signal: one per line item."""
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("signal_id"),
-        symbol_of(F.col("l_suppkey") % INSTRUMENTS).alias("symbol"),
+        symbol_ofF.col("l_suppkey").alias("symbol"),
         (F.col("l_quantity") / 200).alias("weight"))
 
 
@@ -421,7 +429,7 @@ def account_targets(spark: SparkSession, sf: str) -> DataFrame:
         F.max(F.struct("o_orderdate", "o_orderkey")).alias("m")).select(
         "account", F.col("m.o_orderkey").alias("l_orderkey"))
     return (table(spark, sf, "lineitem").join(latest, "l_orderkey")
-            .select("account", symbol_of(F.col("l_suppkey") % INSTRUMENTS).alias("symbol"),
+            .select("account", symbol_ofF.col("l_suppkey").alias("symbol"),
                     "l_linenumber")
             .groupBy("account", "symbol").agg(F.min("l_linenumber").alias("rank")))
 
@@ -432,7 +440,8 @@ def signal_pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("signal_id"), F.col("o_custkey").alias("chain"),
         F.col("o_orderdate").cast("date").alias("as_of"))
     linked = ordered_scan(listed, ["chain"], ["as_of", "signal_id"],
-                          previous={"previous_signal_id": "signal_id"})
+                          previous={"previous_signal_id": "signal_id"},
+                          slice_by=F.trunc("as_of", "year"))
     sid = F.col("signal_id")
     return linked.select("signal_id", "previous_signal_id", F.when(sid % 4 == 0, "ACTIVE").when(
         sid % 4 == 1, "HOLD").when(sid % 4 == 2, "REDUCE_ONLY").otherwise("FLAT").alias("state"))

@@ -18,7 +18,7 @@ from .registry import ORACLES, query
 def _tick_stream(session, sf):
     lines = Z.stream_table(session, sf, "lineitem.parquet")
     return lines.select(
-        T.symbol_of(F.col("l_suppkey") % T.INSTRUMENTS).alias("symbol"),
+        T.symbol_of(F.col("l_suppkey")).alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))

@@ -53,8 +53,9 @@ def test_constraints(spark):
         S.portfolio_constraints(targets_df(spark, data), universe, 0, .25, .5)
 
 
-@pytest.mark.parametrize("window_rows", [10**6, 2])
-def test_chain_audit(spark, window_rows):
+@pytest.mark.parametrize("slice_rows", [100_000, 2])
+def test_chain_audit(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(S, "SLICE_ROWS", slice_rows)
     data = [  # chain, id, sequence, as_of, generated_at, run, hash, previous hash
         ("ok", 1, 1, "2026-01-05", 10, "r1", "h1", None),
         ("ok", 2, 2, "2026-01-06", 20, "r2", "h2", "h1"),
@@ -69,7 +70,7 @@ def test_chain_audit(spark, window_rows):
                            F.col("sequence").alias("head_sequence"),
                            F.when(F.col("signal_id") == 3, "other")
                            .otherwise(F.col("document_hash")).alias("head_signal_hash"))
-    out = S.signal_chain_audit(signals, heads, window_rows=window_rows)
+    out = S.signal_chain_audit(signals, heads)
     assert rows(out, "signal_id", "codes") == [
         (1, []), (2, []), (3, ["HEAD_MISMATCH"]),
         (4, ["FIRST_SEQUENCE_NOT_ONE", "FIRST_HAS_PREVIOUS_HASH"]),
@@ -90,8 +91,9 @@ LOG = ("sequence int, api_name string, request_id int, offset int, page_limit in
        "outcome string, error_reason string, transient boolean, row_count int, page_hash string")
 
 
-@pytest.mark.parametrize("window_rows", [10**6, 2])
-def test_telemetry(spark, window_rows):
+@pytest.mark.parametrize("slice_rows", [100_000, 2])
+def test_telemetry(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(L, "SLICE_ROWS", slice_rows)
     ok = ("SUCCESS", None, False)
     log = spark.createDataFrame([
         (1, "daily", 1, 0, 10, "FAILURE", "http_429", True, 0, None),
@@ -102,12 +104,12 @@ def test_telemetry(spark, window_rows):
         (6, "cal", 2, 0, 10, "FAILURE", "bad_request", False, 0, None),
         (7, "cal", 2, 0, 10, "FAILURE", "timeout", True, 0, None),  # not a retry
         (8, "cal", 2, 0, 10, *ok, 1, "e")], LOG)
-    out = L.api_telemetry(log, window_rows)
+    out = L.api_telemetry(log)
     assert rows(out.drop("reconciles")) == [
         ("(all)", 3, 6, 8, 5, 3, 2, 2, 1, 1), ("cal", 2, 2, 3, 1, 2, 1, 1, 0, 1),
         ("daily", 1, 4, 5, 4, 1, 1, 1, 1, 0)]
     assert out.where("not reconciles").count() == 0
-    assert rows(L.page_audit(log, window_rows), "sequence", "code") == [
+    assert rows(L.page_audit(log), "sequence", "code") == [
         (3, "IDENTICAL_PAGE"), (5, "SHORT_PAGE_NOT_LAST")]
 
 
