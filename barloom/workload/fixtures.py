@@ -206,7 +206,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey",
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                     F.date_format("l_shipdate", "yyyyMMdd")).alias("trade_id"),
-        symbol_ofF.col("l_suppkey").alias("symbol"),
+        symbol_of(F.col("l_suppkey")).alias("symbol"),
         F.col("l_shipdate").cast("date").alias("trade_date"),
         F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         (F.col("l_quantity").cast("bigint") * 100).alias("shares"),
@@ -284,7 +284,7 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
     """Target weights of each signal: one per line item."""
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("signal_id"),
-        symbol_ofF.col("l_suppkey").alias("symbol"),
+        symbol_of(F.col("l_suppkey")).alias("symbol"),
         (F.col("l_quantity") / 200).alias("weight"))
 
 
@@ -429,7 +429,7 @@ def account_targets(spark: SparkSession, sf: str) -> DataFrame:
         F.max(F.struct("o_orderdate", "o_orderkey")).alias("m")).select(
         "account", F.col("m.o_orderkey").alias("l_orderkey"))
     return (table(spark, sf, "lineitem").join(latest, "l_orderkey")
-            .select("account", symbol_ofF.col("l_suppkey").alias("symbol"),
+            .select("account", symbol_of(F.col("l_suppkey")).alias("symbol"),
                     "l_linenumber")
             .groupBy("account", "symbol").agg(F.min("l_linenumber").alias("rank")))
 
