@@ -6,7 +6,7 @@ from .operators.costs import cost_segment_lookup, market_rules_lookup, trade_cos
 from .operators.coverage import audit_coverage
 from .operators.features import feature_panel, feature_replay, forward_labels, safe_labels
 from .operators.model import (
-    fit_multi_horizon, leak_checks, score_panel, training_matrix, walk_forward_split,
+    audit_leaks, fit_multi_horizon, leak_checks, score_panel, training_matrix, walk_forward_split,
 )
 from .operators.positions import (
     cash_balance, order_screen, position_ledger, rebalance_orders, sellable_shares,
@@ -23,7 +23,7 @@ from .sources import (
 )
 
 __all__ = [
-    "as_of", "audit_coverage", "bars_from_ticks", "binding_issues", "build_session",
+    "as_of", "audit_coverage", "audit_leaks", "bars_from_ticks", "binding_issues", "build_session",
     "calendar_index", "cash_balance", "cost_segment_lookup", "daily_rank", "dataset_fingerprint",
     "eligible_bars", "feature_panel", "feature_replay", "fit_multi_horizon", "forward_labels",
     "freshness", "label_sessions", "last_known_close", "leak_checks", "load_dataset",

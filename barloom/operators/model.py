@@ -130,41 +130,60 @@ def validation_pairs(scored: DataFrame, index: DataFrame,
                     F.col(f"label_end_{horizon}").alias("label_end")))
 
 
-def leak_checks(bars: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,
+def leak_checks(matrix: DataFrame, pairs: DataFrame, split: DataFrame, panel: DataFrame,
+                replayed: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,
                 universe_disclosed: bool = True) -> DataFrame:
-    """Six checks as rows (check_id, status, violations), each computed from the data
-    except the disclosure, which is declared."""
-    index = calendar_index(sessions(bars))
-    split = walk_forward_split(index).first()
-    ordered = (F.col("train_end") < F.col("validation_start")) & (
-        F.col("validation_start") <= F.col("validation_end")) & (
-        F.col("validation_end") < F.col("test_start"))
-    monotonic = walk_forward_split(index).select(
-        F.lit("temporal_split_monotonic").alias("check_id"),
-        F.count_if(~ordered).over(Window.partitionBy(F.lit(0))).alias("violations"))
-    matrix = training_matrix(bars, index, split.train_end, horizons)
+    """Six checks as rows (check_id, status, violations) on the tables a model was made from.
+
+    ``matrix`` is the training matrix with labels, ``pairs`` the validation pairs with their
+    ``label_end``, ``split`` the one row of the walk-forward split, ``panel`` the feature panel up
+    to the end of validation and ``replayed`` the same from data cut there. Every violation is
+    counted in these tables; the disclosure is declared.
+    """
+    bounds = small_row(split)
     escaped = F.lit(False)
     for h in horizons:
         escaped = escaped | F.coalesce(
-            F.col(f"label_end_{h}") > F.lit(split.train_end), F.lit(False))
-    train = matrix.agg(
-        F.count_if(escaped).alias("label_window_inside_train"),
-        F.count_if(F.col("trade_date") > F.lit(split.train_end))
-        .alias("training_rows_time_ordered"),
-    ).unpivot([], ["label_window_inside_train", "training_rows_time_ordered"], "check_id",
-              "violations")
-    scored = panel_with_labels(bars, (VALIDATION_HORIZON,)).withColumn("score", F.col("ret_20d"))
-    validation = validation_pairs(scored, index).agg(
-        F.count_if(F.col("label_end") >= F.lit(split.test_start)).alias("violations")).select(
-        F.lit("validation_labels_outside_test").alias("check_id"), "violations")
-    full = feature_panel(bars).where(F.col("trade_date") <= F.lit(split.validation_end))
-    again = feature_panel(bars, as_of=split.validation_end)
-    truncation = panel_difference(full, again).agg(
+            F.col(f"label_end_{h}") > F.col("train_end"), F.lit(False))
+    ordered = (F.col("train_end") < F.col("validation_start")) & (
+        F.col("validation_start") <= F.col("validation_end")) & (
+        F.col("validation_end") < F.col("test_start"))
+
+    def counted(table: DataFrame, **checks: Column) -> DataFrame:
+        return table.agg(*[F.count_if(bad).alias(name) for name, bad in checks.items()]).unpivot(
+            [], list(checks), "check_id", "violations")
+
+    declared = 0 if universe_disclosed else 1
+    rows = counted(split, temporal_split_monotonic=~F.coalesce(ordered, F.lit(False)))
+    rows = rows.union(counted(
+        matrix.join(bounds), label_window_inside_train=escaped,
+        training_rows_time_ordered=F.col("trade_date") > F.col("train_end")))
+    rows = rows.union(counted(pairs.join(bounds), validation_labels_outside_test=F.col(
+        "label_end") >= F.col("test_start")))
+    rows = rows.union(panel_difference(panel, replayed).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("violations")).select(
-        F.lit("feature_pit_truncation_invariant").alias("check_id"), "violations")
-    disclosed = monotonic.select(F.lit("universe_fixed_audit_set_disclosed").alias("check_id"),
-                                 F.lit(0 if universe_disclosed else 1).cast("bigint")
-                                 .alias("violations"))
-    rows = monotonic.union(train).union(validation).union(truncation).union(disclosed)
+        F.lit("feature_pit_truncation_invariant").alias("check_id"), "violations"))
+    rows = rows.union(split.agg(F.lit(declared).cast("bigint").alias("violations")).select(
+        F.lit("universe_fixed_audit_set_disclosed").alias("check_id"), "violations"))
     return rows.select("check_id", F.when(F.col("violations") == 0, "pass").otherwise("fail")
                        .alias("status"), F.col("violations").cast("bigint").alias("violations"))
+
+
+def small_row(split: DataFrame) -> DataFrame:
+    """Broadcast hint for the one row of a split."""
+    return F.broadcast(split.select("train_end", "validation_start", "validation_end",
+                                    "test_start").limit(1))
+
+
+def audit_leaks(bars: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,
+                universe_disclosed: bool = True) -> DataFrame:
+    """``leak_checks`` on the matrix, pairs, split and panels that the library makes of ``bars``."""
+    index = calendar_index(sessions(bars))
+    split = walk_forward_split(index)
+    found = split.first()
+    matrix = training_matrix(bars, index, found.train_end, horizons)
+    scored = panel_with_labels(bars, (VALIDATION_HORIZON,)).withColumn("score", F.col("ret_20d"))
+    panel = feature_panel(bars).where(F.col("trade_date") <= F.lit(found.validation_end))
+    return leak_checks(matrix, validation_pairs(scored, index), split, panel,
+                       feature_panel(bars, as_of=found.validation_end), horizons,
+                       universe_disclosed)

@@ -20,20 +20,28 @@ def walk_forward_split(spark, sf):
     return G.walk_forward_split(C.calendar_index(C.sessions(T.bars(spark, sf))))
 
 
-SAFE = "case when s.idx + {h} <= c.idx and l{h}.label_end <= c.trade_date then {v} end"
+SAFE = "case when s.idx + {h} <= c.idx and l.end_{h} <= c.trade_date then {v} end"
+#: Labels of all horizons in one pass over the bars.
+LEADS = "(select symbol, trade_date, " + ", ".join(
+    f"lead(close, {h}) over w / close - 1 as label_{h}, lead(trade_date, {h}) over w as end_{h}"
+    for h in (1, 3, 5)) + " from bars window w as (partition by symbol order by trade_date))"
+
+
+def _cut_sql(columns: str, last: str) -> str:
+    """Columns of the panel with labels up to the day of the split named ``last``."""
+    return f"""select {columns}
+from features f join {LEADS} l on l.symbol = f.symbol and l.trade_date = f.trade_date
+join sessions s on s.trade_date = f.trade_date,
+  (select * from sessions where trade_date = (select {last} from split)) c
+where f.trade_date <= c.trade_date"""
 
 
 def _matrix_sql() -> str:
     features = ", ".join(f"round(f.{n}, 6) as {n}" for n in X.FEATURE_NAMES)
     labels = ", ".join(
-        f"round({SAFE.format(h=h, v=f'l{h}.label')}, 6) as label_{h}, "
-        f"{SAFE.format(h=h, v=f'l{h}.label_end')} as label_end_{h}" for h in (1, 3, 5))
-    joins = " ".join(f"join labels_h l{h} on l{h}.symbol = f.symbol and l{h}.horizon = {h} "
-                     f"and l{h}.trade_date = f.trade_date" for h in (1, 3, 5))
-    return f"""select f.symbol, f.trade_date, {features}, {labels}
-from features f {joins} join sessions s on s.trade_date = f.trade_date,
-  (select * from sessions where trade_date = (select train_end from split)) c
-where f.trade_date <= c.trade_date"""
+        f"round({SAFE.format(h=h, v=f'l.label_{h}')}, 6) as label_{h}, "
+        f"{SAFE.format(h=h, v=f'l.end_{h}')} as label_end_{h}" for h in (1, 3, 5))
+    return _cut_sql(f"f.symbol, f.trade_date, {features}, {labels}", "train_end")
 
 
 def _matrix(spark, sf):
@@ -63,13 +71,52 @@ def score_panel(spark, sf):
     return G.score_panel(panel, models).select("symbol", "trade_date", "score")
 
 
+def _planted_sql() -> str:
+    """The matrix that ends with the validation part, and the end of training."""
+    ends = ", ".join(f"{SAFE.format(h=h, v=f'l.end_{h}')} as label_end_{h}" for h in (1, 3, 5))
+    return _cut_sql(f"f.trade_date, {ends}, (select train_end from split) as train_end",
+                    "validation_end")
+
+
 @query("leak_checks", """
 select check_id, 'pass' as status, 0::bigint as violations from (values
   ('temporal_split_monotonic'), ('label_window_inside_train'), ('training_rows_time_ordered'),
   ('validation_labels_outside_test'), ('feature_pit_truncation_invariant'),
   ('universe_fixed_audit_set_disclosed')) t(check_id)""")
 def leak_checks(spark, sf):
-    return G.leak_checks(T.bars(spark, sf))
+    return G.audit_leaks(T.bars(spark, sf))
+
+
+@query("leak_checks_planted", f"""
+select check_id, case when violations = 0 then 'pass' else 'fail' end as status, violations
+from (
+  select 'temporal_split_monotonic' as check_id, 1::bigint as violations
+  union all select 'label_window_inside_train', count(*) from ({_planted_sql()})
+    where greatest(label_end_1, label_end_3, label_end_5) > train_end
+  union all select 'training_rows_time_ordered', count(*) from ({_planted_sql()})
+    where trade_date > train_end
+  union all select 'validation_labels_outside_test', count(*) from features f
+    join labels_h l on l.symbol = f.symbol and l.trade_date = f.trade_date and l.horizon = 5,
+    split p where f.trade_date between p.validation_start and p.validation_end
+    and l.label_end >= p.test_start
+  union all select 'feature_pit_truncation_invariant', count(*) from features, split
+    where trade_date = validation_end
+  union all select 'universe_fixed_audit_set_disclosed', 1)""")
+def leak_checks_planted(spark, sf):
+    """Tables with a leak for every check: a matrix up to the end of validation, pairs without
+    their guard, a replay that lacks a day, a split in the wrong order."""
+    bars = T.bars(spark, sf)
+    index = C.calendar_index(C.sessions(bars))
+    split = G.walk_forward_split(index)
+    found = split.first()
+    matrix = G.training_matrix(bars, index, found.validation_end)
+    pairs = X.panel_with_labels(bars, (5,)).where(F.col("trade_date").between(
+        F.lit(found.validation_start), F.lit(found.validation_end))).select(
+        F.col("label_end_5").alias("label_end"))
+    panel = X.feature_panel(bars).where(F.col("trade_date") <= F.lit(found.validation_end))
+    replayed = panel.where(F.col("trade_date") < F.lit(found.validation_end))
+    wrong = split.withColumn("validation_end", F.date_sub("validation_start", 1))
+    return G.leak_checks(matrix, pairs, wrong, panel, replayed, universe_disclosed=False)
 
 
 PAIRS = """
@@ -141,7 +188,7 @@ def model_document(spark, sf):
     scored = R.score_with(panel, F.col("ret_20d"))
     ranks = R.daily_rank(scored.select("symbol", "trade_date", "score"))
     split = G.walk_forward_split(C.calendar_index(C.sessions(bars)))
-    docs = build(ranks, R.feature_importance(scored), G.leak_checks(bars), split, ["SYNTHETIC"])
+    docs = build(ranks, R.feature_importance(scored), G.audit_leaks(bars), split, ["SYNTHETIC"])
     return docs.select("trade_date", "ranked",
                        F.get_json_object("document", "$.rankings[0].symbol").alias("best"))
 

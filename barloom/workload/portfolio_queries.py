@@ -369,8 +369,7 @@ from (select k.*, h.symbol is not null as held, h.locked, l.trade_date as last_d
       when rnk <= 5 then 'BUY' when h.symbol is not null then 'SELL' else 'WATCH' end
       as recommendation
   from (select * from ranked where trade_date = (select max(trade_date) from ranked)) k
-  left join (select symbol, sum(locked_shares) as locked from holdings where account % 10 = 1
-    group by 1) h on h.symbol = k.symbol
+  left join (select symbol, sum(locked_shares) as locked from holdings group by 1) h on h.symbol = k.symbol
   left join (select symbol, trade_date, close,
       lag(close) over (partition by symbol order by trade_date) as before from bars
     qualify row_number() over (partition by symbol order by trade_date desc) = 1) l
@@ -381,8 +380,8 @@ def recommend(spark, sf):
     panel = X.feature_panel(bars).select("symbol", "trade_date", F.col("ret_20d").alias("score"))
     last = panel.agg(F.max("trade_date")).first()[0]
     ranks = R.daily_rank(panel.where(F.col("trade_date") == F.lit(last)))
-    # The portfolio is the pooled holdings of one account group.
-    held = (T.holdings(spark, sf).where("account % 10 = 1").groupBy("symbol")
+    # The portfolio is the pooled holdings of all accounts.
+    held = (T.holdings(spark, sf).groupBy("symbol")
             .agg(F.sum("locked_shares").alias("locked_shares")))
     out = R.recommend(ranks, held, B.latest_two(bars), T.market_rules(spark), last, T.LAST_DAY, 5)
     return joined_codes(out, "risk_notes")

@@ -67,11 +67,9 @@ def implied_vwap_check(spark, sf):
 
 @query("ohlc_check", """
 select ts_code as symbol, trade_date, open, high, low from raw_bars
-where not isnan(close) and (low > high or low > least(open, close) or high < greatest(open, close))
-  """)
+where low > high or low > least(open, close) or high < greatest(open, close)""")
 def ohlc_check(spark, sf):
-    usable = Q.with_units(T.raw_bars(spark, sf)).where("not isnan(close)")
-    return Q.ohlc_check(usable).drop("close")
+    return Q.ohlc_check(Q.with_units(T.raw_bars(spark, sf))).drop("close")
 
 
 @query("closed_day_bars", """
@@ -242,12 +240,13 @@ select distinct symbol from lifecycles where symbol not in (
   join open_days d on d.trade_date = s.trade_date
   where suspend_type = 'S' and s.trade_date >= listed_on
     and s.trade_date <= coalesce(delisted_on, date '9999-12-31')
-    and dayofyear(s.trade_date) = 100 and year(s.trade_date) = 1996)""")
+    and substr(s.ts_code, 6, 1) not in ('3', '8'))""")
 def suspension_evidence(spark, sf):
-    # The evidence is asked of one fixed day, so that some symbols lack it.
-    on_day = T.suspensions(spark, sf).where(
-        (F.dayofyear("trade_date") == 100) & (F.year("trade_date") == 1996))
-    return V.suspension_evidence(T.lifecycles(spark, sf), on_day, T.open_days(spark, sf),
+    # Symbols whose code ends in 3 or 8 show no suspended session, only resumed ones.
+    kind = F.when(F.substring("ts_code", 6, 1).isin("3", "8"), "R").otherwise(
+        F.col("suspend_type"))
+    shown = T.suspensions(spark, sf).withColumn("suspend_type", kind)
+    return V.suspension_evidence(T.lifecycles(spark, sf), shown, T.open_days(spark, sf),
                                  T.lifecycles(spark, sf))
 
 

@@ -111,7 +111,7 @@ def test_split_and_leak_checks(spark, walk):
     n = len(days)
     assert tuple(split) == (days[int(n * .6) - 1], days[int(n * .6)], days[int(n * .78) - 1],
                             days[int(n * .78)])
-    assert {(r.check_id, r.status) for r in G.leak_checks(bars).collect()} == {
+    assert {(r.check_id, r.status) for r in G.audit_leaks(bars).collect()} == {
         (c, "pass") for c in (
             "temporal_split_monotonic", "label_window_inside_train",
             "training_rows_time_ordered", "validation_labels_outside_test",
@@ -120,6 +120,35 @@ def test_split_and_leak_checks(spark, walk):
         G.walk_forward_split(index.where("idx < 39")).collect()
 
 
+def test_each_leak_is_found(spark, walk):
+    bars = bars_df(spark, walk)
+    index = C.calendar_index(C.sessions(bars))
+    split = G.walk_forward_split(index)
+    found = split.first()
+    scored = X.panel_with_labels(bars, (5,)).withColumn("score", F.col("ret_20d"))
+    good = dict(
+        matrix=G.training_matrix(bars, index, found.train_end),
+        pairs=G.validation_pairs(scored, index), split=split,
+        panel=X.feature_panel(bars).where(F.col("trade_date") <= F.lit(found.validation_end)),
+        replayed=X.feature_panel(bars, as_of=found.validation_end))
+    late = F.date_add(F.lit(found.train_end), 1)
+    planted = {
+        "temporal_split_monotonic": dict(split=split.withColumn("validation_end", late).withColumn(
+            "validation_start", F.date_add(late, 1))),
+        "label_window_inside_train": dict(matrix=good["matrix"].withColumn("label_end_3", late)),
+        "training_rows_time_ordered": dict(matrix=good["matrix"].withColumn("trade_date", late)),
+        "validation_labels_outside_test": dict(pairs=good["pairs"].withColumn(
+            "label_end", F.lit(found.test_start))),
+        "feature_pit_truncation_invariant": dict(replayed=good["replayed"].withColumn(
+            "ret_5d", F.col("ret_5d") + 1)),
+        "universe_fixed_audit_set_disclosed": dict(universe_disclosed=False),
+    }
+    for check, leak in planted.items():
+        failed = {r.check_id for r in G.leak_checks(**(good | leak)).collect()
+                  if r.status == "fail"}
+        assert failed == {check}, (check, failed)
+
+
 def test_models_are_repeatable(spark):
     bars = bars_df(spark, random_walk([f"{n:06d}.SZ" for n in range(6)], 90))
     index = C.calendar_index(C.sessions(bars))
