@@ -102,29 +102,25 @@ def coverage_summary(classified: DataFrame, open_days: DataFrame, expected_membe
                      window_start, window_end) -> DataFrame:
     """One row: the counts of the audit, whether it passed, and why not.
 
-    The classified days are grouped by symbol and by session in one pass; both groupings
-    combine on the map side.
+    The classified days are grouped by symbol and by session; both groupings combine on the
+    map side, and each ends in one row.
     """
     first, last = (F.lit(str(d)).cast("date") for d in (window_start, window_end))
     names = {"bar": "BAR", "suspended": "SUSPENDED", "delisted": "EXPECTED_DELISTED",
              "missing": "MISSING"}
-    groups = classified.groupingSets(
-        [[F.col("symbol")], [F.col("trade_date")]], "symbol", "trade_date").agg(
+    by_symbol = classified.groupBy("symbol").agg(
         F.count("*").alias("expected"),
         *[F.count_if(F.col("class") == c).alias(n) for n, c in names.items()])
-    days = open_days.where(F.col("trade_date").between(first, last)).select(
-        "trade_date", F.lit(True).alias("_open"))
-    # A session without any member has no group, so the calendar is joined in full.
-    rows = groups.join(small(days), "trade_date", "full")
-    by_symbol = F.col("symbol").isNotNull()
-    sizes = [F.coalesce(F.sum(F.when(by_symbol, F.col(c))), F.lit(0)).alias(f"{c}_days")
-             for c in ("expected", *names)]
-    row = rows.agg(
-        *sizes, F.count_if(by_symbol & (F.col("expected") == F.col("missing")))
-        .alias("silent_symbols"),
-        F.count("_open").alias("sessions"),
-        F.count_if(F.col("_open") & (F.coalesce("expected", F.lit(0)) != expected_members))
+    row = by_symbol.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_days") for c in ("expected", *names)],
+        F.count_if(F.col("expected") == F.col("missing")).alias("silent_symbols"))
+    days = small(open_days.where(F.col("trade_date").between(first, last)).select("trade_date"))
+    by_session = classified.groupBy("trade_date").agg(F.count("*").alias("expected"))
+    calendar = days.join(by_session, "trade_date", "left").agg(
+        F.count("*").alias("sessions"),
+        F.count_if(F.coalesce("expected", F.lit(0)) != expected_members)
         .alias("anomalous_sessions"))
+    row = row.join(F.broadcast(calendar))  # one row each
     codes = F.array_compact(F.array(
         F.when(F.col("missing_days") > 0, "MISSING_MEMBER_DAYS"),
         F.when(F.col("silent_symbols") > 0, "SILENT_MEMBER_SKIP"),

@@ -227,16 +227,19 @@ def nav_metrics(spark, sf):
 select order_id, account, symbol, trade_date, side, shares, status,
   case when status = 'FILLABLE' then {half_up("""cast(cast(cast(open as varchar)
     as decimal(28,16)) * case side when 'buy' then 1.0020 else 0.9980 end as double)""", 6)}
-    end as execution_price
+    end as execution_price, cast(case when status <> 'FILLABLE' then null when side = 'sell'
+    then least(shares, held - locked) else shares // lot_size * lot_size end as bigint)
+    as fill_shares
 from (select o.*, case when board = 'unsupported' then 'UNSUPPORTED_BOARD'
     when side = 'sell' and held is null then 'NO_HOLDING'
     when side = 'sell' and held - locked <= 0 then 'T1_LOCKED'
     when open is null then 'SUSPENDED_NO_BAR' when last_close is null then 'NO_PREVIOUS_CLOSE'
     when side = 'buy' and open >= last_close * (1 + pct) - 1e-9 then 'LIMIT_UP_NO_FILL'
     when side = 'sell' and open <= last_close * (1 - pct) + 1e-9 then 'LIMIT_DOWN_NO_FILL'
+    when side = 'buy' and shares < lot_size then 'INSUFFICIENT_CASH'
     else 'FILLABLE' end as status
   from (select o.*, {BOARD.format(s='o.symbol')} as board, b.open, p.close as last_close,
-      h.shares as held, h.locked_shares as locked, r.price_limit_pct as pct
+      h.shares as held, h.locked_shares as locked, r.price_limit_pct as pct, r.lot_size
     from (select * exclude (trade_date), trade_date + case when shares % 900 = 0 then 1 else 0 end
         as trade_date from order_requests) o
     left join bars b on b.symbol = o.symbol and b.trade_date = o.trade_date
