@@ -150,7 +150,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     def dealt(df: DataFrame) -> DataFrame:
         return bucketizer.transform(df).withColumn("bucket", F.col("bucket").cast("int"))
 
-    firsts = sorted(dealt(ids).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
+    firsts = sorted(dealt(ids).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect(),
+                    key=lambda row: row["bucket"])
     lend = [(row["first"], firsts[i - 1]["bucket"]) for i, row in enumerate(firsts)]
     schema = T.StructType([T.StructField("first", docs.schema["doc_id"].dataType),
                            T.StructField("to", T.IntegerType())])

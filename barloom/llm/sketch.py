@@ -15,6 +15,7 @@ from .tables import stored
 from .words import mix, shingles, slices, utf8, word_hashes
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+GROUPS = 64  # counts of a document's shingles by hash, for the bound of the last step
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -145,24 +146,48 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return mixed.mapInArrow(compare, schema)
 
 
-def private_shingles(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``doc_id`` and ``own``: how many of its shingles no other of ``docs`` holds (if any)."""
+def shared_shingles(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id`` and ``shared``: by hash group, how many of its shingles others of ``docs`` hold.
+
+    Two documents have at most the sum of the groups' lesser counts in common.
+    """
+    ids = T.StructType([texts.schema["doc_id"]])
+    wanted = texts.join(docs, "doc_id", "left_semi").select("doc_id", "text")
+
+    def sets(batch: pa.RecordBatch):
+        data, offsets = utf8(batch["text"])
+        for a, b in slices(offsets):
+            yield a, b, *sets_of(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch["text"])
-            for a, b in slices(offsets):
-                values, begins = sets_of(data[offsets[a]:offsets[b]],
-                                         offsets[a:b + 1] - offsets[a], width)
+            for a, b, values, begins in sets(batch):
                 at = pa.array(np.repeat(np.arange(a, b), np.diff(begins)))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].take(at), pa.array(values.astype(np.int64))],
                     names=["doc_id", "h"])
 
-    schema = T.StructType([texts.schema["doc_id"], T.StructField("h", T.LongType())])
-    rows = texts.join(docs, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        expand, schema)
-    once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    return once.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, values, begins in sets(batch):
+                rows = np.repeat(np.arange(b - a), np.diff(begins))
+                group = (values % np.uint64(GROUPS)).astype(np.int64)
+                held = np.bincount(rows * GROUPS + group, minlength=(b - a) * GROUPS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(a, b - a), pa.ListArray.from_arrays(
+                        pa.array(np.arange(0, len(held) + 1, GROUPS), pa.int32()),
+                        pa.array(held.astype(np.int32)))], names=["doc_id", "held"])
+
+    once = wanted.mapInArrow(expand, T.StructType([*ids, T.StructField("h", T.LongType())]))
+    once = once.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    own = once.where("n = 1").groupBy(F.col("doc_id").alias("own_id")).agg(
+        F.collect_list(F.pmod(F.col("h"), F.lit(GROUPS)).cast("int")).alias("own"))
+    held = wanted.mapInArrow(count, T.StructType([
+        *ids, T.StructField("held", T.ArrayType(T.IntegerType()))]))
+    shared = F.transform("held", lambda n, i: n - F.size(F.filter(
+        F.coalesce("own", F.array().cast("array<int>")), lambda g: g == i)))
+    return held.join(own, F.col("doc_id") == F.col("own_id"), "left").select(
+        "doc_id", shared.alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32,
@@ -179,8 +204,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     hang together: every document against one hub, then against the hubs of all its buckets, a
     bucket's hub being the document that shares most keys and so is most central, then the pairs
     of different components in the buckets that still hold several. Of these a pair is left out
-    if the shingles that only one document holds, which cannot be common, already put it below the
-    threshold; this bound loses no link.
+    if a bound puts it below the threshold: shingles that only one document holds are not common,
+    and by groups of the others' hashes no more than the lesser count is. It loses no link.
 
     Null or empty texts have no shingle and stay alone. Repeated rows (same id and text) come out
     as often as they go in; a null id is kept and linked with nothing. Other columns are not read.
@@ -227,14 +252,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     mixed = split.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(
         "lo < hi").select("key")
     split = stored(split.join(mixed, "key", "left_semi"), "mixed")
-    own = stored(private_shingles(split.select(F.col("rep").alias("doc_id")).distinct(), texts,
-                                  width), "private").withColumnRenamed("doc_id", "rep")
-    split = split.join(own, "rep", "left").withColumn(
-        "shared", F.col("n") - F.coalesce("own", F.lit(0))).where(
-        F.col("shared") * 100 >= F.col("n") * percent)
+    shared = stored(shared_shingles(split.select(F.col("rep").alias("doc_id")).distinct(), texts,
+                                    width), "shared").withColumnRenamed("doc_id", "rep")
+    total = F.aggregate("shared", F.lit(0), lambda s, n: s + n)
+    split = split.join(shared, "rep").where(total * 100 >= F.col("n") * percent)
     x, y = (split.select("key", *[F.col(c).alias(c + end) for c in ("rep", "n", "c", "shared")])
             for end in ("_x", "_y"))
-    common = F.least("shared_x", "shared_y")
+    common = F.aggregate(F.zip_with("shared_x", "shared_y", lambda a, b: F.least(a, b)), F.lit(0),
+                         lambda s, n: s + n)
     rest = x.join(y, "key").where("c_x <> c_y and rep_x < rep_y").where(
         common * 100 >= (F.col("n_x") + F.col("n_y") - common) * percent).select(
         F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
