@@ -221,28 +221,35 @@ class ToxicityModel:
         empty.bias = math.log(share / (1 - share))
         if not len(labels) or labels.min() == labels.max():
             return empty
-        held = []
         data, offsets = empty.restored(pa.array(texts, pa.large_string()))
-        for a, b in slices(offsets):
-            windows, rows = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            held.append(np.unique(((rows + a) << bits) + windows))
-        held = np.concatenate(held)
-        rows, windows = held >> bits, held & ((1 << bits) - 1)
-        good = np.bincount(windows[labels[rows] == 1], minlength=1 << bits)
-        bad = np.bincount(windows[labels[rows] == 0], minlength=1 << bits)
+        good, bad = np.zeros((2, 1 << bits), np.int32)
+
+        def parts():
+            """Distinct windows of each row, a few rows at a time."""
+            for a, b in slices(offsets):
+                windows, rows = features(data[offsets[a]:offsets[b]],
+                                         offsets[a:b + 1] - offsets[a], bits)
+                both = np.unique((rows << bits) + windows)
+                yield a + (both >> bits), both & ((1 << bits) - 1)
+
+        for rows, windows in parts():
+            toxic = labels[rows] == 1
+            np.add.at(good, windows[toxic], 1)
+            np.add.at(bad, windows[~toxic], 1)
         ones, zeros = labels.sum(), (labels == 0).sum()
-        a, b = good + 0.5, bad + 0.5
-        c, d = ones - good + 0.5, zeros - bad + 0.5
+        seen = np.flatnonzero(good >= 2)
+        a, b = good[seen] + 0.5, bad[seen] + 0.5
+        c, d = ones - good[seen] + 0.5, zeros - bad[seen] + 0.5
         z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-        z[good < 2] = -9
-        chosen = np.argsort(-z, kind="stable")[:most]
-        chosen = chosen[z[chosen] > 2.5]
+        order = np.argsort(-z, kind="stable")[:most]
+        chosen = seen[order[z[order] > 2.5]]
         if not len(chosen):
             return empty
         empty.column[chosen] = np.arange(len(chosen))
         x = np.zeros((len(texts), len(chosen)), np.float32)
-        at = empty.column[windows]
-        x[rows[at >= 0], at[at >= 0]] = 1
+        for rows, windows in parts():
+            at = empty.column[windows]
+            x[rows[at >= 0], at[at >= 0]] = 1
         w, bias = _logistic(x, labels.astype(np.float32))
         return cls(restorer, empty.column, w, bias)
 
