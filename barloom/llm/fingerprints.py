@@ -143,12 +143,13 @@ def in_order(docs: DataFrame) -> DataFrame:
     number = F.col("doc_id").cast("double")
     ids = docs.select("doc_id").withColumn("number", number)
     cuts = ids.approxQuantile("number", [i / parts for i in range(1, parts)], 0.2 / parts)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="number", outputCol="bucket",
                             handleInvalid="keep")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return bucketizer.transform(df).withColumn("bucket", F.col("bucket").cast("int"))
+        return bucketizer.transform(df).withColumn("bucket", F.coalesce(
+            F.col("bucket").cast("int"), F.lit(len(splits))))
 
     firsts = sorted(dealt(ids).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect(),
                     key=lambda row: row["bucket"])

@@ -103,13 +103,15 @@ class LanguageModel:
         tables, roots, base = [], [], 0
         for text in folded.values():
             table = automaton(text, symbols, width)
-            root = table[0]
+            root, dead = table[0], len(table)  # ``dead`` follows a symbol the text lacks
+            start = np.where(root >= 0, root, dead)
             missing = table < 0
-            start = np.where(root >= 0, root, 0)
-            after = np.where(missing, start[None, :], table)
-            tables.append(2 * (after + base) + missing)
+            after = np.vstack([np.where(missing, start[None, :], table), start])
+            ended = np.vstack([missing, np.ones(width, bool)])
+            ended[0] = False  # no phrase ends before the first symbol
+            tables.append(2 * (after + base) + ended)
             roots.append(base)
-            base += len(table)
+            base += len(after)
         steps = np.concatenate(tables).ravel() if tables else np.zeros(0)
         return cls(list(folded), symbols, steps.astype(np.int32), np.array(roots, np.int64), width)
 
