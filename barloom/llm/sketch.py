@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     found = labelled(classes, "rep", labels, "component").select("s1", "s2", "component")
     return signed.join(found, ["s1", "s2"], "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id"))
+        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(),
+               F.coalesce("component", "doc_id"))
         .otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
