@@ -201,14 +201,13 @@ class ToxicityModel:
         return utf8(pa.array(out, pa.large_string()))
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        data, offsets = self.restored(texts)
         out = np.full(len(texts), self.bias)
-        for a, b in slices(offsets):
-            windows, rows = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        for start, end in slices(utf8(texts)[1]):
+            windows, rows = features(*self.restored(texts.slice(start, end - start)))
             found = self.column[windows]
             hit = found >= 0
             pairs = np.unique(rows[hit] * len(self.weights) + found[hit])
-            np.add.at(out, a + pairs // len(self.weights),
+            np.add.at(out, start + pairs // len(self.weights),
                       self.weights[pairs % len(self.weights)])
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -221,16 +220,18 @@ class ToxicityModel:
         empty.bias = math.log(share / (1 - share))
         if not len(labels) or labels.min() == labels.max():
             return empty
-        data, offsets = empty.restored(pa.array(texts, pa.large_string()))
         good, bad = np.zeros((2, 1 << bits), np.int32)
+        restored = [(at, empty.restored(pa.array(texts[at:at + 256], pa.large_string())))
+                    for at in range(0, len(texts), 256)]
 
         def parts():
             """Distinct windows of each row, a few rows at a time."""
-            for a, b in slices(offsets):
-                windows, rows = features(data[offsets[a]:offsets[b]],
-                                         offsets[a:b + 1] - offsets[a], bits)
-                both = np.unique((rows << bits) + windows)
-                yield a + (both >> bits), both & ((1 << bits) - 1)
+            for at, (data, offsets) in restored:
+                for a, b in slices(offsets):
+                    windows, rows = features(data[offsets[a]:offsets[b]],
+                                             offsets[a:b + 1] - offsets[a], bits)
+                    both = np.unique((rows << bits) + windows)
+                    yield at + a + (both >> bits), both & ((1 << bits) - 1)
 
         for rows, windows in parts():
             toxic = labels[rows] == 1
