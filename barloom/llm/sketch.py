@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .tables import stored
-from .words import mix, shingles, slices, utf8, word_hashes
+from .words import distinct, mix, shingles, slices, utf8, word_hashes
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 GROUPS = 64  # counts of a document's shingles by hash, for the bound of the last step
@@ -21,7 +21,7 @@ GROUPS = 64  # counts of a document's shingles by hash, for the bound of the las
 def sets_of(data: np.ndarray, offsets: np.ndarray, width: int):
     """Distinct shingle hashes row by row, ascending, and where each row's begin."""
     values, begins = shingles(*word_hashes(data, offsets), width)
-    rows = [np.unique(values[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    rows = [distinct(values[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
     sizes = np.array([len(r) for r in rows], np.int64)
     return (np.concatenate(rows) if rows else np.zeros(0, np.uint64),
             np.concatenate([[0], np.cumsum(sizes)]))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import slices, utf8
+from .words import distinct, slices, utf8
 
 #: What a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
@@ -206,7 +206,7 @@ class ToxicityModel:
             windows, rows = features(*self.restored(texts.slice(start, end - start)))
             found = self.column[windows]
             hit = found >= 0
-            pairs = np.unique(rows[hit] * len(self.weights) + found[hit])
+            pairs = distinct(rows[hit] * len(self.weights) + found[hit])
             np.add.at(out, start + pairs // len(self.weights),
                       self.weights[pairs % len(self.weights)])
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -230,7 +230,7 @@ class ToxicityModel:
                 for a, b in slices(offsets):
                     windows, rows = features(data[offsets[a]:offsets[b]],
                                              offsets[a:b + 1] - offsets[a], bits)
-                    both = np.unique((rows << bits) + windows)
+                    both = distinct((rows << bits) + windows)
                     yield at + a + (both >> bits), both & ((1 << bits) - 1)
 
         for rows, windows in parts():
