@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -52,12 +53,12 @@ def one_line(text: Column) -> Column:
 
 def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", least: int = 0, records_per_file: int = 3000,
-                   file_bytes: int = 256 << 20) -> None:
+                   file_bytes: int = 256 << 20, compression: str = "gzip") -> None:
     """Write each row as a response or revisit record with its request and metadata records.
 
     Among payloads of equal digest and at least ``least`` bytes the smallest id is the response;
     the others are revisits of it without payload. Rows that repeat an id and payload are all
-    responses, or all revisits. Files are plain WARC of at most ``records_per_file`` captures, and
+    responses, or all revisits. Files are WARC, gzipped whole, of at most ``records_per_file`` captures, and
     fewer if the largest page could make that more than ``file_bytes``; Spark's committed writer
     writes them, so a lost task leaves no half of a file.
 
@@ -114,7 +115,7 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     between = CRLF + CRLF
     (rows.select(F.concat_ws(between, metadata, main, request).alias("value"))
      .write.option("lineSep", between).option("maxRecordsPerFile", records_per_file)
-     .text(path))
+     .option("compression", compression).text(path))
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -146,7 +147,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives in ``path``, with payload size and SHA-1 of responses.
 
-    An archive is read whole by one task; the writer bounds its records. The payload is what
+    An archive, gzipped or not, is read whole by one task; the writer bounds its size. The payload is what
     follows the HTTP head. Digests of response payloads are those of the bytes read.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -164,7 +165,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 rows, size = [], 0
-                for fields, block in parse_records(content.as_py()):
+                data = content.as_py()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                for fields, block in parse_records(data):
                     kind = fields.get("warc-type")
                     payload = digest = None
                     if kind == "response":
