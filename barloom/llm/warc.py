@@ -58,9 +58,9 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
     Among payloads of equal digest and at least ``least`` bytes the smallest id is the response;
     the others are revisits of it without payload. Rows that repeat an id and payload are all
-    responses, or all revisits. Files are WARC, gzipped whole, of at most ``records_per_file`` captures, and
-    fewer if the largest page could make that more than ``file_bytes``; Spark's committed writer
-    writes them, so a lost task leaves no half of a file.
+    responses, or all revisits. Files are WARC, gzipped whole, of at most ``records_per_file``
+    captures, and fewer if the largest page could make that more than ``file_bytes``; Spark's
+    committed writer writes them, so a lost task leaves no half of a file.
 
     A null payload is empty; a null url is left out; a null id is written as an empty one and is
     never referred to unless no other id has its payload. Other columns are not read.
