@@ -21,10 +21,17 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 _LETTERS = 27  # space or other, a to z
 _GAPS = " .-_"
 _LEET = re.escape("".join(LEET))
+_LETTER, _PLAIN = r"[^\W\d_]", r"[^\W_]"  # a letter; a letter or digit
+_GAP = f"[{re.escape(_GAPS)}]{{1,2}}"
+_UNIT = f"(?:{_LETTER}|[{_LEET}])"
+#: Symbols before or after letters, a letter thrice, letters or symbols standing alone.
+#: ``suspects`` marks what this matches.
 _DISGUISE = re.compile(
-    rf"[^\W\d_]*(?:[{_LEET}]+[^\W\d_]+)+[{_LEET}]*"
-    + r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-    + rf"|(?<!\w)[^\W\d_](?:[{re.escape(_GAPS)}]{{1,2}}[^\W\d_](?!\w)){{3,}}")
+    rf"(?<!{_LETTER}){_LETTER}*+(?:[{_LEET}]+{_LETTER}++)+[{_LEET}]*"
+    + rf"|(?<!{_LETTER}){_LETTER}++[{_LEET}]+"
+    + rf"|{_LETTER}*({_LETTER})\1\1{_LETTER}*"
+    + rf"|(?<!{_PLAIN}){_UNIT}(?:{_GAP}{_UNIT}(?!{_PLAIN})){{3,}}")
+_HAS_LETTER = re.compile(_LETTER).search
 
 _BYTE = np.zeros(256, np.uint8)  # 1 letter, 2 leet symbol, 3 gap
 _BYTE[97:123] = _BYTE[65:91] = 1
@@ -78,9 +85,10 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 class Restorer:
     """Restores disguised words by the likeliest path through a lattice of letters.
 
-    A symbol may stand for its letters, or for a separator that is left out; a gap between single
-    letters is left out; a run of three or more equal letters stands for one or two. Each reading
-    has a channel cost; the trigram model scores the letters.
+    A symbol may stand for its letters, or for a separator that is left out (at no cost if it is an
+    exclamation mark at the end); a gap between single letters is left out; a run of three or more
+    equal letters stands for one or two. Each reading has a channel cost; the trigram model scores
+    the letters.
     """
 
     model: np.ndarray
@@ -94,8 +102,9 @@ class Restorer:
             while j < len(word) and word[j] == c:
                 j += 1
             if c in LEET:
+                none = 0.0 if c == "!" and j == len(word) else -6.0
                 for _ in range(i, j):
-                    steps.append([(o, -0.5) for o in LEET[c]] + [("", -6.0)])
+                    steps.append([(o, -0.5) for o in LEET[c]] + [("", none)])
             elif c in _GAPS:
                 steps.append([("", 0.0)])
             elif j - i >= 3:
@@ -131,25 +140,53 @@ class Restorer:
         return best
 
     def restore(self, text: str) -> str:
-        return _DISGUISE.sub(lambda m: self.read(m[0]), text.lower())
+        return _DISGUISE.sub(lambda m: self.read(m[0]) if _HAS_LETTER(m[0]) else m[0],
+                             text.lower())
 
     def read(self, word: str) -> str:
         """A disguised word read in stretches, so that a very long one costs linear time."""
         return "".join(self.decode(word[i:i + 64]) for i in range(0, len(word), 64))
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes begins, its lower-case code, and its kind as in _BYTE."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[starts]
+    code, kind = _LOWER[first].astype(np.int64), _BYTE[first]
+    wide = np.flatnonzero(first >= 128)
+    if len(wide):
+        at, lead = starts[wide], first[wide]
+        padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        value = np.where(lead < 0xE0, lead & 0x1F, np.where(lead < 0xF0, lead & 0x0F, lead & 0x07))
+        value = value.astype(np.int64)
+        for i, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            value = np.where(lead >= least, value << 6 | padded[at + i] & 0x3F, value)
+        seen, where = np.unique(value, return_inverse=True)
+        lower = [chr(v).lower()[0].replace("ς", "σ") for v in seen]
+        code[wide] = np.array([ord(c) for c in lower])[where]
+        kind[wide] = np.array([c.isalnum() and not c.isdecimal() for c in lower])[where]
+    return starts, code, kind
+
+
 def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that hold a symbol before a letter, a letter thrice, or letters standing alone."""
-    kind = _BYTE[data]
-    mark = np.zeros(len(data), bool)
-    letter, gap = kind == 1, kind == 3
-    mark[:-1] |= (kind[:-1] == 2) & letter[1:]
-    same = (_LOWER[data[1:]] == _LOWER[data[:-1]]) & letter[1:]
+    """Rows that may hold a symbol beside a letter, a letter thrice, or letters standing alone.
+
+    Characters are looked at across the ends of rows, so some rows without a disguise are marked.
+    """
+    starts, code, kind = characters(data)
+    mark = np.zeros(len(kind), bool)
+    letter, leet = kind == 1, kind == 2
+    mark[:-1] |= (leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:])
+    same = (code[1:] == code[:-1]) & letter[1:]
     mark[:-2] |= same[1:] & same[:-1]
-    mark[:-6] |= (letter[:-6] & gap[1:-5] & letter[2:-4] & gap[3:-3] & letter[4:-2] & gap[5:-1]
-                  & letter[6:]) if len(data) > 6 else False
+    place = np.flatnonzero(kind != 3)
+    unit = (letter | leet)[place]
+    apart = np.diff(place)  # 1 or 2 gaps between two characters
+    link = ((apart == 2) | (apart == 3)) & unit[:-1] & unit[1:]
+    mark[place[:-3][link[:-2] & link[1:-1] & link[2:]]] = True
     total = np.concatenate([[0], np.cumsum(mark)])
-    return total[offsets[1:]] > total[offsets[:-1]]
+    rows = total[np.searchsorted(starts, offsets)]
+    return rows[1:] > rows[:-1]
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = 22):

@@ -12,8 +12,8 @@ from barloom.llm.words import utf8
 TEXT = "you are such an idiot and a moron what a stupid scum of a loser " * 20
 
 
-def restorer(spark):
-    df = spark.createDataFrame([(TEXT,), (None,), ("",)], "text string")
+def restorer(spark, text=TEXT):
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
     return Restorer(language_model(trigram_counts(df)))
 
 
@@ -27,6 +27,35 @@ def test_disguises_are_restored(spark):
     assert len(model.restore("a" * 50_000 + " b")) > 0
 
 
+def test_every_form_of_disguise_is_marked_and_restored(spark):
+    model = restorer(spark, TEXT + "such shit such an ass " * 20)
+    for written, meant in (
+            ("i  d  i  o  t", "idiot"), ("i. d. i. o. t", "idiot"), ("i_d_i_o_t", "idiot"),
+            ("_i_d_i_o_t_", "idiot"), ("i__d__i__o__t", "idiot"), ("idio7", "idiot"),
+            ("idio7!", "idiot"), ("lo$3r", "loser"), ("sc*m", "scum"),
+            ("stup!d", "stupid"), ("a$$", "ass"), ("shi7", "shit"),
+            ("i d 1 o t", "idiot"), ("1.d.1.0.t", "idiot"), ("1 d 1 0 7", "idiot"),
+            ("schüüün", "schün"), ("SCHÜüÜN", "schün"), ("d.ü.n.n", "dünn"),
+            ("ё.л.к.а", "ёлка"), ("жжжук", "жук")):
+        for text in (written, f"ja {written} ja", f"({written})", f"ü {written}"):
+            assert suspects(*utf8(pa.array([text])))[0], text
+            assert meant in model.restore(text), (text, model.restore(text))
+    for text in ("plain words stay", "1 2 3 4 5", "the years 1999 and 2001", "dünn und schön",
+                 "a_b snake_case_name", "x - y - z"):
+        assert model.restore(text) == text
+    assert model.restore("what a loser!") in ("what a loser", "what a loser!")
+
+
+def test_suspects_agree_with_the_restorer_on_random_texts(spark):
+    import random
+    rng, model = random.Random(5), restorer(spark)
+    texts = ["".join(rng.choice("aabü ЖжÜς Σ1$!.-_ _xİ%\n") for _ in range(rng.randint(0, 12)))
+             for _ in range(4000)]
+    marked = suspects(*utf8(pa.array(texts)))
+    for text, mark in zip(texts, marked, strict=True):
+        assert mark or model.restore(text) == text.lower(), text
+
+
 def test_suspects_mark_every_text_that_restoring_changes(spark):
     model = restorer(spark)
     texts = ["plain", "1d10t", "sooo", "a b c d", "a.b.c.d", "x 12 y", "Ü1a", "", None, "the%%% a"]
