@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import mix
@@ -149,6 +149,29 @@ def line_rows(docs: DataFrame, least: int) -> DataFrame:
         F.xxhash64(F.lit(1), "line").alias("g"))
 
 
+def meetings(probes: DataFrame, part_rows: int) -> DataFrame:
+    """The rows (key, h, own) of each key that two lines have, with ``parts`` and ``part``.
+
+    The rows of a key are counted by a window, whose buffer spills. They are dealt to parts of about
+    ``part_rows`` lines; to up to four times larger ones if that makes more than 50 parts.
+    """
+    key = Window.partitionBy("key")
+    size = F.least(F.greatest(F.lit(part_rows), F.ceil(F.col("n") / 50)), F.lit(4 * part_rows))
+    rows = probes.select(
+        "*", F.count("*").over(key).alias("n"), F.max("own").over(key).alias("any_own"),
+        F.min("h").over(key).alias("low"), F.max("h").over(key).alias("high"))
+    rows = rows.where(F.col("any_own") & (F.col("low") != F.col("high")))
+    rows = rows.select("key", "h", "own", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+
+
+def dealt(met: DataFrame) -> DataFrame:
+    """Each row once for every pair ``x`` <= ``y`` of parts that its own part is in."""
+    other = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.withColumn("x", F.least("part", "other")).withColumn(
+        "y", F.greatest("part", "other"))
+
+
 def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col: str = "doc_id",
                    text_col: str = "text", part_rows: int = 500) -> DataFrame:
     """The lines to drop: ``id``, ``c`` (hash of the text), ``at`` (line from 0) and ``kind``.
@@ -158,8 +181,9 @@ def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col:
     characters, whether that one goes or not. Lines below ``least`` characters stay. Distinct
     lines are found by one aggregate, so a common line is one line thereafter. The lines that meet
     in a segment are compared where they meet, in pairs of parts of about ``part_rows`` lines if
-    they are many; no row is made for a pair that is not close. A line is known by
-    64 bits, and two lines that agree in them but not in 64 more are both left as they are.
+    they are many; no row is made for a pair that is not close, and no task holds more lines of a
+    segment than two parts. Each of n lines that meet is sent once for every part, so the rows sent
+    grow as n * n / ``part_rows`` (a fourth of that for the largest n). A line is known by 64 bits, and two lines that agree in them but not in 64 more are both left as they are.
 
     Null texts have no lines; repeated rows (same id and text) count as one document; null ids
     come first. An empty table gives no rows. Other columns are not read.
@@ -180,46 +204,8 @@ def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col:
 
     probes = distinct.select("h", F.col("m.line").alias("line")).mapInArrow(
         keys, "key long, h long, own boolean")
-    probes = probes.repartition(parts, "key").sortWithinPartitions("key", F.col("own").desc())
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lines of each key that two lines have, dealt to pairs of parts if they are many."""
-        last, held = None, []
-        for batch in batches:
-            columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "h", "own")]
-            cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-            out = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                key, h, own = (c[lo:hi] for c in columns)
-                if not len(key):
-                    continue
-                if key[0] != last:
-                    out += dealt(last, held)
-                    last, held = key[0], []
-                held.append((h, own))
-            if out:
-                yield as_batch(out)
-        if out := dealt(last, held):
-            yield as_batch(out)
-
-    def dealt(key, held: list) -> list:
-        if not held or len(held) == 1 and len(held[0][0]) == 1:
-            return []
-        h, own = (np.concatenate(x) for x in zip(*held, strict=True))
-        if not own.any() or (h == h[0]).all():
-            return []
-        count = -(-len(h) // part_rows)
-        part = (mix(h.astype(np.uint64), 23) % np.uint64(count)).astype(np.int32)
-        return [(np.full(len(h), key), h, own, part, np.minimum(part, i), np.maximum(part, i))
-                for i in range(count)]
-
-    def as_batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)],
-            names=["key", "h", "own", "part", "x", "y"])
-
-    met = probes.mapInArrow(meet, "key long, h long, own boolean, part int, x int, y int")
-    met = met.withColumnRenamed("h", "mh").join(distinct, F.col("mh") == F.col("h")).select(
+    met = meetings(probes, part_rows).withColumnRenamed("h", "mh")
+    met = dealt(met.join(distinct, F.col("mh") == F.col("h"))).select(
         "key", "x", "y", "part", "own", "h", "m.id", "m.c", "m.at", "m.line")
     names = met.columns
     met = met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")

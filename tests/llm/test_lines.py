@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from barloom.llm.lines import deduplicate_lines, repeated_lines, segment_keys, within
+from barloom.llm.lines import (
+    deduplicate_lines, dealt, meetings, repeated_lines, segment_keys, within,
+)
 
 
 def distance(a, b):
@@ -95,3 +97,32 @@ def test_close_lines_share_a_key():
         sides = [{(int(k), bool(o)) for w, k, o in zip(who, key, own, strict=True) if w == i}
                  for i in (0, 1)]
         assert any((k, True) in sides[1 - i] for i in (0, 1) for k, _ in sides[i])
+
+
+def test_a_hot_key_is_dealt_row_by_row(spark):
+    from pyspark.sql import functions as F
+    n, size = 3000, 20
+    probes = spark.range(n).selectExpr("7L as key", "id as h", "id % 3 = 0 as own").unionByName(
+        spark.createDataFrame([(8, 1, True), (9, 1, True), (9, 1, False), (10, 1, False),
+                               (10, 2, False), (11, 1, True), (11, 2, False)],
+                              "key long, h long, own boolean"))
+    met = meetings(probes, size)
+    rows = dealt(met)
+    for plan in (met, rows):  # no Python step sees a whole key
+        assert "InArrow" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["key"] for r in met.select("key").distinct().collect()} == {7, 11}
+    blocks = rows.where("key = 7").groupBy("x", "y").agg(F.count("*").alias("n"))
+    assert blocks.agg(F.max("n")).first()[0] <= 3 * 2 * 4 * size
+    one, two = (rows.where("key = 7").select("x", "y", F.col("h").alias(c),
+                                             F.col("part").alias(f"p{c}")) for c in "ab")
+    pairs = one.join(two, ["x", "y"]).where("a < b and (x = y or pa <> pb)")
+    assert pairs.count() == pairs.distinct().count() == n * (n - 1) // 2
+
+
+def test_lines_that_all_meet_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, "the same first third of it " + "".join(rng.choice("ab") for _ in range(9)) + tail)
+            for i, tail in enumerate(["", " one", " and another end"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["id"], r["at"], r["kind"]) for r in repeated_lines(df, part_rows=7).collect()}
+    assert got == brute(rows, 2, 24)
