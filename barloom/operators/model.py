@@ -92,6 +92,28 @@ def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HOR
         rows.unpersist()
 
 
+def production_fit(bars: DataFrame, index: DataFrame,
+                   horizons: Sequence[int] = DEFAULT_HORIZONS,
+                   **settings) -> tuple[DataFrame, dict[int, PipelineModel]]:
+    """The training matrix up to the production cutoff, and the models refitted on it."""
+    cutoff = production_cutoff(index, horizons).first()
+    if cutoff is None:
+        raise ValueError("no session has its longest label inside the data")
+    matrix = training_matrix(bars, index, cutoff.trade_date, horizons)
+    return matrix, fit_multi_horizon(matrix, horizons, **settings)
+
+
+def fit_summary(matrix: DataFrame, models: Mapping[int, PipelineModel]) -> DataFrame:
+    """Per horizon: the last day of the matrix, the rows with a usable label, and the trees."""
+    trees = [(h, m.stages[-1].getNumTrees) for h, m in sorted(models.items())]
+    counts = matrix.agg(F.max("trade_date").alias("cutoff"), *[
+        F.count(f"label_{h}").alias(str(h)) for h, _ in trees])
+    return counts.select("cutoff", F.explode(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(str(h)).alias("usable_rows"),
+                 F.lit(n).alias("trees")) for h, n in trees])).alias("m")).select(
+        "m.horizon", "cutoff", "m.usable_rows", "m.trees")
+
+
 def score_panel(features: DataFrame, models: Mapping[int, PipelineModel]) -> DataFrame:
     """Mean of the per-horizon predictions for every feature row."""
     scored = features

@@ -11,8 +11,6 @@ from ..operators import ranking as R
 from . import fixtures as T
 from .registry import query
 
-TREES = {"maxIter": 5}  # enough to check shapes; the model's own default is 120
-
 
 @query("walk_forward_split", """
 select train_end, validation_start, validation_end, test_start from split""")
@@ -61,16 +59,38 @@ def training_matrix(spark, sf):
 @query("fit_multi_horizon")
 def fit_multi_horizon(spark, sf):
     matrix = _matrix(spark, sf)
-    return G.model_importances(G.fit_multi_horizon(matrix, **TREES), matrix)
+    return G.model_importances(G.fit_multi_horizon(matrix), matrix)
 
 
 @query("score_panel")
 def score_panel(spark, sf):
-    models = G.fit_multi_horizon(_matrix(spark, sf), **TREES)
+    models = G.fit_multi_horizon(_matrix(spark, sf))
     panel = X.feature_panel(T.bars(spark, sf))
     return G.score_panel(panel, models).select("symbol", "trade_date", "score")
 
 
+def _fits_sql(model: str, cut: str) -> str:
+    """Usable rows, cutoff and trees per horizon of the matrix that ends with ``cut``."""
+    labels = ", ".join(f"{SAFE.format(h=h, v=f'l.label_{h}')} as label_{h}" for h in (1, 3, 5))
+    matrix = _cut_sql(f"f.trade_date, {labels}", "train_end").replace(
+        "(select train_end from split)", cut)
+    return " union all ".join(
+        f"select '{model}' as model, {h} as horizon, max(trade_date) as cutoff, "
+        f"count(label_{h}) as usable_rows, 120 as trees from ({matrix})" for h in (1, 3, 5))
+
+
+@query("model_fits", _fits_sql("evaluation", "(select train_end from split)") + " union all "
+       + _fits_sql("production", "(select trade_date from sessions where idx = "
+                                 "(select max(idx) - 5 from sessions))"))
+def model_fits(spark, sf):
+    matrix = _matrix(spark, sf)
+    found = G.fit_summary(matrix, G.fit_multi_horizon(matrix)).withColumn(
+        "model", F.lit("evaluation"))
+    bars = T.bars(spark, sf)
+    refit = G.fit_summary(*G.production_fit(bars, C.calendar_index(C.sessions(bars))))
+    return found.unionByName(refit.withColumn("model", F.lit("production")))
+
+
 def _planted_sql() -> str:
     """The matrix that ends with the validation part, and the end of training."""
     ends = ", ".join(f"{SAFE.format(h=h, v=f'l.end_{h}')} as label_end_{h}" for h in (1, 3, 5))
