@@ -1,10 +1,10 @@
-from .bars import stream_bars, stream_dedup
+from .bars import closing_tick, stream_bars, stream_dedup
 from .features import stream_features
 from .freshness import stream_freshness
 from .quality import stream_quality
 from .run import run_available, stream_table, streaming_session
 
 __all__ = [
-    "run_available", "stream_bars", "stream_dedup", "stream_features", "stream_freshness",
-    "stream_quality", "stream_table", "streaming_session",
+    "closing_tick", "run_available", "stream_bars", "stream_dedup", "stream_features",
+    "stream_freshness", "stream_quality", "stream_table", "streaming_session",
 ]

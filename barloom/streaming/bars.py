@@ -24,6 +24,21 @@ def stream_bars(ticks: DataFrame, key: str = "symbol", at: str = "ts", width: st
                     "close", "volume", "amount"))
 
 
+def closing_tick(ticks: DataFrame, at: str = "ts", width: str = "1 day",
+                 delay: str = "1 day") -> DataFrame:
+    """One row of nulls but for ``at``: a time that puts the watermark past the window of the last
+    tick. ``ticks`` is the whole input as a batch.
+
+    Its own window stays open, so a stream that ends with it emits every bar and none for it. It
+    belongs in the last batch that has ticks: those of later batches would be late.
+    """
+    end = F.max(F.window(F.col(at).cast("timestamp"), width).getField("end"))
+    last = ticks.agg(end.alias("end")).where(F.col("end").isNotNull()).select(
+        (F.col("end") + F.expr(f"interval {delay}")).alias("closing"))
+    return last.select(*[F.col("closing").cast(f.dataType).alias(f.name) if f.name == at
+                         else F.lit(None).cast(f.dataType).alias(f.name) for f in ticks.schema])
+
+
 def stream_dedup(rows: DataFrame, keys: Sequence[str], at: str = "ts",
                  delay: str = "1 day") -> DataFrame:
     """First row per key; state is dropped once the watermark has passed it."""

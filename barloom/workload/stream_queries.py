@@ -15,8 +15,7 @@ from .quality_queries import JUDGED, W
 from .registry import ORACLES, query
 
 
-def _tick_stream(session, sf):
-    lines = Z.stream_table(session, sf, "lineitem.parquet")
+def _ticks(lines):
     return lines.select(
         T.symbol_of(F.col("l_suppkey")).alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
@@ -36,9 +35,11 @@ def _stored_stream(spark, session, df, label):
 @query("stream_bars", """
 select * from bars where trade_date <= (select max(trade_date) - 2 from bars)""")
 def stream_bars(spark, sf):
-    # The windows of the last two days stay open behind the watermark.
     session = Z.streaming_session(spark)
-    bars = Z.stream_bars(_tick_stream(session, sf), width="1 day", delay="1 day")
+    ticks = _ticks(Z.stream_table(session, sf, "lineitem.parquet"))
+    closing = _stored_stream(
+        spark, session, Z.closing_tick(_ticks(T.table(session, sf, "lineitem"))), "closing-tick")
+    bars = Z.stream_bars(ticks.union(closing), width="1 day", delay="1 day")
     return spark.read.parquet(Z.run_available(bars, "stream-bars"))
 
 
