@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
 from .calendars import calendar_index, sessions, small
 from .features import (
     DEFAULT_HORIZONS, FEATURE_NAMES, feature_panel, mask_labels, panel_difference,
@@ -24,6 +25,7 @@ MIN_TRAINING_ROWS = 20
 VALIDATION_HORIZON = 5
 MODEL_SETTINGS = {"maxIter": 120, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 30}
 SEED = 20260804
+BINS, BIN_SAMPLE = 32, 10_000
 
 
 def session_splits(index: DataFrame) -> DataFrame:
@@ -70,15 +72,109 @@ def training_matrix(bars: DataFrame, index: DataFrame, cutoff,
     return mask_labels(panel, index, cut, horizons)
 
 
-def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,
-                      **settings) -> dict[int, PipelineModel]:
-    """One boosted-tree regressor per horizon, on the rows whose label is usable."""
-    params = {**MODEL_SETTINGS, "seed": SEED, **settings}
+@dataclass(frozen=True)
+class Trees:
+    """A fitted ensemble as plain rows.
+
+    ``nodes`` has (tree, node, feature, threshold, prediction) with the root as node 1 and the
+    children of n as 2n and 2n + 1; a leaf has no feature. A row goes left if its feature is at
+    most the threshold. ``weights`` has one factor per tree, ``importances`` one share per feature.
+    """
+
+    nodes: tuple[tuple[int, int, str | None, float | None, float], ...]
+    weights: tuple[float, ...]
+    importances: tuple[float, ...]
+
+
+def bin_edges(training: DataFrame, bins: int = BINS, sample: int = BIN_SAMPLE) -> list[list[float]]:
+    """Ascending edges of each feature, at most ``bins - 1``: values at even ranks of a sample.
+
+    The sample is the rows whose hash of symbol and date is small, about ``sample`` of them
+    whatever the size of the table; all rows if there are fewer.
+    """
+    rows = training.count()
+    name = F.concat_ws("|", "symbol", F.col("trade_date").cast("string"))
+    hashed = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("decimal(20,0)")
+    picked = training.where(hashed * rows < F.lit(sample * 2**32).cast("decimal(38,0)"))
+    edges = []
+    for values in zip(*picked.select(*FEATURE_NAMES).collect(), strict=True):  # about ``sample``
+        ranked, n = sorted(values), len(values)
+        edges.append(sorted({ranked[-(-q * n // bins) - 1] for q in range(1, bins)}))
+    return edges or [[] for _ in FEATURE_NAMES]
+
+
+def binned(features: DataFrame, edges: Sequence[Sequence[float]]) -> list[Column]:
+    """For each feature, the number of edges below its value."""
+    def place(name: str, own: Sequence[float]) -> Column:
+        held = F.array(*[F.lit(float(e)) for e in own]).cast("array<double>")
+        return F.size(F.filter(held, lambda e: e < F.col(name))).cast("double").alias(name)
+
+    return [place(name, own) for name, own in zip(FEATURE_NAMES, edges, strict=True)]
+
+
+def read_trees(model: GBTRegressionModel, edges: Sequence[Sequence[float]]) -> Trees:
+    """The nodes of a model fitted on bins, with thresholds on the features themselves.
+
+    Goes through the model's saved form, which is a table of nodes.
+    """
+    spark = SparkSession.active()
+    path = fresh_path(spark, "trees")
+    model.write().save(path)
+    saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    by_tree: dict[int, dict] = {}
+    for row in saved:  # (2 ** (depth + 1) - 1) rows per tree
+        by_tree.setdefault(row.treeID, {})[row.id] = row
+    nodes = []
+    for tree, held in sorted(by_tree.items()):
+        def walk(at: int, number: int, tree=tree, held=held) -> None:
+            row = held[at]
+            if row.leftChild < 0:
+                nodes.append((tree, number, None, None, row.prediction))
+                return
+            feature, cut = row.split.featureIndex, row.split.leftCategoriesOrThreshold[0]
+            nodes.append((tree, number, FEATURE_NAMES[feature], edges[feature][int(cut)],
+                          row.prediction))
+            walk(row.leftChild, 2 * number)
+            walk(row.rightChild, 2 * number + 1)
+        walk(0, 1)
+    return Trees(tuple(nodes), tuple(model.treeWeights),
+                 tuple(float(w) for w in model.featureImportances.toArray()))
+
+
+def tree_sql(trees: Trees) -> str:
+    """The ensemble as one SQL expression over the feature columns: a sum of nested CASE."""
+    held = {(t, n): rest for t, n, *rest in trees.nodes}
+
+    def number(x: float) -> str:
+        return f"{float(x):.17e}"
+
+    def case(tree: int, node: int) -> str:
+        feature, threshold, prediction = held[tree, node]
+        if feature is None:
+            return number(prediction * trees.weights[tree])
+        return (f"CASE WHEN {feature} <= {number(threshold)} THEN {case(tree, 2 * node)} "
+                f"ELSE {case(tree, 2 * node + 1)} END")
+
+    def total(terms: list[str]) -> str:  # a balanced sum keeps the expression shallow
+        half = len(terms) // 2
+        return f"({total(terms[:half])} + {total(terms[half:])})" if half else terms[0]
+
+    return total([case(t, 1) for t in range(len(trees.weights))])
+
+
+def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS, *,
+                      bins: int = BINS, sample: int = BIN_SAMPLE, **settings) -> dict[int, Trees]:
+    """One boosted-tree regressor per horizon, on the rows whose label is usable.
+
+    Trees split at the edges of ``bins`` bins per feature (see ``bin_edges``).
+    """
+    params = {**MODEL_SETTINGS, "seed": SEED, **settings, "maxBins": max(bins, 2)}
+    edges = bin_edges(training, bins, sample)
     assembler = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features")
     labels = [f"label_{h}" for h in horizons]
     # Every horizon and every boosting round reads the matrix again.
-    rows = assembler.transform(training).select("features", *labels).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    rows = assembler.transform(training.select(*binned(training, edges), *labels)).select(
+        "features", *labels).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         usable = rows.agg(*[F.count(c).alias(c) for c in labels]).first()
         models = {}
@@ -86,7 +182,7 @@ def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HOR
             if usable[label] < MIN_TRAINING_ROWS:
                 raise ValueError(f"horizon {h} has fewer than {MIN_TRAINING_ROWS} training rows")
             trees = GBTRegressor(labelCol=label, **params).fit(rows.where(F.col(label).isNotNull()))
-            models[h] = PipelineModel([assembler, trees])
+            models[h] = read_trees(trees, edges)
         return models
     finally:
         rows.unpersist()
@@ -94,7 +190,7 @@ def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HOR
 
 def production_fit(bars: DataFrame, index: DataFrame,
                    horizons: Sequence[int] = DEFAULT_HORIZONS,
-                   **settings) -> tuple[DataFrame, dict[int, PipelineModel]]:
+                   **settings) -> tuple[DataFrame, dict[int, Trees]]:
     """The training matrix up to the production cutoff, and the models refitted on it."""
     cutoff = production_cutoff(index, horizons).first()
     if cutoff is None:
@@ -103,9 +199,9 @@ def production_fit(bars: DataFrame, index: DataFrame,
     return matrix, fit_multi_horizon(matrix, horizons, **settings)
 
 
-def fit_summary(matrix: DataFrame, models: Mapping[int, PipelineModel]) -> DataFrame:
+def fit_summary(matrix: DataFrame, models: Mapping[int, Trees]) -> DataFrame:
     """Per horizon: the last day of the matrix, the rows with a usable label, and the trees."""
-    trees = [(h, m.stages[-1].getNumTrees) for h, m in sorted(models.items())]
+    trees = [(h, len(m.weights)) for h, m in sorted(models.items())]
     counts = matrix.agg(F.max("trade_date").alias("cutoff"), *[
         F.count(f"label_{h}").alias(str(h)) for h, _ in trees])
     return counts.select("cutoff", F.explode(F.array(*[
@@ -114,20 +210,31 @@ def fit_summary(matrix: DataFrame, models: Mapping[int, PipelineModel]) -> DataF
         "m.horizon", "cutoff", "m.usable_rows", "m.trees")
 
 
-def score_panel(features: DataFrame, models: Mapping[int, PipelineModel]) -> DataFrame:
-    """Mean of the per-horizon predictions for every feature row."""
-    scored = features
-    for h, model in sorted(models.items()):
-        scored = model.transform(scored).withColumnRenamed("prediction", f"_p_{h}").drop(
-            "features")
-    mean = sum((F.col(f"_p_{h}") for h in sorted(models)), F.lit(0.0)) / len(models)
-    return scored.select(*features.columns, mean.alias("score"))
+def score_panel(features: DataFrame, models: Mapping[int, Trees]) -> DataFrame:
+    """Mean of the per-horizon predictions for every feature row.
+
+    Models are compiled into column expressions: rows are scored where they lie, without vectors.
+    A row without one of the features has no score.
+    """
+    known = F.lit(True)
+    for name in FEATURE_NAMES:
+        known = known & F.col(name).isNotNull()
+    mean = sum((F.expr(tree_sql(m)) for _, m in sorted(models.items())), F.lit(0.0)) / len(models)
+    return features.withColumn("score", F.when(known, mean))
+
+
+def model_nodes(models: Mapping[int, Trees], like: DataFrame) -> DataFrame:
+    """Every node of every model as a row."""
+    rows = [(h, *n) for h, m in sorted(models.items()) for n in m.nodes]
+    return like.sparkSession.createDataFrame(
+        rows, "horizon int, tree int, node int, feature string, threshold double, "
+              "prediction double")
 
 
-def model_importances(models: Mapping[int, PipelineModel], like: DataFrame) -> DataFrame:
+def model_importances(models: Mapping[int, Trees], like: DataFrame) -> DataFrame:
     """Split importance of each feature per horizon: nine numbers per model."""
-    rows = [(h, name, float(w)) for h, m in sorted(models.items())
-            for name, w in zip(FEATURE_NAMES, m.stages[-1].featureImportances.toArray())]
+    rows = [(h, name, w) for h, m in sorted(models.items())
+            for name, w in zip(FEATURE_NAMES, m.importances, strict=True)]
     return like.sparkSession.createDataFrame(rows, "horizon int, name string, weight double")
 
 

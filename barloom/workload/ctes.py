@@ -308,4 +308,5 @@ def with_ctes(body: str) -> str:
     if not needed:
         return body.strip()
     parts = ",\n".join(f"{n} as materialized ({CTES[n].strip()})" for n in needed)
+    # A body may go on with tables of its own, after a comma.
     return f"with {parts}\n{body.strip()}"

@@ -9,6 +9,7 @@ from ..operators import features as X
 from ..operators import model as G
 from ..operators import ranking as R
 from . import fixtures as T
+from .boosting_sql import LEADS, SAFE, boosting_sql
 from .registry import query
 
 
@@ -18,13 +19,6 @@ def walk_forward_split(spark, sf):
     return G.walk_forward_split(C.calendar_index(C.sessions(T.bars(spark, sf))))
 
 
-SAFE = "case when s.idx + {h} <= c.idx and l.end_{h} <= c.trade_date then {v} end"
-#: Labels of all horizons in one pass over the bars.
-LEADS = "(select symbol, trade_date, " + ", ".join(
-    f"lead(close, {h}) over w / close - 1 as label_{h}, lead(trade_date, {h}) over w as end_{h}"
-    for h in (1, 3, 5)) + " from bars window w as (partition by symbol order by trade_date))"
-
-
 def _cut_sql(columns: str, last: str) -> str:
     """Columns of the panel with labels up to the day of the split named ``last``."""
     return f"""select {columns}
@@ -49,24 +43,35 @@ def _matrix(spark, sf):
     return G.training_matrix(bars, index, cutoff)
 
 
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in X.FEATURE_NAMES or c in (
+        "label_1", "label_3", "label_5") else c for c in df.columns])
+
+
 @query("training_matrix", _matrix_sql())
 def training_matrix(spark, sf):
-    matrix = _matrix(spark, sf)
-    return matrix.select(*[c if c in ("symbol", "trade_date") or c.startswith("label_end")
-                           else F.round(c, 6).alias(c) for c in matrix.columns])
+    return _rounded(_matrix(spark, sf))
 
 
-@query("fit_multi_horizon")
+@query("fit_multi_horizon", boosting_sql(G.MODEL_SETTINGS["maxIter"]) + f"""
+select h::int as horizon, tree::int as tree, node::int as node,
+  {[*X.FEATURE_NAMES]}[b.feature + 1] as feature, e.e as threshold
+from boosted b join edges e on e.i = b.feature and e.bin = b.bin where b.id < 0""")
 def fit_multi_horizon(spark, sf):
-    matrix = _matrix(spark, sf)
-    return G.model_importances(G.fit_multi_horizon(matrix), matrix)
+    """Every split of every tree; SQL grows the same trees from the same matrix."""
+    matrix = _rounded(_matrix(spark, sf))
+    nodes = G.model_nodes(G.fit_multi_horizon(matrix), matrix)
+    return nodes.where("feature is not null").drop("prediction")
 
 
-@query("score_panel")
+@query("score_panel", boosting_sql(G.MODEL_SETTINGS["maxIter"]) + """
+select symbol, trade_date, round(sum(f) / 3, 6) as score
+from boosted join binned using (id) where id > 0 group by all""")
 def score_panel(spark, sf):
-    models = G.fit_multi_horizon(_matrix(spark, sf))
-    panel = X.feature_panel(T.bars(spark, sf))
-    return G.score_panel(panel, models).select("symbol", "trade_date", "score")
+    models = G.fit_multi_horizon(_rounded(_matrix(spark, sf)))
+    panel = _rounded(X.feature_panel(T.bars(spark, sf)))
+    return G.score_panel(panel, models).select("symbol", "trade_date",
+                                               F.round("score", 6).alias("score"))
 
 
 def _fits_sql(model: str, cut: str) -> str:

@@ -33,7 +33,7 @@ def _stored_stream(spark, session, df, label):
 
 
 @query("stream_bars", """
-select * from bars where trade_date <= (select max(trade_date) - 2 from bars)""")
+select * from bars""")
 def stream_bars(spark, sf):
     session = Z.streaming_session(spark)
     ticks = _ticks(Z.stream_table(session, sf, "lineitem.parquet"))
