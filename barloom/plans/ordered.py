@@ -5,12 +5,13 @@ A window puts a whole group in one task. That is fine where a key bounds the gro
 chain or request key may hold a third of a table. ``ordered_scan`` cuts every group into
 slices along its order, by a column of the data (a month, a block of sequence numbers):
 
-1. compute the columns inside each (keys, slice);
-2. pre-aggregate every (keys, slice) to one row and carry the running state over the
-   slices of a key; a key has as many such rows as slices;
-3. join the carried state back on (keys, slice), where the rows already lie, and combine.
+1. pre-aggregate every (keys, slice) to one row, on the map side, and carry the running state
+   over the slices of a key; a key has as many such rows as slices;
+2. lay each slice's carried state before its rows, as one row more, and compute the columns by
+   one window over (keys, slice), which then begins with the state so far.
 
-There is one plan at every size, no job runs while it is built and nothing is stored.
+No row meets another by a join. There is one plan at every size, no job runs while it is built and
+nothing is stored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,6 @@ from pyspark.sql import functions as F
 _RUNNING = {"sum": F.sum, "min": F.min, "max": F.max, "min_before": F.min}
 
 
-def _combine(kind: str, carried: Column, local: Column) -> Column:
-    if kind == "sum":
-        return F.when(carried.isNull(), local).when(local.isNull(), carried).otherwise(
-            carried + local)
-    return F.greatest(carried, local) if kind == "max" else F.least(carried, local)
-
-
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,48 +45,35 @@ def ordered_scan(
     previous = dict(previous or {})
     keys, order = list(keys), list(order)
     sliced = df.withColumn("_scan_slice", slice_by)
-    local = _scan(sliced, keys + ["_scan_slice"], order, "_scan_n", running, previous)
-    totals = [F.max("_scan_n").alias("_scan_rows")]
-    for name, (kind, column) in running.items():
-        totals.append(_RUNNING[kind](column).alias(f"_scan_end_{name}"))
-    if previous:
-        last = F.struct(*[F.col(c).alias(n) for n, c in previous.items()])
-        totals.append(F.max_by(last, F.col("_scan_n")).alias("_scan_last"))
-    ends = local.groupBy(*keys, "_scan_slice").agg(*totals)
+    last = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(n) for n, c in previous.items()])
+    totals = sliced.groupBy(*keys, "_scan_slice").agg(
+        F.count("*").alias("_scan_rows"),
+        F.max_by(last, F.struct(*order)).alias("_scan_last"),
+        *[_RUNNING[kind](column).alias(f"_scan_{name}")
+          for name, (kind, column) in running.items()])
     along = Window.partitionBy(*keys).orderBy("_scan_slice")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum("_scan_rows").over(before).alias("_scan_rows_before")]
-    for name, (kind, _) in running.items():
-        carried.append(_RUNNING[kind](f"_scan_end_{name}").over(before).alias(f"_scan_in_{name}"))
-    if previous:
-        carried.append(F.lag("_scan_last").over(along).alias("_scan_last_before"))
-    carry = (ends.select(*[F.col(k).alias(f"_scan_k_{k}") for k in keys],
-                         F.col("_scan_slice").alias("_scan_k_slice"), *carried)
-             .where("_scan_rows_before is not null"))
-    match = F.col("_scan_slice").eqNullSafe(F.col("_scan_k_slice"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_scan_k_{k}"))
-    joined = local.join(carry, match, "left")
-    out = [F.col(c) for c in df.columns]
+    carry = totals.select(
+        *keys, "_scan_slice", F.sum("_scan_rows").over(before).alias("_scan_rows"),
+        F.lag("_scan_last").over(along).alias("_scan_last"),
+        *[_RUNNING[kind](f"_scan_{name}").over(before).alias(f"_scan_{name}")
+          for name, (kind, _) in running.items()]).where("_scan_rows is not null")
+    kinds = {f.name: f.dataType for f in carry.schema.fields}
+    made = {"_scan_rows": F.lit(1), "_scan_last": last,
+            **{f"_scan_{name}": F.col(column) for name, (_, column) in running.items()}}
+    rows = sliced.select("*", F.lit(True).alias("_scan_own"),
+                         *[c.cast(kinds[n]).alias(n) for n, c in made.items()])
+    both = rows.unionByName(carry.withColumn("_scan_own", F.lit(False)), allowMissingColumns=True)
+    window = Window.partitionBy(*keys, "_scan_slice").orderBy("_scan_own", *order)
+    so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    out = []
     if number:
-        out.append((F.coalesce("_scan_rows_before", F.lit(0)) + F.col("_scan_n")).alias(number))
+        out.append(F.sum("_scan_rows").over(so_far).alias(number))
     for name, (kind, _) in running.items():
-        out.append(_combine(kind, F.col(f"_scan_in_{name}"), F.col(name)).alias(name))
-    for name in previous:
-        out.append(F.when(F.col("_scan_n") == 1, F.col(f"_scan_last_before.{name}"))
-                   .otherwise(F.col(name)).alias(name))
-    return joined.select(*out)
-
-
-def _scan(df: DataFrame, keys: list[str], order: list[str], number: str,
-          running: Mapping[str, tuple[str, str]], previous: Mapping[str, str]) -> DataFrame:
-    rows = Window.partitionBy(*keys).orderBy(*order)
-    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
-    new = [F.row_number().over(rows).cast("bigint").alias(number)]
-    for name, (kind, column) in running.items():
         over = earlier if kind == "min_before" else so_far
-        new.append(_RUNNING[kind](column).over(over).alias(name))
-    for name, column in previous.items():
-        new.append(F.lag(column).over(rows).alias(name))
-    return df.select("*", *new)
+        out.append(_RUNNING[kind](f"_scan_{name}").over(over).cast(kinds[f"_scan_{name}"])
+                   .alias(name))
+    lagged = F.lag("_scan_last").over(window)
+    out.extend(lagged[name].alias(name) for name in previous)
+    return both.select(*df.columns, "_scan_own", *out).where("_scan_own").drop("_scan_own")

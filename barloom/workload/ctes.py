@@ -253,6 +253,18 @@ select *, (transient_before and before = 'FAILURE') as is_retry from (
   from request_log
   window w as (partition by api_name, request_id, "offset" order by sequence))"""
 
+CTES["moved_orders"] = """
+select * exclude (trade_date), trade_date + case when shares % 900 = 0 then 1 else 0 end
+  as trade_date from order_requests"""
+CTES["moves_held"] = """
+select *, s - least(min(s) over (partition by account, symbol order by trade_date, id, kind), 0)
+    as held
+from (select *, sum(d) over (partition by account, symbol order by trade_date, id, kind) as s,
+    sum(greatest(d, 0)) over (partition by account, symbol, trade_date order by id, kind) as bought
+  from (select account, symbol, trade_date, order_id as id, 0 as kind, 0 as d from moved_orders
+    union all select account, symbol, trade_date, trade_id, 1,
+      case side when 'buy' then shares else -shares end from trades))"""
+
 CTES["rebalance_rows"] = f"""
 select coalesce(h.account, t.account) as account, coalesce(h.symbol, t.symbol) as symbol, h.shares,
   t.rank from holdings h full join (

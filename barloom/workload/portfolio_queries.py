@@ -223,6 +223,22 @@ def nav_metrics(spark, sf):
 
 # Orders, positions and cash -------------------------------------------------------------
 
+def _moved_orders(spark, sf):
+    """One order in nine is moved to the next day, which may have no bar."""
+    moved = F.date_add("trade_date", F.when(F.col("shares") % 900 == 0, 1).otherwise(0))
+    return T.order_requests(spark, sf).withColumn("trade_date", moved)
+
+
+POSITIONS_AT = """
+select id as order_id, account, symbol, trade_date, cast(held as bigint) as shares,
+  cast(least(bought, held) as bigint) as locked_shares from moves_held where kind = 0"""
+
+
+@query("positions_at", POSITIONS_AT)
+def positions_at(spark, sf):
+    return P.positions_at(_moved_orders(spark, sf), T.trades(spark, sf))
+
+
 @query("order_screen", f"""
 select order_id, account, symbol, trade_date, side, shares, status,
   case when status = 'FILLABLE' then {half_up("""cast(cast(cast(open as varchar)
@@ -239,19 +255,18 @@ from (select o.*, case when board = 'unsupported' then 'UNSUPPORTED_BOARD'
     when side = 'buy' and shares < lot_size then 'INSUFFICIENT_CASH'
     else 'FILLABLE' end as status
   from (select o.*, {BOARD.format(s='o.symbol')} as board, b.open, p.close as last_close,
-      h.shares as held, h.locked_shares as locked, r.price_limit_pct as pct, r.lot_size
-    from (select * exclude (trade_date), trade_date + case when shares % 900 = 0 then 1 else 0 end
-        as trade_date from order_requests) o
+      nullif(h.held, 0) as held, least(h.bought, h.held) as locked, r.price_limit_pct as pct,
+      r.lot_size
+    from moved_orders o
     left join bars b on b.symbol = o.symbol and b.trade_date = o.trade_date
     asof left join bars p on p.symbol = o.symbol and o.trade_date > p.trade_date
-    left join holdings h on h.account = o.account and h.symbol = o.symbol
+    join moves_held h on h.kind = 0 and h.id = o.order_id
     left join market_rules r on r.board = {BOARD.format(s='o.symbol')}) o)""")
 def order_screen(spark, sf):
-    # One order in nine is moved to the next day, which may have no bar.
-    moved = F.date_add("trade_date", F.when(F.col("shares") % 900 == 0, 1).otherwise(0))
-    orders = T.order_requests(spark, sf).withColumn("trade_date", moved)
+    orders = _moved_orders(spark, sf)
+    positions = P.positions_at(orders, T.trades(spark, sf))
     screened = P.order_screen(orders, T.bars(spark, sf), T.market_rules(spark),
-                              T.holdings(spark, sf), slippage_bps=20)
+                              positions.drop("account", "symbol", "trade_date"), slippage_bps=20)
     return screened.withColumn("execution_price", F.round("execution_price", 6))
 
 
@@ -292,23 +307,26 @@ def rebalance_orders(spark, sf):
 LEDGER_STEPS = """
 select *, coalesce(lag(held) over (partition by account, symbol order by n), 0) as before from (
   select *, s - least(min(s) over (partition by account, symbol order by n), 0) as held from (
-    select account, symbol, side, gross, row_number() over w as n,
+    select account, symbol, side, case when side = 'buy'
+        then gross + coalesce(commission + stamp_duty + transfer_fee, 0) else 0 end as spent,
+      row_number() over w as n,
       sum(case side when 'buy' then shares else -shares end) over w as s
-    from trades window w as (partition by account, symbol order by trade_date, trade_id)))"""
+    from costed window w as (partition by account, symbol order by trade_date, trade_id)))"""
 
 
 @query("position_ledger", f"""
-select account, symbol, trades, shares, {half_up('m.b / nullif(shares, 0)', 4)} as avg_cost from (
+select account, symbol, trades, shares, invested,
+  round(m.b / nullif(shares, 0) + 1e-9, 4) as avg_cost from (
   select account, symbol, count(*) as trades, cast(arg_max(held, n) as bigint) as shares,
-    list_reduce(list(struct_pack(r := r, b := b) order by n), lambda a, x:
+    sum(spent) as invested, list_reduce(list(struct_pack(r := r, b := b) order by n), lambda a, x:
       struct_pack(r := a.r * x.r, b := a.b * x.r + x.b)) as m
   from (select *, case when side = 'buy' then 1.0::double when before > 0
-        then held::double / before::double else 0.0::double end as r,
-      case when side = 'buy' then gross::double else 0.0::double end as b
+        then held::double / before::double else 0.0::double end as r, spent::double as b
     from ({LEDGER_STEPS})) group by 1, 2)""")
 def position_ledger(spark, sf):
-    ledger = P.position_ledger(T.trades(spark, sf))
-    return ledger.withColumn("avg_cost", F.round("avg_cost", 4))
+    ledger = P.position_ledger(_costed(spark, sf), "total_cost")
+    # Averages may end in a five: both sides round what is a little above.
+    return ledger.withColumn("avg_cost", F.round(F.col("avg_cost") + 1e-9, 4))
 
 
 @query("sellable_shares", """
