@@ -26,6 +26,7 @@ VALIDATION_HORIZON = 5
 MODEL_SETTINGS = {"maxIter": 120, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 30}
 SEED = 20260804
 BINS, BIN_SAMPLE = 32, 10_000
+ROWS_PER_TASK = 50_000  # of a boosting round
 
 
 def session_splits(index: DataFrame) -> DataFrame:
@@ -86,13 +87,14 @@ class Trees:
     importances: tuple[float, ...]
 
 
-def bin_edges(training: DataFrame, bins: int = BINS, sample: int = BIN_SAMPLE) -> list[list[float]]:
-    """Ascending edges of each feature, at most ``bins - 1``: values at even ranks of a sample.
+def bin_edges(training: DataFrame, rows: int, bins: int = BINS,
+              sample: int = BIN_SAMPLE) -> list[list[float]]:
+    """Ascending edges of each feature of ``rows`` rows, at most ``bins - 1``: values at even ranks
+    of a sample.
 
     The sample is the rows whose hash of symbol and date is small, about ``sample`` of them
     whatever the size of the table; all rows if there are fewer.
     """
-    rows = training.count()
     name = F.concat_ws("|", "symbol", F.col("trade_date").cast("string"))
     hashed = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("decimal(20,0)")
     picked = training.where(hashed * rows < F.lit(sample * 2**32).cast("decimal(38,0)"))
@@ -169,12 +171,16 @@ def fit_multi_horizon(training: DataFrame, horizons: Sequence[int] = DEFAULT_HOR
     Trees split at the edges of ``bins`` bins per feature (see ``bin_edges``).
     """
     params = {**MODEL_SETTINGS, "seed": SEED, **settings, "maxBins": max(bins, 2)}
-    edges = bin_edges(training, bins, sample)
+    rows_in = training.count()
+    edges = bin_edges(training, rows_in, bins, sample)
     assembler = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features")
     labels = [f"label_{h}" for h in horizons]
-    # Every horizon and every boosting round reads the matrix again.
-    rows = assembler.transform(training.select(*binned(training, edges), *labels)).select(
-        "features", *labels).persist(StorageLevel.MEMORY_AND_DISK)
+    # Every horizon and every boosting round reads the matrix again, one job per level: tasks of
+    # a few rows would cost more than what they compute.
+    dealt = training.select("symbol", "trade_date", *binned(training, edges), *labels).repartition(
+        max(1, -(-rows_in // ROWS_PER_TASK)), "symbol", "trade_date")
+    rows = assembler.transform(dealt).select("features", *labels).persist(
+        StorageLevel.MEMORY_AND_DISK)
     try:
         usable = rows.agg(*[F.count(c).alias(c) for c in labels]).first()
         models = {}
