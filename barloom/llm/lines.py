@@ -145,17 +145,21 @@ def line_rows(docs: DataFrame, least: int) -> DataFrame:
     rows = docs.select("id", F.xxhash64("text").alias("c"),
                        F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     return rows.where(F.length("line") >= least).select(
-        "id", "c", "at", "line", F.xxhash64("line").alias("h"),
+        "id", "c", "at", "line", F.xxhash64("line").bitwiseAND(-2).alias("h"),
         F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def meetings(probes: DataFrame, part_rows: int) -> DataFrame:
     """The rows (key, h, own) of each key that two lines have, with ``parts`` and ``part``.
 
+    ``probes`` has key and h, whose lowest bit is ``own``.
+
     The rows of a key are counted by a window, whose buffer spills. They are dealt to parts of about
     ``part_rows`` lines; to up to four times larger ones if that makes more than 50 parts.
     """
     key = Window.partitionBy("key")
+    own = F.col("h").bitwiseAND(1) == 1
+    probes = probes.select("key", F.col("h").bitwiseAND(-2).alias("h"), own.alias("own"))
     size = F.least(F.greatest(F.lit(part_rows), F.ceil(F.col("n") / 50)), F.lit(4 * part_rows))
     rows = probes.select(
         "*", F.count("*").over(key).alias("n"), F.max("own").over(key).alias("any_own"),
@@ -183,7 +187,8 @@ def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col:
     in a segment are compared where they meet, in pairs of parts of about ``part_rows`` lines if
     they are many; no row is made for a pair that is not close, and no task holds more lines of a
     segment than two parts. Each of n lines that meet is sent once for every part, so the rows sent
-    grow as n * n / ``part_rows`` (a fourth of that for the largest n). A line is known by 64 bits, and two lines that agree in them but not in 64 more are both left as they are.
+    grow as n * n / ``part_rows`` (a fourth of that for the largest n). A line is known by
+    63 bits, and two lines that agree in them but not in 64 more are both left as they are.
 
     Null texts have no lines; repeated rows (same id and text) count as one document; null ids
     come first. An empty table gives no rows. Other columns are not read.
@@ -198,12 +203,13 @@ def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col:
             ids, lines = batch["h"].to_numpy(zero_copy_only=False), batch["line"].to_pylist()
             for a in range(0, len(lines), 1500):
                 who, key, own = segment_keys(lines[a:a + 1500], edits)
+                # The lowest bit of h tells own segments: a row is two numbers.
+                h = ids[a + who.astype(np.int64)] & ~np.int64(1) | own.astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int64)), pa.array(ids[a + who.astype(np.int64)]),
-                     pa.array(own.astype(bool))], names=["key", "h", "own"])
+                    [pa.array(key.astype(np.int64)), pa.array(h)], names=["key", "h"])
 
     probes = distinct.select("h", F.col("m.line").alias("line")).mapInArrow(
-        keys, "key long, h long, own boolean")
+        keys, "key long, h long")
     met = meetings(probes, part_rows).withColumnRenamed("h", "mh")
     met = dealt(met.join(distinct, F.col("mh") == F.col("h"))).select(
         "key", "x", "y", "part", "own", "h", "m.id", "m.c", "m.at", "m.line")
@@ -248,17 +254,19 @@ def deduplicate_lines(docs: DataFrame, *, edits: int = 2, least: int = 24,
     """``docs`` with the repeated lines taken out of the text; texts left without any line go.
 
     A text none of whose lines is dropped stays as it is, also if null or empty. Other columns are
-    kept. See ``repeated_lines``.
+    kept, whatever their names. See ``repeated_lines``.
     """
     by_doc = dropped_by_document(repeated_lines(docs, edits=edits, least=least, id_col=id_col,
                                                 text_col=text_col))
-    joined = docs.withColumn("_c", F.xxhash64(text_col)).join(
-        by_doc, F.col(id_col).eqNullSafe(F.col("rid")) & (F.col("_c") == F.col("rc")), "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    own = F.col("doc")[text_col]
+    joined = rows.join(by_doc, F.col("doc")[id_col].eqNullSafe(F.col("rid"))
+                       & (F.xxhash64(own) == F.col("rc")), "left")
     gone = F.concat("exact", "near")
-    kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
-    joined = joined.withColumn("_kept", F.when(F.col("rid").isNotNull() | F.col("rc").isNotNull(),
-                                               kept))
-    joined = joined.where(F.col("_kept").isNull() | F.exists(
-        "_kept", lambda x: F.length(F.trim(x)) > 0))
-    text = F.coalesce(F.array_join("_kept", "\n"), F.col(text_col))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    lines = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    joined = joined.select("doc", F.when(F.col("rc").isNotNull(), lines).alias("lines"))
+    joined = joined.where(F.col("lines").isNull() | F.exists(
+        "lines", lambda x: F.length(F.trim(x)) > 0))
+    text = F.coalesce(F.array_join("lines", "\n"), own)
+    return joined.select(*[text.alias(c) if c == text_col else F.col("doc")[c].alias(c)
+                           for c in docs.columns])

@@ -137,7 +137,7 @@ def op3_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = captures.select("main", F.col("metadata")[0]["block"].alias("facts"))
     kind = pages.schema["page_id"].dataType
     declared = F.regexp_replace("main.declared_digest", "^sha1:", "")
-    refers = F.regexp_extract("main.refers_to", "^<urn:capture:(.*)>$", 1)
+    refers = F.regexp_extract("main.refers_to", "^<urn:capture:(.*):[^:]*:main>$", 1)
     return facts.select(
         warc_field(F.col("facts"), "page-id").cast(kind).alias("page_id"),
         F.coalesce("main.payload_bytes", warc_field(F.col("facts"), "payload-length").cast("long"))

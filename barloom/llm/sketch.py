@@ -190,6 +190,55 @@ def shared_shingles(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         "doc_id", shared.alias("shared"))
 
 
+def possible_pairs(entries: DataFrame, percent: int, block_rows: int = 2048) -> DataFrame:
+    """Pairs ``a``, ``b`` of one bucket and different components that the counts of ``shared`` do
+    not put below the threshold.
+
+    ``entries`` has key, rep, n, c (its component) and ``shared``. A bucket is dealt into blocks of
+    about ``block_rows`` documents by hash, and pairs of blocks are compared each in a group of its
+    own: 256 by 256 documents at once, as arrays. Rows are made only for what passes.
+    """
+    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    rows = entries.join(sizes, "key").withColumn(
+        "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias(
+        "j"), "own", "rep", "n", "c", "shared")
+    kind = entries.schema["rep"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep = group["rep"].combine_chunks()
+        own, n = group["own"].to_numpy(), group["n"].to_numpy()
+        c = group["c"].combine_chunks().dictionary_encode().indices.to_numpy()
+        held = group["shared"].combine_chunks().flatten().to_numpy().astype(np.int32)
+        held = held.reshape(len(rep), GROUPS)
+        first, second = group["i"][0].as_py(), group["j"][0].as_py()
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        found = ([], [])
+        for lo in range(0, len(left), 256):
+            x = left[lo:lo + 256]
+            for to in range(lo if first == second else 0, len(right), 256):
+                y = right[to:to + 256]
+                may = c[x][:, None] != c[y][None]
+                if first == second:
+                    may &= x[:, None] < y[None]
+                low = np.minimum(n[x][:, None], n[y][None])
+                may &= 100 * low >= percent * np.maximum(n[x][:, None], n[y][None])
+                xi, yi = np.nonzero(may)
+                for k in range(0, len(xi), 1 << 16):
+                    p, q = x[xi[k:k + (1 << 16)]], y[yi[k:k + (1 << 16)]]
+                    common = np.minimum(held[p], held[q]).sum(axis=1, dtype=np.int64)
+                    keep = 100 * common >= percent * (n[p] + n[q] - common)
+                    found[0].append(p[keep])
+                    found[1].append(q[keep])
+        p, q = (np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
+        return pa.table([rep.take(pa.array(p)), rep.take(pa.array(q))], names=["a", "b"])
+
+    pairs = rows.groupBy("key", "i", "j").applyInArrow(compare, schema)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32,
                     rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
@@ -205,8 +254,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     bucket's hub being the document that shares most keys and so is most central, then the pairs
     of different components in the buckets that still hold several. Of these a pair is left out
     if a bound puts it below the threshold: shingles that only one document holds are not common,
-    and by groups of the others' hashes no more than the lesser count is. It loses no link.
+    and by groups of the others' hashes no more than the lesser count is. It loses no link, and
+    only pairs that pass become rows (``possible_pairs``).
 
+    Texts of any length are read whole; of different texts under one id the smallest is compared.
     Null or empty texts have no shingle and stay alone. Repeated rows (same id and text) come out
     as often as they go in; a null id is kept and linked with nothing. Other columns are not read.
     An empty table gives no rows.
@@ -233,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         close("n", "hub_n")).select("a", "b", "keys", "o").distinct(), "stars")
     members = entries.select("rep").distinct()
     texts = stored(docs.join(members, docs["doc_id"] == members["rep"], "left_semi")
-                   .dropDuplicates(["doc_id"]), "texts")
+                   .groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     first = stored(stars.groupBy("a").agg(F.max(F.struct("keys", "o", "b")).alias("s"))
                    .select("a", F.col("s.b").alias("b")), "first")
     stars = stars.select("a", "b")
@@ -256,13 +307,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
                                     width), "shared").withColumnRenamed("doc_id", "rep")
     total = F.aggregate("shared", F.lit(0), lambda s, n: s + n)
     split = split.join(shared, "rep").where(total * 100 >= F.col("n") * percent)
-    x, y = (split.select("key", *[F.col(c).alias(c + end) for c in ("rep", "n", "c", "shared")])
-            for end in ("_x", "_y"))
-    common = F.aggregate(F.zip_with("shared_x", "shared_y", lambda a, b: F.least(a, b)), F.lit(0),
-                         lambda s, n: s + n)
-    rest = x.join(y, "key").where("c_x <> c_y and rep_x < rep_y").where(
-        common * 100 >= (F.col("n_x") + F.col("n_y") - common) * percent).select(
-        F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    rest = possible_pairs(split, percent).distinct().join(
+        stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
     links = links.union(stored(verify(stored(rest, "rest"), texts, width, percent), "verified"))
     labels = components(links)
 

@@ -39,16 +39,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each near-duplicate group stays, and one of repeated rows."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source"))
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_again", again)
-    return left.where(F.col("doc_id").isNull() | (F.col("_again") == 1)).select(docs.columns)
+    rows = docs.join(gone, "doc_id", "left_anti").select(
+        F.struct(*docs.columns).alias("doc"), F.row_number().over(Window.partitionBy(
+            "doc_id", F.xxhash64("text")).orderBy("source")).alias("again"))
+    return rows.where(F.col("doc.doc_id").isNull() | (F.col("again") == 1)).select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mix_sources(docs)
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))
-    return mixed.select(*docs.columns, copies.alias("mix_copy")).select(docs.columns)
+    prefix = "mix_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    mixed = mix_sources(docs, prefix=prefix)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col(prefix + "copies").cast("int")))
+    return mixed.select(*docs.columns, copies.alias(prefix + "copy")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,11 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     captures, and fewer if the largest page could make that more than ``file_bytes``; Spark's
     committed writer writes them, so a lost task leaves no half of a file.
 
+    Record ids are made of the page's id and the payload's digest, so a revisit refers to the
+    record of its response by that record's own id, and a row that is repeated is written as the
+    same capture again. Texts of any length are written whole. An empty table gives an archive
+    without records.
+
     A null payload is empty; a null url is left out; a null id is written as an empty one and is
     never referred to unless no other id has its payload. Other columns are not read.
     """
@@ -79,10 +84,10 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     revisits = origin.where(~F.col("oid").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
     rows = rows.withColumn("digest", digest).join(
         revisits, F.col("id").eqNullSafe(F.col("oid")) & (F.col("digest") == F.col("odigest")),
-        "left").withColumn("serial", F.monotonically_increasing_id())
+        "left")
 
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    capture = F.concat(F.lit("urn:capture:"), name, F.lit(":"), F.col("serial").cast("string"))
+    capture = F.concat(F.lit("urn:capture:"), name, F.lit(":"), F.col("digest"))
     is_revisit = F.col("first").isNotNull()
     date = ("WARC-Date", F.lit(_DATE))
     uri = ("WARC-Target-URI", one_line(F.col("url")))
@@ -97,7 +102,8 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         ("WARC-Profile", F.when(is_revisit, F.lit(_PROFILE))),
         ("WARC-Refers-To", F.when(is_revisit, F.concat(
-            F.lit("<urn:capture:"), F.col("first").cast("string"), F.lit(">")))),
+            F.lit("<urn:capture:"), F.col("first").cast("string"), F.lit(":"), F.col("digest"),
+            F.lit(":main>")))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
     ], F.when(is_revisit, head).otherwise(F.concat(head, body)))
     request = _record([
@@ -197,7 +203,8 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
     Records belong to the capture whose record id they are concurrent to. A capture's own
     attendants are gathered by one aggregate and joined to its main record by that id; a request
     that names no main record, or a main record that nothing names, makes a row with what there
-    is. Captures stay as many as there are distinct ids, plus one for each repeated main record.
+    is. An attendant that is written twice, id and block, is one. Captures stay as many as there
+    are distinct ids, plus one for each repeated main record.
     """
     main = records.where(F.col("type").isin("response", "revisit", "resource")).select(
         F.col("record_id").alias("main_id"),
@@ -205,7 +212,7 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
     attendant = F.struct("record_id", "target_uri", "content_type", "block")
     others = records.where(F.col("type").isin("request", "metadata")).groupBy(
         F.col("concurrent_to").alias("other_id")).agg(*[
-            F.array_sort(F.collect_list(F.when(F.col("type") == kind, attendant))).alias(name)
+            F.array_sort(F.collect_set(F.when(F.col("type") == kind, attendant))).alias(name)
             for kind, name in (("request", "requests"), ("metadata", "metadata"))])
     both = main.join(others, F.col("main_id") == F.col("other_id"), "full")
     return both.select(F.coalesce("main_id", "other_id").alias("capture_id"), "main", "requests",

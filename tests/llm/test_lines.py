@@ -68,6 +68,10 @@ def test_texts_are_rebuilt(spark):
         (7, "own seven, long enough as well"), (7, "own seven, long enough as well")])
     assert deduplicate_lines(df).where("text is null").count() == 1
     assert deduplicate_lines(df.limit(0)).count() == 0
+    for name in ("exact", "near", "rid", "rc", "_c", "_kept", "lines", "doc", "gone"):
+        named = deduplicate_lines(df.withColumnRenamed("at", name))
+        assert named.columns == ["doc_id", "text", name]
+        assert {r[2] for r in named.collect()} == {"s", "x"}
     assert deduplicate_lines(df).columns == df.columns
 
 
@@ -106,7 +110,7 @@ def test_a_hot_key_is_dealt_row_by_row(spark):
         spark.createDataFrame([(8, 1, True), (9, 1, True), (9, 1, False), (10, 1, False),
                                (10, 2, False), (11, 1, True), (11, 2, False)],
                               "key long, h long, own boolean"))
-    met = meetings(probes, size)
+    met = meetings(probes.selectExpr("key", "2 * h + int(own) as h"), size)
     rows = dealt(met)
     for plan in (met, rows):  # no Python step sees a whole key
         assert "InArrow" not in plan._jdf.queryExecution().executedPlan().toString()

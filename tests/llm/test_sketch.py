@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from barloom.llm.graph import components
-from barloom.llm.sketch import near_duplicates, sets_of, sketches
+from barloom.llm.sketch import near_duplicates, possible_pairs, sets_of, sketches
 
 
 def brute(rows, width, percent=80):
@@ -95,3 +95,37 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["component"] for r in components(
         spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_a_family_around_the_threshold_equals_brute_force(spark):
+    """Copies of one text with edits of their own: most pairs lie close to the threshold."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for j in range(rng.choice([1, 2, 2, 3, 3])):
+            w[rng.randrange(len(w))] = f"own{i}-{j}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in near_duplicates(df, width=4).collect()}
+    assert got == brute(rows, 4)
+
+
+@pytest.mark.parametrize("block_rows", [2048, 30])
+def test_possible_pairs_equal_all_pairs(spark, block_rows):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 1), i, rng.randint(90, 120), rng.randint(0, 3),
+             [rng.randint(0, 2) for _ in range(64)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, rep long, n int, c long, shared array<int>")
+    got = possible_pairs(df, 21, block_rows).collect()
+    want = set()
+    for x in rows:
+        for y in rows:
+            common = sum(map(min, x[4], y[4]))
+            if (x[0] == y[0] and x[1] < y[1] and x[3] != y[3]
+                    and 100 * min(x[2], y[2]) >= 21 * max(x[2], y[2])
+                    and 100 * common >= 21 * (x[2] + y[2] - common)):
+                want.add((x[1], y[1]))
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want) and want
