@@ -9,7 +9,8 @@ from ..operators import coverage as V
 from ..operators import quality as Q
 from ..operators import signals as S
 from ..operators import telemetry as L
-from ..session import fresh_path
+from ..session import fresh_path, stored
+from ..sources.datasets import STORED
 from . import fixtures as T
 from .registry import query
 
@@ -405,37 +406,106 @@ def dataset_fingerprint(spark, sf):
     return O.dataset_fingerprint(T.keyed_bars(spark, sf), columns, IDENTITY)
 
 
+def _published(spark, sf):
+    root = fresh_path(spark, "published")
+    return root, O.publish_dataset(
+        T.bars(spark, sf), root, as_of=T.LAST_DAY, source="lineitem", source_version="1",
+        generated_at="2001-11-05T00:00:00Z", evidence={"factors": T.adj_factors(spark, sf)})
+
+
+def _damaged(spark, sf):
+    """A published dataset whose stored files are changed: of some years a value of the first row,
+    or the last row goes; of others the last row comes once more, in a file of its own."""
+    root, dataset_id = _published(spark, sf)
+    path = f"{root}/datasets/{O.read_manifest(spark, root, dataset_id).first().run}"
+    key = F.struct("symbol", "trade_date")
+    rows = spark.read.schema(STORED).parquet(path)
+    ends = rows.groupBy("year").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    rows = rows.join(ends, "year")
+    again = stored(rows.where((F.col("year") % 5 == 0) & (key == F.col("hi"))), "again")
+    changed = F.col("amount") + F.when((F.col("year") % 3 == 0) & (key == F.col("lo")), 1.0
+                                       ).otherwise(0.0)
+    rewritten = rows.where("year % 3 = 0 or year % 4 = 1").where(
+        (F.col("year") % 4 != 1) | (key != F.col("hi"))).withColumn("amount", changed)
+    (stored(rewritten, "rewritten").select(*STORED.names).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
+    again.select(*STORED.names).write.mode("append").partitionBy("year").parquet(path)
+    return root, dataset_id
+
+
+ROW = "struct_pack(s := symbol, d := trade_date)"
+YEARS = f"""select y, {ROW} as id, trade_date, max({ROW}) over (partition by y) as hi
+  from (select *, year(trade_date) as y from bars)"""
+AFTER = f"""select y, trade_date from ({YEARS}) where y % 4 <> 1 or id <> hi
+union all select y, trade_date from ({YEARS}) where y % 5 = 0 and id = hi"""
+
+
 @query("verify_dataset", f"""
-select 'year=' || y as path, row_count, concat_ws(',',
-  case when y % 3 = 0 then 'ROW_COUNT_MISMATCH' end,
-  case when y % 4 = 0 then 'MIN_DATE_MISMATCH' end,
-  case when hi > date '2001-06-30' then 'PAST_AS_OF' end) as codes
-from (select year(trade_date) as y, count(*) as row_count, max(trade_date) as hi from bars
-  group by 1)""")
+select 'year=' || y as path, a.n as row_count, concat_ws(',',
+  case when a.n <> b.n then 'ROW_COUNT_MISMATCH' end,
+  case when a.lo <> b.lo then 'MIN_DATE_MISMATCH' end,
+  case when a.hi <> b.hi then 'MAX_DATE_MISMATCH' end,
+  case when y % 3 = 0 or y % 4 = 1 or y % 5 = 0 then 'DIGEST_MISMATCH' end) as codes
+from (select y, count(*) as n, min(trade_date) as lo, max(trade_date) as hi from ({AFTER})
+    group by 1) a
+join (select y, count(*) as n, min(trade_date) as lo, max(trade_date) as hi from ({YEARS})
+    group by 1) b using (y)""")
 def verify_dataset(spark, sf):
-    year = F.year("trade_date")
-    stats = T.bars(spark, sf).groupBy(year.alias("y")).agg(
-        F.count("*").alias("row_count"), F.min("trade_date").alias("min_trade_date"),
-        F.max("trade_date").alias("max_trade_date"))
-    path = F.concat(F.lit("year="), F.col("y").cast("string")).alias("path")
-    observed = stats.select(path, "row_count", "min_trade_date", "max_trade_date")
-    declared = stats.select(
-        path, (F.col("row_count") + F.when(F.col("y") % 3 == 0, 1).otherwise(0))
-        .alias("row_count"),
-        F.date_add("min_trade_date", F.when(F.col("y") % 4 == 0, 1).otherwise(0))
-        .alias("min_trade_date"), "max_trade_date")
-    return joined_codes(O.verify_dataset(observed, declared, "2001-06-30"))
+    return joined_codes(O.verify_years(spark, *_damaged(spark, sf)))
+
+
+@query("verify_files", """
+select 'year=' || year(trade_date) as folder,
+  year(trade_date) % 3 = 0 or year(trade_date) % 4 = 1 as missing,
+  year(trade_date) % 3 = 0 or year(trade_date) % 4 = 1 or year(trade_date) % 5 = 0 as undeclared
+from bars group by all""")
+def verify_files(spark, sf):
+    found = O.verify_files(spark, *_damaged(spark, sf))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(
+        *[F.bool_or(F.array_contains("codes", f"{c.upper()}_FILE")).alias(c)
+          for c in ("missing", "undeclared")])
+
+
+@query("pk_order", f"""
+select copy, folder, row_count, case when copy = 'planted' and y % 3 = 0 and row_count > 1 then 1
+    else 0 end as inversions, 0 as overlaps
+from (select y, 'year=' || y as folder, count(*) as row_count from ({YEARS}) group by all),
+  (values ('published'), ('planted')) c(copy)""")
+def pk_order(spark, sf):
+    """The files of a published dataset, and of one that has a year's last row first."""
+    root, dataset_id = _published(spark, sf)
+    path = f"{root}/datasets/{O.read_manifest(spark, root, dataset_id).first().run}"
+    rows = spark.read.schema(STORED).parquet(path)
+    key = F.struct("symbol", "trade_date")
+    ends = rows.groupBy("year").agg(F.max(key).alias("hi"))
+    first = (F.col("year") % 3 != 0) | (key != F.col("hi"))
+    planted = fresh_path(spark, "planted")
+    (rows.join(ends, "year").withColumn("late", first).repartition("year")
+     .sortWithinPartitions("year", "late", "symbol", "trade_date").select(*STORED.names)
+     .write.partitionBy("year").parquet(planted))
+    found = O.pk_order(spark, path).withColumn("copy", F.lit("published")).union(
+        O.pk_order(spark, planted).withColumn("copy", F.lit("planted")))
+    return found.groupBy("copy", "folder").agg(
+        F.sum("row_count").alias("row_count"), F.sum("inversions").alias("inversions"),
+        F.count_if("overlaps").alias("overlaps"))
+
+
+@query("manifest", f"""
+select 'year=' || y as folder, count(*) as row_count, min(trade_date) as first_day,
+  max(trade_date) as last_day, true as sized, 1 as datasets from ({YEARS}) group by 1""")
+def manifest(spark, sf):
+    files = O.read_manifest(spark, *_published(spark, sf))
+    return files.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(
+        F.sum("row_count").alias("row_count"), F.min("min_trade_date").alias("first_day"),
+        F.max("max_trade_date").alias("last_day"), F.bool_and(F.col("file_size") > 0).alias(
+            "sized"), F.countDistinct("dataset_id").alias("datasets"))
 
 
 @query("publish_dataset", """
 select symbol, count(*) as row_count, min(trade_date) as first_day, max(trade_date) as last_day
 from bars group by 1""")
 def publish_dataset(spark, sf):
-    root = fresh_path(spark, "published")
-    dataset_id = O.publish_dataset(
-        T.bars(spark, sf), root, as_of=T.LAST_DAY, source="lineitem", source_version="1",
-        generated_at="2001-11-05T00:00:00Z", evidence={"factors": T.adj_factors(spark, sf)})
-    return O.load_dataset(spark, root, dataset_id).groupBy("symbol").agg(
+    return O.load_dataset(spark, *_published(spark, sf)).groupBy("symbol").agg(
         F.count("*").alias("row_count"), F.min("trade_date").alias("first_day"),
         F.max("trade_date").alias("last_day"))
 

@@ -1,4 +1,8 @@
+import glob
 import json
+import os
+import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,17 +46,61 @@ def test_publication_is_refused(spark, bars, tmp_path):
     assert not (tmp_path / "manifests").exists()
 
 
+def files_of(root):
+    return sorted(glob.glob(f"{root}/datasets/*/year=*/*.parquet"))
+
+
 def test_tampering_is_found(spark, bars, tmp_path):
     root = str(tmp_path)
     dataset = O.publish_dataset(bars, root, evidence={"keys": bars.select("symbol")}, **META)
-    assert (tmp_path / "evidence" / dataset / "keys").exists()
-    bars.limit(3).write.mode("append").parquet(f"{root}/datasets/{dataset}")
-    with pytest.raises(DatasetError, match="UNDECLARED_FILE"):
-        O.load_dataset(spark, root, dataset)
-    changed = bars.withColumn("close", F.col("close") + F.lit(0.001))
-    changed.coalesce(1).write.mode("overwrite").parquet(f"{root}/datasets/{dataset}")
-    with pytest.raises(DatasetError):
+    (index,) = glob.glob(f"{root}/evidence/{dataset}/*/index")
+    assert spark.read.parquet(index).first().row_count == bars.count()
+    assert O.verify_files(spark, root, dataset).where("size(codes) > 0").count() == 0
+    path = files_of(root)[0]
+    changed = spark.read.parquet(path).withColumn("close", F.col("close") + F.lit(0.001))
+    changed.coalesce(1).write.parquet(f"{root}/changed")
+    (other,) = glob.glob(f"{root}/changed/*.parquet")
+    shutil.copy(other, path)  # the same name, another content
+    for crc in glob.glob(f"{os.path.dirname(path)}/.*.crc"):
+        os.remove(crc)
+    bad = {r.path: r.codes for r in O.verify_files(spark, root, dataset).where(
+        "size(codes) > 0").collect()}
+    assert set(bad) == {"/".join(path.split("/")[-2:])}
+    assert "DIGEST_MISMATCH" in bad["/".join(path.split("/")[-2:])]
+    with pytest.raises(DatasetError, match="DIGEST_MISMATCH"):
         O.load_dataset(spark, root, dataset)
+    shutil.copy(other, path.replace("part-", "part-9"))
+    codes = {c for r in O.verify_files(spark, root, dataset).collect() for c in r.codes}
+    assert "UNDECLARED_FILE" in codes
+    os.remove(path)
+    codes = {c for r in O.verify_files(spark, root, dataset).collect() for c in r.codes}
+    assert "MISSING_FILE" in codes
+
+
+def test_two_publishers_at_once_leave_one_intact_dataset(spark, bars, tmp_path):
+    root = str(tmp_path)
+    with ThreadPoolExecutor(2) as pool:
+        ids = list(pool.map(lambda _: O.publish_dataset(bars, root, **META), range(2)))
+    assert ids[0] == ids[1]
+    assert rows(O.load_dataset(spark, root, ids[0])) == rows(bars)
+    assert O.read_manifest(spark, root, ids[0]).select("run").distinct().count() == 1
+    with pytest.raises(DatasetError, match="not published"):
+        O.load_dataset(spark, root, "dataset-sha256-0")
+
+
+def test_key_order_over_files(spark, bars, tmp_path):
+    dated, keys = bars.withColumn("year", F.year("trade_date")), ["symbol", "trade_date"]
+
+    def found(df, name, *order):
+        df.sortWithinPartitions("year", *order, *keys).write.partitionBy("year").parquet(
+            f"{tmp_path}/{name}")
+        return sorted((r.inversions, r.overlaps) for r in
+                      O.pk_order(spark, f"{tmp_path}/{name}").collect())
+
+    assert found(dated.repartitionByRange(3, *keys), "sorted") == [(0, False)] * 3
+    late = F.col("trade_date") == "2026-01-20"  # one row of each symbol goes to the end
+    assert found(dated.coalesce(1), "swapped", late) == [(1, False)]
+    assert found(dated.repartition(2, "trade_date"), "mixed") == [(0, False), (0, True)]
 
 
 def test_fingerprint_depends_on_every_cell(spark, bars):
