@@ -14,6 +14,7 @@ from ..operators import signals as S
 from ..operators import bars as B
 from ..operators import ranking as R
 from ..operators import features as X
+from ..session import stored
 from . import fixtures as T
 from .ctes import exact, half_up
 from .quality_queries import joined_codes
@@ -200,25 +201,96 @@ def drawdown(spark, sf):
         F.round(c, 6).alias(c) for c in ("nav", "peak", "drawdown", "daily_return")])
 
 
-@query("nav_metrics", f"""
-select c.series, round(arg_max(nav, c.trade_date) - 1, 6) as total_return,
-  round(arg_max(benchmark_nav, c.trade_date) - 1, 6) as benchmark_total_return,
-  round(max(drawdown), 6) as max_drawdown,
-  round(avg(case when daily_return > 0 then 1.0 when daily_return is not null then 0.0 end), 6)
-    as win_rate,
-  round(any_value(gross_traded / average_assets / executed_days), 6) as turnover
-from ({DRAWDOWN}) c left join ({BENCHMARK}) b on b.trade_date = c.trade_date
-join (select symbol, sum(gross)::double as gross_traded, 1000000000.0::double as average_assets,
-    count(distinct trade_date) as executed_days from trades group by 1) a on a.symbol = c.series
-where c.trade_date >= date '{T.AS_OF}' group by 1""".replace(
-    f"from ({NAV})", f"from (select * from ({NAV}) where trade_date >= date '{T.AS_OF}')"))
-def nav_metrics(spark, sf):
+VALUATION_DAYS = f"""select max(trade_date) as trade_date from bars
+  where trade_date >= date '{T.AS_OF}' group by date_trunc('month', trade_date)"""
+# Shares after every trade, and an account's assets on every valuation day.
+HELD = """
+select *, s - least(min(s) over (partition by account, symbol order by trade_date, trade_id), 0)
+    as held
+from (select account, symbol, trade_date, trade_id,
+    sum(case side when 'buy' then shares else -shares end)
+      over (partition by account, symbol order by trade_date, trade_id) as s from trades)"""
+ACCOUNT_NAV = f"""
+select account, trade_date, cast(round(assets, 2) as decimal(38,2)) as assets,
+  case when opening > 0 then assets::double / opening::double end as nav
+from (select *, first_value(assets) over (partition by account order by trade_date) as opening
+  from (select a.account, d.trade_date, cast(coalesce(a.cash, 0) as decimal(36,8))
+      + coalesce((select sum(case side when 'sell' then gross else -gross end
+          - coalesce(commission + stamp_duty + transfer_fee, 0)) from costed c
+          where c.account = a.account and c.trade_date <= d.trade_date), 0)
+      + coalesce(v.value, 0) as assets
+    from accounts a cross join ({VALUATION_DAYS}) d
+    left join (select account, h.trade_date, sum({exact('held * close')}) as value
+      from (select h.account, h.symbol, d.trade_date, h.held from ({VALUATION_DAYS}) d
+          join (select distinct account, symbol from trades) k on true
+          asof join ({HELD}) h on h.account = k.account and h.symbol = k.symbol
+            and d.trade_date >= h.trade_date) h
+      asof join bars b on b.symbol = h.symbol and h.trade_date >= b.trade_date
+      where held > 0 group by 1, 2) v
+    on v.account = a.account and v.trade_date = d.trade_date))"""
+# An asof join keeps one row of a day: the last trade of each day only.
+ACCOUNT_NAV = ACCOUNT_NAV.replace(f"({HELD}) h on", f"""(select * from ({HELD})
+  qualify row_number() over (partition by account, symbol, trade_date order by trade_id desc) = 1)
+  h on""")
+
+
+def _account_nav(spark, sf):
+    bars, costed = T.bars(spark, sf), _costed(spark, sf)
+    days = bars.where(F.col("trade_date") >= F.lit(T.AS_OF).cast("date")).groupBy(
+        F.trunc("trade_date", "month")).agg(F.max("trade_date").alias("trade_date"))
+    flows = costed.select("account", "trade_date", P.cash_flow().alias("flow"))
+    return M.account_nav(P.holdings_over_time(T.trades(spark, sf)), flows, T.accounts(spark, sf),
+                         bars, days.select("trade_date"))
+
+
+@query("account_nav", f"select account, trade_date, assets, round(nav, 6) as nav "
+       f"from ({ACCOUNT_NAV})")
+def account_nav(spark, sf):
+    return _account_nav(spark, sf).withColumn("nav", F.round("nav", 6))
+
+
+NAV_METRICS = f"""
+select series, round(arg_max(nav, trade_date) - 1, 6) as total_return,
+  round(arg_max(benchmark_nav, trade_date) - 1, 6) as benchmark_total_return,
+  round(max((peak - nav) / peak), 6) as max_drawdown,
+  round(coalesce(avg(case when r > 0 then 1.0 when r is not null then 0.0 end), 0), 6) as win_rate,
+  round(any_value(case when days > 0 then gross / average_assets / days else 0.0 end), 6)
+    as turnover
+from (select n.account as series, n.trade_date, nav, benchmark_nav,
+    greatest(1.0, max(nav) over w) as peak, nav / lag(nav) over w - 1 as r
+  from ({ACCOUNT_NAV}) n left join ({BENCHMARK}) b on b.trade_date = n.trade_date
+  where nav is not null window w as (partition by n.account order by n.trade_date)) c
+left join (select account, avg(assets::double) as average_assets from ({ACCOUNT_NAV})
+  where trade_date > (select min(trade_date) from ({VALUATION_DAYS})) group by 1) s
+  on s.account = c.series
+left join (select account, sum(gross)::double as gross, count(distinct trade_date) as days
+  from trades where trade_date > (select min(trade_date) from ({VALUATION_DAYS}))
+    and trade_date <= (select max(trade_date) from ({VALUATION_DAYS})) group by 1) t
+  on t.account = c.series
+group by 1"""
+
+
+def _nav_metrics(spark, sf):
+    nav = stored(_account_nav(spark, sf), "account-nav")
     bars = T.bars(spark, sf)
-    nav = _nav(bars).where(F.col("trade_date") >= F.lit(T.AS_OF).cast("date"))
-    activity = T.trades(spark, sf).groupBy(F.col("symbol").alias("series")).agg(
-        F.sum("gross").cast("double").alias("gross_traded"), F.lit(1e9).alias("average_assets"),
+    ends = nav.agg(F.min("trade_date"), F.max("trade_date")).first()
+    sampled = nav.where(F.col("trade_date") > F.lit(ends[0])).groupBy("account").agg(
+        F.avg(F.col("assets").cast("double")).alias("average_assets"))
+    traded = T.trades(spark, sf).where((F.col("trade_date") > F.lit(ends[0]))
+                                       & (F.col("trade_date") <= F.lit(ends[1])))
+    traded = traded.groupBy("account").agg(
+        F.sum("gross").cast("double").alias("gross_traded"),
         F.countDistinct("trade_date").alias("executed_days"))
-    return M.nav_metrics(nav, M.benchmark_nav(bars, C.sessions(bars), T.AS_OF), activity)
+    activity = sampled.join(traded, "account", "left").withColumnRenamed("account", "series")
+    curve = nav.where("nav is not null").select(F.col("account").alias("series"), "trade_date",
+                                                "nav")
+    benchmark = M.benchmark_nav(bars, C.sessions(bars), T.AS_OF)
+    return nav, M.nav_metrics(curve, benchmark, activity)
+
+
+@query("nav_metrics", NAV_METRICS)
+def nav_metrics(spark, sf):
+    return _nav_metrics(spark, sf)[1]
 
 
 # Orders, positions and cash -------------------------------------------------------------
