@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .costs import market_rules_lookup
 from .features import FEATURE_NAMES
@@ -19,16 +20,33 @@ def score_with(features: DataFrame, score) -> DataFrame:
     """Add ``score`` from a Column, a fitted pipeline or a function of the DataFrame.
 
     A Column (also a pandas UDF applied to columns) stays in one plan; a pipeline must
-    produce a ``prediction`` column.
+    produce a ``prediction`` column. Whatever comes back must hold the columns of ``features``
+    with their types, and a numeric ``score``; nothing else may be added.
     """
     if isinstance(score, Column):
-        return features.withColumn("score", score)
-    if hasattr(score, "transform"):
-        scored = score.transform(features)
-        return scored.select(*features.columns, F.col("prediction").alias("score"))
-    if isinstance(score, Callable):
-        return score(features)
-    raise TypeError("score must be a Column, a fitted model or a function")
+        scored = features.withColumn("score", score)
+    elif hasattr(score, "transform"):
+        made = score.transform(features)
+        if "prediction" not in made.columns:
+            raise ValueError("the fitted model gives no prediction column")
+        scored = made.select(*features.columns, F.col("prediction").alias("score"))
+    elif isinstance(score, Callable):
+        scored = score(features)
+    else:
+        raise TypeError("score must be a Column, a fitted model or a function")
+    return _checked(features, scored)
+
+
+def _checked(features: DataFrame, scored: DataFrame) -> DataFrame:
+    kinds = {f.name: f.dataType for f in scored.schema}
+    wanted = {f.name: f.dataType for f in features.schema if f.name != "score"}
+    changed = sorted(n for n, t in wanted.items() if kinds.get(n) != t)
+    added = sorted(kinds.keys() - wanted.keys() - {"score"})
+    if changed or added or len(scored.columns) != len(kinds):
+        raise ValueError(f"scoring changed or lost {changed} and added {added}")
+    if not isinstance(kinds.get("score"), NumericType):
+        raise ValueError("the score is missing or not a number")
+    return scored.withColumn("score", F.col("score").cast("double"))
 
 
 def daily_rank(scores: DataFrame) -> DataFrame:

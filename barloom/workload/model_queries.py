@@ -202,9 +202,14 @@ def feature_importance(spark, sf):
     return R.feature_importance(scored)
 
 
-@query("model_document", """
-select trade_date, cast(count(*) as int) as ranked, min(symbol) filter (rnk = 1) as best
-from ranked group by 1""")
+@query("model_document", f"""
+select trade_date, part, parts, cast(count(*) as int) as ranked, arg_min(symbol, rnk) as first,
+  any_value(train_end) as train_end, any_value(passed) as passed, round(any_value(top), 6) as top
+from (select *, cast((rnk - 1) // 40 + 1 as int) as part,
+    cast((count(*) over (partition by trade_date) - 1) // 40 + 1 as int) as parts from ranked),
+  (select train_end from split), (select 6::bigint as passed),
+  (select max(weight) as top from ({_importance_sql()}))
+group by 1, 2, 3""")
 def model_document(spark, sf):
     from ..operators.report import model_document as build
 
@@ -213,8 +218,15 @@ def model_document(spark, sf):
     scored = R.score_with(panel, F.col("ret_20d"))
     ranks = R.daily_rank(scored.select("symbol", "trade_date", "score"))
     split = G.walk_forward_split(C.calendar_index(C.sessions(bars)))
-    docs = build(ranks, R.feature_importance(scored), G.audit_leaks(bars), split, ["SYNTHETIC"])
-    return docs.select("trade_date", "ranked",
-                       F.get_json_object("document", "$.rankings[0].symbol").alias("best"))
-
-
+    weighed = R.score_with(panel, F.lit(0.75) * F.col("ret_5d") + F.lit(0.25) * F.col("ret_20d"))
+    docs = build(ranks, R.feature_importance(weighed), G.audit_leaks(bars), split, ["SYNTHETIC"],
+                 part_rows=40)
+    body = F.from_json("document", "rankings array<struct<rank int, symbol string>>, "
+                       "factors array<struct<name string, weight double>>, "
+                       "leak_checks array<struct<check_id string, status string>>, "
+                       "splits struct<train_end date>")
+    return docs.withColumn("b", body).select(
+        "trade_date", "part", "parts", "ranked", F.col("b.rankings")[0]["symbol"].alias("first"),
+        F.col("b.splits.train_end").alias("train_end"), F.size(F.filter(
+            "b.leak_checks", lambda c: c["status"] == "pass")).cast("bigint").alias("passed"),
+        F.round(F.array_max(F.col("b.factors.weight")), 6).alias("top"))

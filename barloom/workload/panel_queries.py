@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -160,6 +163,27 @@ def score_with(spark, sf):
     return R.top_k_targets(scored, 3, 0.1, 0.2).drop("score")
 
 
+@query("score_with_forms", """
+select form, symbol, trade_date, round(0.75 * ret_5d + 0.25 * ret_20d, 6) as score
+from features, (values ('function'), ('model'), ('pandas')) f(form)""")
+def score_with_forms(spark, sf):
+    """The same score by a vectorised user function, a fitted pipeline and a function of tables."""
+    panel = X.feature_panel(T.bars(spark, sf))
+
+    @F.pandas_udf("double")
+    def weighed(short: pd.Series, long: pd.Series) -> pd.Series:
+        return 0.75 * short + 0.25 * long
+
+    sql = "select *, 0.75D * ret_5d + 0.25D * ret_20d as prediction from __THIS__"
+    forms = {"pandas": weighed("ret_5d", "ret_20d"),
+             "model": PipelineModel([SQLTransformer(statement=sql)]),
+             "function": lambda df: df.withColumn("score", F.expr("0.75D * ret_5d + 0.25D * ret_20d"))}
+    parts = [rounded(R.score_with(panel, how).select(
+        F.lit(name).alias("form"), "symbol", "trade_date", "score"), "score")
+        for name, how in sorted(forms.items())]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("momentum_argmax", """
 select trade_date, m.symbol as symbol, round(m.ret, 6) as ret, 1.0::double as target_weight from (
   select trade_date, max(struct_pack(ret := ret, symbol := symbol)) as m from (

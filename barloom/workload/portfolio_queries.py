@@ -386,15 +386,17 @@ select *, coalesce(lag(held) over (partition by account, symbol order by n), 0)
     from costed window w as (partition by account, symbol order by trade_date, trade_id)))"""
 
 
-@query("position_ledger", f"""
-select account, symbol, trades, shares, invested,
-  round(m.b / nullif(shares, 0) + 1e-9, 4) as avg_cost from (
-  select account, symbol, count(*) as trades, cast(arg_max(held, n) as bigint) as shares,
+LEDGER_FOLD = f"""select account, symbol, count(*) as trades, cast(arg_max(held, n) as bigint) as shares,
     sum(spent) as invested, list_reduce(list(struct_pack(r := r, b := b) order by n), lambda a, x:
       struct_pack(r := a.r * x.r, b := a.b * x.r + x.b)) as m
   from (select *, case when side = 'buy' then 1.0::double when before > 0
         then held::double / before::double else 0.0::double end as r, spent::double as b
-    from ({LEDGER_STEPS})) group by 1, 2)""")
+    from ({LEDGER_STEPS})) group by 1, 2"""
+
+
+@query("position_ledger", f"""
+select account, symbol, trades, shares, invested,
+  round(m.b / nullif(shares, 0) + 1e-9, 4) as avg_cost from ({LEDGER_FOLD})""")
 def position_ledger(spark, sf):
     ledger = P.position_ledger(_costed(spark, sf), "total_cost")
     # Averages may end in a five: both sides round what is a little above.
@@ -434,17 +436,47 @@ def recent_actions(spark, sf):
 
 @query("report_document", f"""
 select a.account, coalesce(p, 0) as position_count, coalesce(least(n, 20), 0) as action_count,
-  cast(round(a.cash + coalesce(v, 0), 2) as double) as total_assets
-from accounts a left join (select h.account, count(*) as p, sum({exact('shares * last_price')})
-    as v from holdings h join (select symbol, arg_max(close, trade_date) as last_price
-    from bars group by 1) l on l.symbol = h.symbol group by 1) h on h.account = a.account
-left join (select account, count(*) as n from trades group by 1) t on t.account = a.account""")
+  cast(round(a.cash + coalesce(v, 0), 2) as double) as total_assets,
+  round(coalesce(book, 0), 2) as book_value, curve.days as nav_days, round(curve.last, 6) as last_nav,
+  m.total_return, m.max_drawdown, m.win_rate, m.turnover, a.account % 3 <> 0 as noticed
+from accounts a left join (select h.account, count(*) as p, sum({exact('h.shares * last_price')})
+    as v, sum(h.shares * round(m.b / nullif(g.shares, 0), 4)) as book
+  from holdings h join (select symbol, arg_max(close, trade_date) as last_price
+    from bars group by 1) l on l.symbol = h.symbol
+  left join ({LEDGER_FOLD}) g on g.account = h.account and g.symbol = h.symbol
+  group by 1) h on h.account = a.account
+left join (select account, count(*) as n from trades group by 1) t on t.account = a.account
+left join (select account, count(nav)::int as days, arg_max(nav, trade_date) as last
+  from ({ACCOUNT_NAV}) where nav is not null group by 1) curve on curve.account = a.account
+left join ({NAV_METRICS}) m on m.series = a.account""")
 def report_document(spark, sf):
-    cash = T.accounts(spark, sf)
+    """Every section of the documents, read back from their text."""
+    cash, costed = T.accounts(spark, sf), _costed(spark, sf)
+    nav, metrics = _nav_metrics(spark, sf)
     positions = M.position_report(T.holdings(spark, sf), T.bars(spark, sf), cash)
-    docs = D.report_document(positions, _costed(spark, sf), cash)
-    total = F.get_json_object("document", "$.portfolio.total_assets").cast("double")
-    return docs.select("account", "position_count", "action_count", total.alias("total_assets"))
+    state = cash.select("account", F.when(F.col("account") % 3 == 0, "ACTIVE").otherwise("HOLD")
+                        .alias("state"))
+    docs = D.report_document(
+        positions, costed, cash, state, ledger=P.position_ledger(costed, "total_cost"),
+        nav=nav.where("nav is not null").select("account", "trade_date", "nav"), metrics=metrics)
+    figures = ("total_return", "max_drawdown", "win_rate", "turnover")
+    body = F.from_json("document", (
+        "portfolio struct<total_assets double, positions array<struct<shares bigint, "
+        "avg_cost double>>, recent_actions array<struct<trade_id string>>>, performance struct<"
+        "nav_curve array<struct<trade_date date, nav double>>, metrics struct<"
+        + ", ".join(f"{f} double" for f in figures) + ">>, notices array<string>"))
+    book = F.aggregate("b.portfolio.positions", F.lit(0.0), lambda s, p: s + F.coalesce(
+        p["shares"] * p["avg_cost"], F.lit(0.0)))
+    curve = F.col("b.performance.nav_curve")
+    return docs.withColumn("b", body).select(
+        "account", F.size("b.portfolio.positions").cast("bigint").alias("position_count"),
+        F.size("b.portfolio.recent_actions").cast("bigint").alias("action_count"),
+        F.col("b.portfolio.total_assets").alias("total_assets"),
+        F.round(book, 2).alias("book_value"),
+        F.when(F.size(curve) > 0, F.size(curve)).alias("nav_days"),
+        F.round(F.try_element_at(curve, F.lit(-1))["nav"], 6).alias("last_nav"),
+        *[F.col(f"b.performance.metrics.{f}").alias(f) for f in figures],
+        F.array_contains("b.notices", "SIGNAL_STATE_HOLD").alias("noticed"))
 
 
 @query("recommend", f"""

@@ -10,10 +10,13 @@ from ..session import fresh_path
 from ..streaming.freshness import current_freshness, freshness_sink
 from ..streaming.quality import two_sinks
 from . import fixtures as T
+from .ctes import CTES, symbol
 from .panel_queries import FEATURES_ROUNDED
 from .quality_queries import JUDGED, W
 from .registry import ORACLES, query
 
+PARTS = ("1997-01-01", "1999-01-01")  # first days of the second and third part of a stream
+
 
 def _ticks(lines):
     return lines.select(
@@ -43,6 +46,33 @@ def stream_bars(spark, sf):
     return spark.read.parquet(Z.run_available(bars, "stream-bars"))
 
 
+LATE_BARS = CTES["kbars"].replace("from lineitem", f"""from lineitem
+  where not (l_orderkey % 7 = 0 and cast(l_shipdate as date) < date '{PARTS[0]}')""")
+
+
+@query("stream_bars_late", f"""
+select {symbol('k')} as symbol, trade_date, open, high, low, close, volume, amount
+from ({LATE_BARS})""")
+def stream_bars_late(spark, sf):
+    """Ticks arrive in parts by date, in runs of one stream that stops and goes on; every seventh
+    order of the first part comes with the third, when its bars are out, and is dropped."""
+    session = Z.streaming_session(spark)
+    ticks = T.table(session, sf, "lineitem")
+    day, first = F.col("l_shipdate").cast("date"), F.lit(PARTS[0]).cast("date")
+    late = (F.col("l_orderkey") % 7 == 0) & (day < first)
+    part = F.when(late | (day >= F.lit(PARTS[1]).cast("date")), 2).when(day >= first, 1).otherwise(0)
+    folder, state, output = (fresh_path(spark, n) for n in ("late-in", "late-state", "late-out"))
+    for i in range(len(PARTS) + 1):
+        ready = _ticks(ticks.where(part == i))
+        if i == len(PARTS):
+            ready = ready.union(Z.closing_tick(_ticks(ticks)))
+        ready.write.mode("append").parquet(folder)
+        bars = Z.stream_bars(Z.stream_table(session, folder, "*.parquet"), width="1 day",
+                             delay="1 day")
+        Z.run_available(bars, "late", checkpoint=state, output=output)
+    return spark.read.parquet(output)
+
+
 @query("stream_dedup", """
 select distinct user_id, event_type, cast(ts as date) as day from events""")
 def stream_dedup(spark, sf):
