@@ -6,6 +6,9 @@ task and broadcast; nothing else here is.
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +109,29 @@ def freshness(latest: DataFrame, calendar: DataFrame, expected_as_of,
                       (F.size(codes) == 0).alias("passed"), codes.alias("reason_codes"))
 
 
+def stage_health(rated: DataFrame, run_id: str, started_at: str, finished_at: str,
+                 manifest_sha256: str) -> DataFrame:
+    """One row: whether the data stage of a run passed, when it ran (UTC), on which manifest, and
+    the distinct reason codes of all datasets in ``rated`` (the output of ``freshness``)."""
+    if not run_id:
+        raise ValueError("a run needs an id")
+    if not re.fullmatch("[0-9a-f]{64}", manifest_sha256):
+        raise ValueError("the manifest digest is 64 lower-case hex digits")
+    times = [datetime.fromisoformat(t.replace("Z", "+00:00")) for t in (started_at, finished_at)]
+    if any(t.utcoffset() != timedelta(0) for t in times):
+        raise ValueError("times must be UTC")
+    if times[1] < times[0]:
+        raise ValueError("a run cannot finish before it starts")
+    codes = rated.select(F.explode("reason_codes").alias("code")).agg(
+        F.array_sort(F.collect_set("code")).alias("reason_codes"))  # a handful of codes
+    return codes.select(
+        F.lit(run_id).alias("run_id"), F.lit("data").alias("stage"),
+        F.when(F.size("reason_codes") == 0, "pass").otherwise("fail").alias("status"),
+        *[F.lit(t.strftime("%Y-%m-%dT%H:%M:%SZ")).alias(n) for t, n in
+          zip(times, ("started_at", "finished_at"), strict=True)],
+        F.lit(manifest_sha256).alias("dataset_manifest_sha256"), "reason_codes")
+
+
 def label_sessions(events: DataFrame, open_days: DataFrame, utc_offset_hours: int = 8,
                    at: str = "ts") -> DataFrame:
     """Part of the trading day of each UTC timestamp. Works on streams."""

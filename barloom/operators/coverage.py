@@ -102,25 +102,27 @@ def coverage_summary(classified: DataFrame, open_days: DataFrame, expected_membe
                      window_start, window_end) -> DataFrame:
     """One row: the counts of the audit, whether it passed, and why not.
 
-    The classified days are grouped by symbol and by session; both groupings combine on the
-    map side, and each ends in one row.
+    The classified days are derived once and grouped by symbol and by session together; both
+    groupings combine on the map side, and end in one row. They lie on open days of the window.
     """
     first, last = (F.lit(str(d)).cast("date") for d in (window_start, window_end))
     names = {"bar": "BAR", "suspended": "SUSPENDED", "delisted": "EXPECTED_DELISTED",
              "missing": "MISSING"}
-    by_symbol = classified.groupBy("symbol").agg(
-        F.count("*").alias("expected"),
+    both = classified.groupingSets([["symbol"], ["trade_date"]], "symbol", "trade_date").agg(
+        F.grouping("symbol").alias("_session"), F.count("*").alias("expected"),
         *[F.count_if(F.col("class") == c).alias(n) for n, c in names.items()])
-    row = by_symbol.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_days") for c in ("expected", *names)],
-        F.count_if(F.col("expected") == F.col("missing")).alias("silent_symbols"))
-    days = small(open_days.where(F.col("trade_date").between(first, last)).select("trade_date"))
-    by_session = classified.groupBy("trade_date").agg(F.count("*").alias("expected"))
-    calendar = days.join(by_session, "trade_date", "left").agg(
-        F.count("*").alias("sessions"),
-        F.count_if(F.coalesce("expected", F.lit(0)) != expected_members)
-        .alias("anomalous_sessions"))
-    row = row.join(F.broadcast(calendar))  # one row each
+    of_symbol = F.col("_session") == 0
+    calendar = F.broadcast(open_days.where(F.col("trade_date").between(first, last)).select(
+        "trade_date").distinct().agg(F.count("*").alias("sessions")))  # one row
+    row = both.agg(
+        *[F.coalesce(F.sum(F.when(of_symbol, F.col(c))), F.lit(0)).alias(f"{c}_days")
+          for c in ("expected", *names)],
+        F.count_if(of_symbol & (F.col("expected") == F.col("missing"))).alias("silent_symbols"),
+        F.count_if(~of_symbol).alias("_any"), F.count_if(
+            ~of_symbol & (F.col("expected") == expected_members)).alias("_full"))
+    row = row.join(calendar)
+    regular = F.col("sessions") - F.col("_any") if expected_members == 0 else F.col("_full")
+    row = row.withColumn("anomalous_sessions", F.col("sessions") - regular).drop("_any", "_full")
     codes = F.array_compact(F.array(
         F.when(F.col("missing_days") > 0, "MISSING_MEMBER_DAYS"),
         F.when(F.col("silent_symbols") > 0, "SILENT_MEMBER_SKIP"),

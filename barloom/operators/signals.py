@@ -101,15 +101,21 @@ def target_transition(signals: DataFrame, targets: DataFrame) -> DataFrame:
 def binding_issues(expected: DataFrame, actual: DataFrame, key: str = "run") -> DataFrame:
     """Fields whose expected and actual values differ, per run, in two groups.
 
-    Both sides carry one row per run with the same field columns.
+    Both sides carry one row per run with the same field columns. A column ``adapter_verified`` of
+    ``actual`` adds a code to the runs in which it is not true.
     """
     fields = [c for c in CONTRACT_FIELDS + HASH_FIELDS if c in expected.columns]
+    verified = (F.col("adapter_verified") if "adapter_verified" in actual.columns
+                else F.lit(True))
     pairs = (expected.select(key, F.struct(*fields).alias("e"))
-             .join(actual.select(key, F.struct(*fields).alias("a")), key, "left"))
+             .join(actual.select(key, F.struct(*fields).alias("a"), verified.alias("ok")), key,
+                   "left"))
     found = F.array_compact(F.array(*[
         F.when(~F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")), F.struct(
             F.lit("hash" if c in HASH_FIELDS else "contract").alias("group"),
-            F.lit(f"CHAMPION_{c.upper()}_MISMATCH").alias("code"))) for c in fields]))
+            F.lit(f"CHAMPION_{c.upper()}_MISMATCH").alias("code"))) for c in fields],
+        F.when(~F.coalesce("ok", F.lit(False)), F.struct(
+            F.lit("hash").alias("group"), F.lit("ADAPTER_VERIFICATION_FAILED").alias("code")))))
     return pairs.select(key, F.explode(found).alias("i")).select(key, "i.group", "i.code")
 
 
@@ -123,6 +129,8 @@ def signal_chain_audit(signals: DataFrame, heads: DataFrame) -> DataFrame:
     first = F.col("_p_signal_id").isNull()
     rest = ~first
     stored_hash = F.col("previous_signal_hash")
+    later = (~F.col("head_generated_at").eqNullSafe(F.col("generated_at"))
+             if "head_generated_at" in heads.columns else F.lit(False))
     return joined.select("chain", "signal_id", "sequence", codes(
         (first & (F.col("sequence") != 1), "FIRST_SEQUENCE_NOT_ONE"),
         (first & stored_hash.isNotNull(), "FIRST_HAS_PREVIOUS_HASH"),
@@ -134,5 +142,5 @@ def signal_chain_audit(signals: DataFrame, heads: DataFrame) -> DataFrame:
         (rest & (F.col("signal_id") == F.col("_p_signal_id")), "SIGNAL_ID_REUSED"),
         (~F.col("head_sequence").eqNullSafe(F.col("sequence"))
          | ~F.col("head_as_of").eqNullSafe(F.col("as_of"))
-         | ~F.col("head_signal_hash").eqNullSafe(F.col("document_hash")), "HEAD_MISMATCH"),
+         | ~F.col("head_signal_hash").eqNullSafe(F.col("document_hash")) | later, "HEAD_MISMATCH"),
     ).alias("codes"))

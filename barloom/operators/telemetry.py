@@ -79,6 +79,26 @@ def with_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("row_fingerprint", row_fingerprint(columns))
 
 
+def master_expectations(judged: DataFrame, expected: DataFrame, window_start) -> DataFrame:
+    """Every expected symbol with what its accepted master row breaks.
+
+    ``expected`` has symbol, list_status and delist_date (null for none); ``judged`` is the output
+    of the master parser. A list date must be known and not after the start of the window.
+    """
+    rows = judged.where("reason_code is null").select(
+        F.col("ts_code").alias("symbol"), F.col("list_status").alias("_status"),
+        F.col("list_date").alias("_listed"), F.col("delist_date").alias("_delisted"))
+    found = F.col("_status").isNotNull()
+    late = F.col("_listed").isNull() | (F.col("_listed") > F.lit(str(window_start)).cast("date"))
+    codes = F.array_compact(F.array(
+        F.when(~found, "MISSING_SYMBOL"),
+        F.when(found & (F.col("_status") != F.col("list_status")), "LIST_STATUS_CHANGED"),
+        F.when(found & late, "INVALID_LIST_DATE"),
+        F.when(found & ~F.col("_delisted").eqNullSafe(F.col("delist_date")),
+               "DELIST_DATE_CHANGED")))
+    return expected.join(rows, "symbol", "left").select("symbol", codes.alias("codes"))
+
+
 def reconcile_batches(judged: DataFrame) -> DataFrame:
     """Accepted and rejected rows per status batch, and symbols found in two batches.
 

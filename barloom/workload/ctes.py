@@ -140,7 +140,9 @@ from (select *, sha256(concat_ws('|', cast(signal_id as varchar), cast(chain as
     "signal_heads": """
 select chain, signal_id, as_of as head_as_of,
   sequence + case when signal_id % 71 = 0 then 1 else 0 end as head_sequence,
-  document_hash as head_signal_hash from signals""",
+  document_hash as head_signal_hash,
+  generated_at + case when signal_id % 73 = 0 then 1 else 0 end as head_generated_at
+  from signals""",
     "targets": f"""
 select l_orderkey as signal_id, {symbol('l_suppkey')} as symbol,
   l_quantity / 200 as weight from lineitem""",

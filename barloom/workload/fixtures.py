@@ -277,7 +277,9 @@ def signal_heads(spark: SparkSession, sf: str) -> DataFrame:
         "chain", "signal_id", F.col("as_of").alias("head_as_of"),
         (F.col("sequence") + F.when(F.col("signal_id") % 71 == 0, 1).otherwise(0))
         .alias("head_sequence"),
-        F.col("document_hash").alias("head_signal_hash"))
+        F.col("document_hash").alias("head_signal_hash"),
+        (F.col("generated_at") + F.when(F.col("signal_id") % 73 == 0, 1).otherwise(0))
+        .alias("head_generated_at"))
 
 
 def targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -459,7 +461,8 @@ def bindings(spark: SparkSession, sf: str, actual: bool) -> DataFrame:
               "dataset_family": 19, "data_schema": 23, "normalization_version": 29,
               "universe_policy": 31, "universe_policy_version": 37, "lockfile": 41}
     return table(spark, sf, "orders").select(
-        run.alias("run"), *[value(n, e).alias(n) for n, e in fields.items()])
+        run.alias("run"), *[value(n, e).alias(n) for n, e in fields.items()],
+        ((run % 43 != 0) | F.lit(not actual)).alias("adapter_verified"))
 
 
 def universe(spark: SparkSession, sf: str) -> DataFrame:

@@ -247,7 +247,14 @@ def calendar_gaps(spark, sf):
     return C.calendar_gaps(T.trade_calendar(spark, sf), "1994-12-25", "2001-10-31")
 
 
-@query("freshness", f"""
+@query("as_of_is_last_open", f"""
+select max(cal_date) as last_open, max(cal_date) = date '{T.EXPECTED_AS_OF}' as matches
+from trade_calendar where is_open = 1""")
+def as_of_is_last_open(spark, sf):
+    return C.as_of_is_last_open(T.trade_calendar(spark, sf), T.EXPECTED_AS_OF)
+
+
+ORACLE_FRESHNESS = f"""
 select symbol as name, latest as latest_date, lag_sessions, codes = '' as passed,
   codes as reason_codes
 from (select *, concat_ws(',',
@@ -259,7 +266,10 @@ from (select *, concat_ws(',',
     case when lag_sessions > 1 then 'DATA_STALE' end) as codes
   from (select symbol, latest, (select count(*) from open_days d where d.trade_date > latest
       and d.trade_date <= date '{T.EXPECTED_AS_OF}') as lag_sessions
-    from (select symbol, max(trade_date) as latest from bars group by 1)))""")
+    from (select symbol, max(trade_date) as latest from bars group by 1)))"""
+
+
+@query("freshness", ORACLE_FRESHNESS)
 def freshness(spark, sf):
     latest = T.bars(spark, sf).groupBy(F.col("symbol").alias("name")).agg(
         F.max("trade_date").alias("latest_date"))
@@ -267,6 +277,21 @@ def freshness(spark, sf):
     return rated.withColumn("reason_codes", F.array_join("reason_codes", ","))
 
 
+@query("stage_health", f"""
+select 'run-1' as run_id, 'data' as stage, case when codes = '' then 'pass' else 'fail' end as status,
+  '2001-11-05T00:00:00Z' as started_at, '2001-11-05T00:05:00Z' as finished_at,
+  '{"ab" * 32}' as dataset_manifest_sha256, codes as reason_codes
+from (select coalesce(string_agg(distinct c, ',' order by c), '') as codes
+  from (select unnest(string_split(reason_codes, ',')) as c from ({ORACLE_FRESHNESS}))
+  where c <> '')""")
+def stage_health(spark, sf):
+    latest = T.bars(spark, sf).groupBy(F.col("symbol").alias("name")).agg(
+        F.max("trade_date").alias("latest_date"))
+    rated = C.freshness(latest, T.open_days(spark, sf), T.EXPECTED_AS_OF, 1)
+    row = C.stage_health(rated, "run-1", "2001-11-05T00:00:00Z", "2001-11-05T00:05:00Z", "ab" * 32)
+    return row.withColumn("reason_codes", F.array_join("reason_codes", ","))
+
+
 @query("session_label", """
 select event_id, cast(local as date) as calendar_date, label as session_label,
   label = 'OPEN' as is_open

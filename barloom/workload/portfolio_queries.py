@@ -570,7 +570,9 @@ from (select o_orderkey as run, unnest(list_value('COST_MODEL', 'EXECUTION_POLIC
     'PORTFOLIO_RISK', 'DATASET_FAMILY', 'DATA_SCHEMA', 'NORMALIZATION_VERSION', 'UNIVERSE_POLICY',
     'UNIVERSE_POLICY_VERSION', 'LOCKFILE')) as field,
   unnest(list_value(7, 11, 13, 17, 19, 23, 29, 31, 37, 41)) as every from orders)
-where run % every = 0""")
+where run % every = 0
+union all select o_orderkey, 'hash', 'ADAPTER_VERIFICATION_FAILED' from orders
+where o_orderkey % 43 = 0""")
 def binding_issues(spark, sf):
     return S.binding_issues(T.bindings(spark, sf, False), T.bindings(spark, sf, True))
 
@@ -586,7 +588,7 @@ select chain, signal_id, sequence, concat_ws(',',
   case when generated_at <= pg then 'GENERATED_AT_NOT_LATER' end,
   case when run_id = pr then 'RUN_ID_REUSED' end,
   case when signal_id = prev then 'SIGNAL_ID_REUSED' end,
-  case when signal_id % 71 = 0 then 'HEAD_MISMATCH' end) as codes
+  case when signal_id % 71 = 0 or signal_id % 73 = 0 then 'HEAD_MISMATCH' end) as codes
 from (select *, lag(signal_id) over w as prev, lag(sequence) over w as ps,
     lag(document_hash) over w as ph, lag(as_of) over w as pa, lag(generated_at) over w as pg,
     lag(run_id) over w as pr

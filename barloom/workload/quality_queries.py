@@ -55,6 +55,18 @@ def normalize_bars(spark, sf):
     return judged.select("symbol", "trade_date", "reason_code", shares.alias("volume"))
 
 
+@query("quarantine_markers", f"""
+select symbol, trade_date, reason_code, case when isnan(close) then 'NaN' end as close_marker,
+  cast(null as varchar) as vol_marker
+from (select j.*, r.close from ({JUDGED}) j join (select distinct ts_code, trade_date, close
+    from raw_bars) r on r.ts_code = j.symbol and r.trade_date = j.trade_date)
+where reason_code is not null""")
+def quarantine_markers(spark, sf):
+    """Rejected rows as they are kept, with labels for numbers that JSON cannot hold."""
+    _, rejected = Q.normalize_bars(T.raw_bars(spark, sf), T.requested(spark, sf), *W)
+    return rejected.select("symbol", "trade_date", "reason_code", "close_marker", "vol_marker")
+
+
 @query("implied_vwap_check", """
 select ts_code as symbol, trade_date, case when (vol = 0) <> (amount = 0)
   then 'INCONSISTENT_ZERO_TURNOVER' when vol < 0 then 'INVALID_IMPLIED_VWAP'
@@ -593,6 +605,28 @@ def reconcile_batches(spark, sf):
     return L.reconcile_batches(O.parse_securities(T.raw_securities(spark, sf)))
 
 
+@query("master_expectations", f"""
+select w.symbol, concat_ws(',', case when p.ts_code is null then 'MISSING_SYMBOL' end,
+  case when p.list_status <> w.list_status then 'LIST_STATUS_CHANGED' end,
+  case when p.ts_code is not null and (p.list_date is null or p.list_date > date '1995-05-01')
+    then 'INVALID_LIST_DATE' end,
+  case when p.ts_code is not null and p.delist_date is distinct from w.delist_date
+    then 'DELIST_DATE_CHANGED' end) as codes
+from (select ts_code as symbol, case when k % 14 = 5 then 'P' else list_status end as list_status,
+    case when k % 15 = 4 then date '2001-01-31' else delist_date end as delist_date
+  from securities) w
+left join (select s.*, p.reason_code from ({PARSED_SECURITIES}) p join securities s
+    on s.ts_code = p.ts_code where p.reason_code is null) p on p.ts_code = w.symbol""")
+def master_expectations(spark, sf):
+    wanted = T.securities(spark, sf).select(
+        F.col("ts_code").alias("symbol"),
+        F.when(F.col("k") % 14 == 5, "P").otherwise(F.col("list_status")).alias("list_status"),
+        F.when(F.col("k") % 15 == 4, F.lit("2001-01-31").cast("date"))
+        .otherwise(F.col("delist_date")).alias("delist_date"))
+    judged = O.parse_securities(T.raw_securities(spark, sf))
+    return joined_codes(L.master_expectations(judged, wanted, "1995-05-01"))
+
+
 # Signals --------------------------------------------------------------------------------
 
 @query("resolve_state", """
