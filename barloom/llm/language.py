@@ -28,18 +28,43 @@ def fold(text: str) -> str:
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
-def automaton(text: str, symbols: dict[str, int], width: int) -> np.ndarray:
-    """The suffix automaton of ``text`` as a table [state, symbol] of states, -1 where none.
+_DIGITS = "0123456789abcdef"
 
-    A symbol outside ``symbols`` is 0 and never matches.
-    """
+
+def sizes_of(text: str, symbols: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per character: its code point, its own symbol (0 if it is spelt), and its symbols' number."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.zeros(int(codes.max(initial=0)) + 1, np.uint8)
+    for char, symbol in symbols.items():
+        if ord(char) < len(own):
+            own[ord(char)] = symbol
+    found = own[codes]
+    sizes = np.ones(len(codes), np.uint8)
+    rare = np.flatnonzero(found == 0)
+    sizes[rare] = np.where(codes[rare] < 1 << 16, 4, 6)
+    return codes, found, sizes
+
+
+def spelt(text: str, symbols: dict[str, int]) -> np.ndarray:
+    """A text as symbols: one for each character of ``symbols``, the hex digits (0 to 15) of its
+    code point, four or six, for any other."""
+    codes, found, sizes = sizes_of(text, symbols)
+    rare = np.flatnonzero(found == 0)
+    if not len(rare):
+        return found
+    out, ends = np.repeat(found, sizes), np.cumsum(sizes, dtype=np.int64)
+    for digit in range(6):
+        at = rare[sizes[rare] > digit]
+        out[ends[at] - 1 - digit] = codes[at] >> np.uint32(4 * digit) & np.uint32(15)
+    return out
+
+
+def automaton(text: np.ndarray, width: int) -> np.ndarray:
+    """The suffix automaton of a text of symbols as a table [state, symbol] of states, -1 where
+    there is none."""
     rows = [[-1] * width]
     link, length, last = [-1], [0], 0
-    for char in text:
-        symbol = symbols.get(char, 0)
-        if symbol == 0:
-            last = 0
-            continue
+    for symbol in text.tolist():
         existing = rows[last][symbol]
         if existing >= 0 and length[existing] == length[last] + 1:
             last = existing
@@ -83,26 +108,50 @@ class LanguageModel:
     roots: np.ndarray
     width: int
 
+    factors: np.ndarray
+
     @classmethod
-    def fit(cls, texts: dict[str, list[str]], chars: int, alphabet: int = 62) -> LanguageModel:
+    def fit(cls, texts: dict[str, list[str]], chars: int, direct: int = 62) -> LanguageModel:
         """``texts``: labelled texts by language, of which ``chars`` folded characters are read.
 
-        Fewer, equally many characters are read of all if some language has fewer, so that no
-        automaton knows more text than another; never less than a tenth of ``chars`` where there is
-        that much.
+        The ``direct`` most frequent characters are symbols of their own; every other one, learned
+        or not, is spelt by the hex digits of its code point, which are symbols too. So no
+        character is lost, and the table's width does not grow with the scripts.
+
+        A language with less text has a smaller automaton, which needs more phrases. Its counts
+        are multiplied by what that costs others: phrases of unseen text of the languages with more
+        text, parsed by their whole automaton, over those by one of as little text. Where no language has
+        text beyond ``chars``, the longest keeps back a tenth for that.
         """
         folded = {lang: "".join(map(fold, parts)) for lang, parts in sorted(texts.items())}
-        even = max(min(map(len, folded.values()), default=0), chars // 10)
-        folded = {lang: text[:min(chars, even)] for lang, text in folded.items()}
+        rest = {lang: text[chars:chars + 10_000] for lang, text in folded.items()}
+        folded = {lang: text[:chars] for lang, text in folded.items()}
+        if folded and not any(rest.values()):  # the longest keeps a tenth back
+            lang = max(folded, key=lambda k: len(folded[k]))
+            cut = len(folded[lang]) - len(folded[lang]) // 10
+            folded[lang], rest[lang] = folded[lang][:cut], folded[lang][cut:]
         counts = Counter()
         for text in folded.values():
             counts.update(text)
-        common = sorted(counts, key=lambda c: (-counts[c], c))[:alphabet]
-        symbols = {c: i + 1 for i, c in enumerate(sorted(common))}
-        width = len(symbols) + 1
+        common = sorted(counts, key=lambda c: (-counts[c], c))[:direct]
+        symbols = {c: i + len(_DIGITS) for i, c in enumerate(sorted(common))}
+        model = cls._of(folded, symbols)
+        for i, text in enumerate(folded.values()):
+            known = [k for k in folded if rest[k] and len(folded[k]) > len(text)]
+            if known:
+                little = cls._of({k: folded[k][:len(text)] for k in known}, symbols)
+                probes = [rest[k] for k in known]
+                own = [model.languages.index(k) for k in known]
+                whole = model.phrases(probes)[np.arange(len(known)), own]
+                model.factors[i] = whole.sum() / np.diag(little.phrases(probes)).sum()
+        return model
+
+    @classmethod
+    def _of(cls, folded: dict[str, str], symbols: dict[str, int]) -> LanguageModel:
+        width = len(_DIGITS) + len(symbols)
         tables, roots, base = [], [], 0
         for text in folded.values():
-            table = automaton(text, symbols, width)
+            table = automaton(spelt(text, symbols), width)
             root, dead = table[0], len(table)  # ``dead`` follows a symbol the text lacks
             start = np.where(root >= 0, root, dead)
             missing = table < 0
@@ -113,21 +162,19 @@ class LanguageModel:
             roots.append(base)
             base += len(after)
         steps = np.concatenate(tables).ravel() if tables else np.zeros(0)
-        return cls(list(folded), symbols, steps.astype(np.int32), np.array(roots, np.int64), width)
+        return cls(list(folded), symbols, steps.astype(np.int32), np.array(roots, np.int64), width,
+                   np.ones(len(folded)))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each text needs against each language, of folded texts.
 
         All texts advance together, one symbol at a time, longest first.
         """
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        lengths = np.array([len(texts[i]) for i in order], np.int64)
-        codes = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), np.uint32)
-        lookup = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
-        for char, symbol in self.symbols.items():
-            if ord(char) < len(lookup):
-                lookup[ord(char)] = symbol
-        codes = lookup[codes]
+        # Longest first; a text takes as many symbols as its characters are spelt with.
+        sizes = [int(sizes_of(t, self.symbols)[2].sum(dtype=np.int64)) for t in texts]
+        order = np.argsort(-np.array(sizes, np.int64), kind="stable")
+        lengths = np.array(sizes, np.int64)[order]
+        codes = spelt("".join(texts[i] for i in order), self.symbols)
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         longest = int(lengths.max(initial=0))
         alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
@@ -155,7 +202,7 @@ class LanguageModel:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         at = np.flatnonzero(known)
         if len(at) and self.languages:
-            phrases = self.phrases([folded[i] for i in at])
+            phrases = self.phrases([folded[i] for i in at]) * self.factors
             best = phrases.argmin(axis=1)
             least = phrases[np.arange(len(at)), best]
             second = (np.sort(phrases, axis=1)[:, 1] if phrases.shape[1] > 1
@@ -169,7 +216,7 @@ class LanguageModel:
 def fit_languages(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
                   id_col: str = "doc_id", sample: int = 60, chars: int = 60_000,
                   sample_chars: int = 8_000) -> LanguageModel:
-    """A model of a bounded sample of labelled rows.
+    """A model of a bounded sample of labelled rows; no rows give a model that knows no language.
 
     Of each language the ``sample`` rows of lowest id hash are read, whole texts of at most
     ``sample_chars`` characters first (a longer one is cut to that), and of those ``chars`` folded
@@ -206,10 +253,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
         held = shared.value
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for a in range(0, len(texts), 2000):
-                names, scores = held.predict(texts[a:a + 2000])
+            for a in range(0, len(texts), 1000):
+                names, scores = held.predict(texts[a:a + 1000])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc"].slice(a, 2000), pa.array(names, pa.string()),
+                    [batch["doc"].slice(a, 1000), pa.array(names, pa.string()),
                      pa.array(scores)], names=["doc", lang_out, score_out])
 
     return rows.mapInArrow(run, schema)

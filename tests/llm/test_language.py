@@ -1,8 +1,12 @@
 """Language identification: phrases equal brute-force parsing; held-out texts are recognised."""
 
+import random
+
 import numpy as np
 
-from barloom.llm.language import LanguageModel, fit_languages, fold, identify_languages
+from barloom.llm.language import (
+    LanguageModel, fit_languages, fold, identify_languages, spelt,
+)
 
 LANGS = {
     "en": "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun ",
@@ -27,10 +31,61 @@ def test_phrases_equal_brute_force():
     texts = [fold(t) for t in ["The dog sleeps", "Hund und Fuchs über", "zzz qqq", "a", "",
                                "le chien et the dog " * 30]]
     got = model.phrases(texts)
-    even = min(len(fold(v)) for v in LANGS.values())
+    longest = max(LANGS, key=lambda k: len(fold(LANGS[k])))
     for i, text in enumerate(texts):
         for j, lang in enumerate(model.languages):
-            assert got[i, j] == brute_phrases(text, fold(LANGS[lang])[:max(even, 1000)])
+            corpus = fold(LANGS[lang])  # the longest keeps back a tenth
+            kept = len(corpus) - len(corpus) // 10 if lang == longest else len(corpus)
+            assert got[i, j] == brute_phrases(text, corpus[:kept])
+
+
+def test_rare_characters_are_spelt():
+    symbols = {"a": 16, " ": 17}
+    assert spelt("a\u4e2d \U0001f600", symbols).tolist() == [
+        16, 4, 14, 2, 13, 17, 0, 1, 15, 6, 0, 0]
+    texts = {k: [v] for k, v in LANGS.items()}
+    model = LanguageModel.fit(texts, 10_000, direct=5)  # most letters are spelt
+    for i, lang in enumerate(model.languages):
+        text = fold(LANGS[lang][10:60])
+        assert model.phrases([text])[0].argmin() == i
+        other = model.phrases(["", text, "x", text * 3])
+        assert other[1].tolist() == model.phrases([text])[0].tolist()
+
+
+def _texts(rng, letters, n):
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    return [" ".join(rng.choice(words) for _ in range(200)) for _ in range(n)]
+
+
+def test_scripts_beyond_latin_are_told_apart(spark):
+    rng = random.Random(3)
+    han = [chr(0x4e00 + i) for i in range(0, 6000, 2)]
+    letters = {"h1": rng.sample(han, 500), "h2": rng.sample(han, 500),
+               "c1": [chr(0x430 + i) for i in range(20)], "c2": [chr(0x43a + i) for i in range(20)],
+               "l1": "abcdefghij", "l2": "fghijklmno"}
+    texts = {k: _texts(rng, v, 16) for k, v in letters.items()}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = identify_languages(df.where("doc_id % 4 = 2"), fit_languages(df.where("doc_id % 4 <> 2")))
+    assert all(r["doc"]["lang"] == r["lang_pred"] for r in found.collect())
+
+
+def test_a_rare_label_leaves_other_predictions_and_is_found(spark):
+    rng = random.Random(4)
+    texts = {k: _texts(rng, v, 60) for k, v in (("a", "abcdefghij"), ("b", "efghijklmn"))}
+    rare = _texts(rng, "klmnopqrst", 1)[0]
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    schema = "doc_id long, text string, lang string"
+    df = spark.createDataFrame(rows, schema)
+    learned = df.where("doc_id % 4 <> 2")
+    one = spark.createDataFrame([(900, rare[:300], "r")], schema)
+    plain, more = fit_languages(learned), fit_languages(learned.union(one))
+    assert more.factors[2] < 0.8 < plain.factors.min()
+    before, after = ({r["doc"]["doc_id"]: r["lang_pred"] for r in identify_languages(df, m).collect()}
+                     for m in (plain, more))
+    assert before == after and all(before[i] == k for i, _, k in rows)
+    assert identify_languages(spark.createDataFrame([(1, rare[300:], None)], schema),
+                              more).first()["lang_pred"] == "r"
 
 
 def test_tables_give_languages_scores_and_und(spark):
