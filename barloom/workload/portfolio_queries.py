@@ -440,7 +440,7 @@ select a.account, coalesce(p, 0) as position_count, coalesce(least(n, 20), 0) as
   round(coalesce(book, 0), 2) as book_value, curve.days as nav_days, round(curve.last, 6) as last_nav,
   m.total_return, m.max_drawdown, m.win_rate, m.turnover, a.account % 3 <> 0 as noticed
 from accounts a left join (select h.account, count(*) as p, sum({exact('h.shares * last_price')})
-    as v, sum(h.shares * round(m.b / nullif(g.shares, 0), 4)) as book
+    as v, sum(h.shares * round(m.b / nullif(g.shares, 0) + 1e-9, 4)) as book
   from holdings h join (select symbol, arg_max(close, trade_date) as last_price
     from bars group by 1) l on l.symbol = h.symbol
   left join ({LEDGER_FOLD}) g on g.account = h.account and g.symbol = h.symbol
@@ -453,12 +453,13 @@ def report_document(spark, sf):
     """Every section of the documents, read back from their text."""
     cash, costed = T.accounts(spark, sf), _costed(spark, sf)
     nav, metrics = _nav_metrics(spark, sf)
+    ledger = P.position_ledger(costed, "total_cost").withColumn(
+        "avg_cost", F.col("avg_cost") + 1e-9)  # as in position_ledger
     positions = M.position_report(T.holdings(spark, sf), T.bars(spark, sf), cash)
     state = cash.select("account", F.when(F.col("account") % 3 == 0, "ACTIVE").otherwise("HOLD")
                         .alias("state"))
     docs = D.report_document(
-        positions, costed, cash, state, ledger=P.position_ledger(costed, "total_cost"),
-        nav=nav.where("nav is not null").select("account", "trade_date", "nav"), metrics=metrics)
+        positions, costed, cash, state, ledger=ledger, nav=nav.where("nav is not null").select("account", "trade_date", "nav"), metrics=metrics)
     figures = ("total_return", "max_drawdown", "win_rate", "turnover")
     body = F.from_json("document", (
         "portfolio struct<total_assets double, positions array<struct<shares bigint, "
