@@ -196,7 +196,7 @@ def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col:
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = line_rows(docs, least)
-    distinct = rows.groupBy("h").agg(F.min(F.struct("id", "c", "at", "g", "line")).alias("m"))
+    distinct = rows.groupBy("h").agg(F.min(F.struct("id", "c", "at", "line")).alias("m"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,9 +230,13 @@ def repeated_lines(docs: DataFrame, *, edits: int = 2, least: int = 24, id_col:
             [pa.array(later_lines(group, edits), pa.int64())], names=["h"])
 
     near = met.mapInArrow(confirm, "h long").distinct().withColumn("near", F.lit(True))
-    marked = distinct.select("h", F.struct("m.id", "m.c", "m.at", "m.g").alias("m")).join(near, "h", "left").withColumnRenamed("h", "fh")
+    marked = distinct.select("h", F.struct("m.id", "m.c", "m.at", F.xxhash64(
+        F.lit(1), "m.line").alias("g")).alias("m")).join(near, "h", "left").withColumnRenamed(
+        "h", "fh")
+    # Both sides are dealt by h alone: the other hash is no key of the join.
+    same = F.col("g").bitwiseXOR(F.col("m.g")) == 0
     found = rows.select("id", "c", "at", "h", "g").join(
-        marked, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("m.g")))
+        marked, (F.col("h") == F.col("fh")) & same)
     is_first = (F.col("id").eqNullSafe(F.col("m.id")) & (F.col("c") == F.col("m.c"))
                 & (F.col("at") == F.col("m.at")))
     kind = F.when(~is_first, F.lit("exact")).when(F.col("near"), F.lit("near"))
