@@ -305,9 +305,12 @@ def leak_checks(matrix: DataFrame, pairs: DataFrame, split: DataFrame, panel: Da
 
 
 def small_row(split: DataFrame) -> DataFrame:
-    """Broadcast hint for the one row of a split."""
-    return F.broadcast(split.select("train_end", "validation_start", "validation_end",
-                                    "test_start").limit(1))
+    """Broadcast hint for the one row of a split; several rows are an error."""
+    names = ("train_end", "validation_start", "validation_end", "test_start")
+    row = F.when(F.count("*") == 1, F.first(F.struct(*names))).otherwise(
+        F.raise_error(F.lit("a split is one row")).cast(split.select(F.struct(*names)).schema[
+            0].dataType))
+    return F.broadcast(split.agg(row.alias("s")).select("s.*"))
 
 
 def audit_leaks(bars: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS,

@@ -101,7 +101,7 @@ def implied_vwap_check(bars: DataFrame) -> DataFrame:
 
 def closed_day_bars(bars: DataFrame, open_days: DataFrame, lifecycles: DataFrame) -> DataFrame:
     """Bars on closed days or outside the listed life of their security."""
-    opened = open_days.select("trade_date", F.lit(True).alias("_open"))
+    opened = open_days.select("trade_date").distinct().withColumn("_open", F.lit(True))
     judged = (bars.select("symbol", "trade_date")
               .join(opened, "trade_date", "left").join(lifecycles, "symbol", "left"))
     code = X.reason(

@@ -43,9 +43,9 @@ def _matrix(spark, sf):
     return G.training_matrix(bars, index, cutoff)
 
 
-def _rounded(df):
-    return df.select(*[F.round(c, 6).alias(c) if c in X.FEATURE_NAMES or c in (
-        "label_1", "label_3", "label_5") else c for c in df.columns])
+def _rounded(df, labels=True):
+    names = {*X.FEATURE_NAMES, *(("label_1", "label_3", "label_5") if labels else ())}
+    return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
 
 
 @query("training_matrix", _matrix_sql())
@@ -184,6 +184,29 @@ def validation_pairs(spark, sf):
                         F.round("label", 6).alias("label"), "label_end")
 
 
+SCORED_PAIRS = """
+select f.symbol, f.trade_date, f.score, l.label
+from (select symbol, trade_date, round(sum(f) / 3, 9) as score from boosted
+    join binned using (id) where id > 0 group by all) f
+join labels_h l on l.symbol = f.symbol and l.trade_date = f.trade_date and l.horizon = 5
+join sessions s on s.trade_date = f.trade_date, split p
+where f.trade_date between p.validation_start and p.validation_end and l.label_end < p.test_start
+  and s.idx + 5 < (select idx from sessions where trade_date = p.test_start)"""
+
+
+@query("model_rank_ic", boosting_sql(G.MODEL_SETTINGS["maxIter"]) + f"""
+select trade_date, pairs, round(ic, 6) + 0.0 as ic from ({IC.replace(PAIRS, SCORED_PAIRS)})""")
+def model_rank_ic(spark, sf):
+    """How well the fitted models rank the symbols on each validation date."""
+    bars = T.bars(spark, sf)
+    models = G.fit_multi_horizon(_rounded(_matrix(spark, sf)))
+    panel = _rounded(X.panel_with_labels(bars, (G.VALIDATION_HORIZON,)), labels=False)
+    scored = G.score_panel(panel, models).withColumn("score", F.round("score", 9))
+    pairs = G.validation_pairs(scored, C.calendar_index(C.sessions(bars)))
+    return R.rank_ic_by_date(pairs.select("symbol", "trade_date", "score", "label")).withColumn(
+        "ic", F.round("ic", 6))
+
+
 def _importance_sql() -> str:
     ranks = " union all ".join(
         f"select '{n}' as name, row_number() over (order by {n}, symbol) as rx, "
