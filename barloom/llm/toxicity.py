@@ -47,6 +47,9 @@ _LOWER[65:91] += 32
 _KEEP = np.where(_BYTE == 1, _LOWER, 32).astype(np.uint8)
 
 
+_KNOWN = 64  # longest disguise whose reading is remembered
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Character trigrams of all texts, as an array [27, 27, 27]; 0 is any non-letter.
 
@@ -81,13 +84,21 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(axis=2, keepdims=True))
 
 
+def spelled(chain: tuple | None) -> str:
+    parts = []
+    while chain is not None:
+        chain, letters = chain
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
 @dataclass
 class Restorer:
     """Restores disguised words by the likeliest path through a lattice of letters.
 
     A symbol may stand for its letters, or for a separator that is left out (at no cost if it is an
     exclamation mark at the end); a gap between single letters is left out; a run of three or more
-    equal letters stands for one or two. Each reading has a channel cost; the trigram model scores
+    equal letters stands for one or two. A disguise of any length is read as one lattice. Each reading has a channel cost; the trigram model scores
     the letters.
     """
 
@@ -118,10 +129,12 @@ class Restorer:
         """The best reading of one word; letters outside a to z stay as they are."""
         if (got := self.known.get(word)) is not None:
             return got
-        paths = {(0, 0): (0.0, "")}
+        # A path is its score and the chain of its readings, last first: steps cost the same
+        # however long the word is.
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in self.lattice(word):
-            reached: dict[tuple[int, int], tuple[float, str]] = {}
-            for (x, y), (score, text) in paths.items():
+            reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (x, y), (score, chain) in paths.items():
                 for letters, cost in options:
                     p, q, total = x, y, score + cost
                     for c in letters:
@@ -130,23 +143,20 @@ class Restorer:
                         p, q = q, k
                     old = reached.get((p, q))
                     if old is None or total > old[0]:
-                        reached[p, q] = (total, text + letters)
+                        reached[p, q] = (total, (chain, letters))
             paths = reached
-        best = max(paths.items(), key=lambda item: (item[1][0] + self.model[item[0]][0],
-                                                    item[1][1]))[1][1]
-        if len(self.known) >= self.most:
-            self.known.clear()
-        self.known[word] = best
+        best = max((score + self.model[at][0], spelled(chain))
+                   for at, (score, chain) in paths.items())[1]
+        if len(word) <= _KNOWN:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[word] = best
         return best
 
     def restore(self, text: str) -> str:
-        return _DISGUISE.sub(lambda m: self.read(m[0]) if _HAS_LETTER(m[0]) else m[0],
+        return _DISGUISE.sub(lambda m: self.decode(m[0]) if _HAS_LETTER(m[0]) else m[0],
                              text.lower())
 
-    def read(self, word: str) -> str:
-        """A disguised word read in stretches, so that a very long one costs linear time."""
-        return "".join(self.decode(word[i:i + 64]) for i in range(0, len(word), 64))
-
 
 def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each character of UTF-8 bytes begins, its lower-case code, and its kind as in _BYTE."""

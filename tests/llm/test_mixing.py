@@ -1,8 +1,11 @@
 """Mixing: exact targets, taken words near them, no document above its bound."""
 
+import math
 from collections import defaultdict
 
-from barloom.llm.mixing import mix_sources
+from pyspark.sql import functions as F
+
+from barloom.llm.mixing import balanced, mix_sources, rate, source_targets
 
 
 def targets(sizes):
@@ -61,3 +64,24 @@ def test_nulls_empty_texts_repeats_and_empty_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken int")
     assert mix_sources(df.limit(0)).count() == 0
     assert mix_sources(df.where("text = ''")).count() == 2
+
+
+def test_rates_solve_the_entropy_problem(spark):
+    """Against a plain bisection of each source's multiplier: rates exp(tilt * size), 3 at most."""
+    rows = [(f"s{i % 3}", 1 + i * 53 % 70, 1 + i % 4) for i in range(90)]
+    cells = spark.createDataFrame(rows, "s string, size long, n long").groupBy("s", "size").agg(
+        F.sum("n").alias("n"))
+    state = balanced(cells, source_targets(cells, (1.0, 2.0, 3.0), 3), 3, 1e-12, 60)
+    found = cells.join(state, "s").select("s", "size", "n", "target", rate(3).alias("rate")).collect()
+    for source in {r["s"] for r in found}:
+        own = [r for r in found if r["s"] == source]
+
+        def tokens(tilt, own=own):
+            return sum(r["n"] * r["size"] * math.exp(min(math.log(3), tilt * r["size"])) for r in own)
+
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if tokens(middle) < own[0]["target"] else (low, middle)
+        for r in own:
+            assert abs(r["rate"] - math.exp(min(math.log(3), low * r["size"]))) < 1e-6

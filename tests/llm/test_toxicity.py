@@ -1,5 +1,8 @@
 """Toxicity: disguised words are restored, and held-out labels are found."""
 
+import itertools
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -27,6 +30,34 @@ def test_disguises_are_restored(spark):
     assert len(model.restore("a" * 50_000 + " b")) > 0
 
 
+def every_reading(model, word):
+    """The best of all readings of a lattice, one by one."""
+    best = None
+    for path in itertools.product(*model.lattice(word)):
+        text, score, p, q = "".join(o for o, _ in path), sum(c for _, c in path), 0, 0
+        for c in text:
+            k = ord(c) - 96 if "a" <= c <= "z" else 0
+            score, p, q = score + model.model[p, q, k], q, k
+        score += model.model[p, q, 0]
+        if best is None or (round(score, 9), text) > best:
+            best = (round(score, 9), text)
+    return best[1]
+
+
+def test_decoding_equals_all_readings(spark):
+    model, rng = restorer(spark), random.Random(1)
+    for _ in range(150):
+        word = "".join(rng.choice("idot1035$!.- aab") for _ in range(rng.randint(1, 9)))
+        assert model.decode(word) == every_reading(model, word), word
+
+
+def test_long_disguises_are_read_as_one(spark):
+    model = restorer(spark)
+    word = "1d10t.m0r0n." * 20  # ends of 64 characters fall inside words
+    assert model.decode(word) == "idiotmoron" * 20
+    assert model.known.get(word) is None
+
+
 def test_every_form_of_disguise_is_marked_and_restored(spark):
     model = restorer(spark, TEXT + "such shit such an ass " * 20)
     for written, meant in (
