@@ -41,3 +41,17 @@ def test_calendar_gaps_and_last_open(spark):
 def test_index_counts_from_zero(spark):
     days = spark.createDataFrame([(d(t),) for t in SESSIONS[::-1] + SESSIONS], "trade_date date")
     assert rows(C.calendar_index(days)) == [(d(t), i) for i, t in enumerate(SESSIONS)]
+
+
+def test_stage_health(spark):
+    rated = spark.createDataFrame([("a", ["DATA_STALE"]), ("b", []), ("c", ["DATA_STALE", "A"])],
+                                  "name string, reason_codes array<string>")
+    times, digest = ("2026-01-05T09:00:00Z", "2026-01-05T09:01:00+00:00"), "0" * 64
+    row = C.stage_health(rated, "r", *times, digest).first()
+    assert (row.status, row.reason_codes, row.finished_at) == (
+        "fail", ["A", "DATA_STALE"], "2026-01-05T09:01:00Z")
+    assert C.stage_health(rated.where("name = 'b'"), "r", *times, digest).first().status == "pass"
+    for bad in (("", *times, digest), ("r", *times, "0"), ("r", *times[::-1], digest),
+                ("r", times[0], "2026-01-05T09:01:00+08:00", digest)):
+        with pytest.raises(ValueError):
+            C.stage_health(rated, *bad)
