@@ -26,7 +26,7 @@ ENVELOPES = _fields(sequence=LONG, api_name=STRING, code=INT,
                     fields=T.ArrayType(STRING), items=T.ArrayType(T.ArrayType(STRING)))
 #: One row per file of a published dataset; what holds for the whole dataset is on every row.
 MANIFEST = _fields(
-    dataset_id=STRING, run=STRING, dataset_family=STRING, normalization_version=STRING,
+    dataset_id=STRING, file_count=LONG, dataset_family=STRING, normalization_version=STRING,
     as_of=DATE, source=STRING, source_version=STRING, generated_at=STRING, fingerprint=STRING,
     path=STRING, file_size=LONG, row_count=LONG, min_trade_date=DATE, max_trade_date=DATE,
-    s0=LONG, s1=LONG, s2=LONG, s3=LONG)
+    s0=LONG, s1=LONG, s2=LONG, s3=LONG, run=STRING)

@@ -1,9 +1,9 @@
 """Immutable published datasets: staged publishing, digests per file, verification.
 
 Layout under a root: ``datasets/<run>/year=.../`` holds the files of one run of a publisher,
-``manifests/<dataset id>/`` one row per file, written last. No folder is renamed or replaced, so
-publishers that run at once cannot damage each other: each commits its own manifest to its own
-files, and readers take the run of least name.
+``manifests/<dataset id>/run=<run>/`` one row per file, written last. No folder is renamed, replaced
+or written by two, so publishers that run at once cannot damage each other: each commits its own
+manifest to its own files, and readers take the run of least name whose manifest is complete.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def publish_dataset(bars: DataFrame, root: str, *, as_of: str, source: str, sour
     dataset_id = f"dataset-sha256-{head.fingerprint}"
     refused = ("an empty dataset may not be published" if not total.row_count else
                "data reach past the as-of date" if str(total.max_trade_date) > as_of else None)
-    if refused or is_published(spark, root, dataset_id):
+    if refused or published_run(spark, root, dataset_id):
         keyed.limit(0).write.mode("overwrite").parquet(path)
         if refused:
             raise DatasetError(refused)
@@ -127,31 +127,34 @@ def publish_dataset(bars: DataFrame, root: str, *, as_of: str, source: str, sour
             tables[name] = (spark.read.schema(table.schema).parquet(place), table.columns)
         auxiliary_index(tables, dataset_id).write.mode("errorifexists").parquet(
             f"{root}/evidence/{dataset_id}/{run}/index")
-    whole = {"dataset_id": dataset_id, "run": run, "dataset_family": dataset_family,
+    whole = {"dataset_id": dataset_id, "file_count": stats.count(), "dataset_family": dataset_family,
              "normalization_version": normalization_version, "as_of": as_of, "source": source,
              "source_version": source_version, "generated_at": generated_at,
              "fingerprint": head.fingerprint}
     manifest = stats.select(*[
         (F.lit(whole[f.name]) if f.name in whole else F.col(f.name)).cast(f.dataType).alias(f.name)
-        for f in MANIFEST])
-    manifest.write.mode("append").parquet(f"{root}/manifests/{dataset_id}")
+        for f in MANIFEST if f.name != "run"])
+    manifest.write.mode("errorifexists").parquet(f"{root}/manifests/{dataset_id}/run={run}")
     return dataset_id
 
 
-def is_published(spark: SparkSession, root: str, dataset_id: str) -> bool:
+def published_run(spark: SparkSession, root: str, dataset_id: str) -> str | None:
+    """The run of least name whose manifest holds all its rows; none if there is none."""
     try:
-        return bool(spark.read.schema(MANIFEST).parquet(
-            f"{root}/manifests/{dataset_id}").take(1))
+        every = spark.read.schema(MANIFEST).parquet(f"{root}/manifests/{dataset_id}")
     except AnalysisException:  # no such folder
-        return False
+        return None
+    runs = every.groupBy("run").agg(F.count("*").alias("n"), F.max("file_count").alias("of"))
+    return runs.where("n = of").agg(F.min("run")).first()[0]
 
 
 def read_manifest(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    """One row per file, of the run of least name if several published the same content."""
-    if not is_published(spark, root, dataset_id):
+    """One row per file, of one run if several published the same content."""
+    run = published_run(spark, root, dataset_id)
+    if run is None:
         raise DatasetError(f"{dataset_id} is not published")
     every = spark.read.schema(MANIFEST).parquet(f"{root}/manifests/{dataset_id}")
-    return every.where(F.col("run") == every.agg(F.min("run")).first()[0])
+    return every.where(F.col("run") == run)
 
 
 def load_dataset(spark: SparkSession, root: str, dataset_id: str,
