@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+PIECES = 1024  # of a batch that leaves a task: 4 MB of ids at a capacity of 1024
+
 
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit values.
@@ -157,7 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, ranks: str | None = None,
                 if held >= block_tokens:
                     flush()
                     held = 0
-                if len(out) >= 8192:
+                if len(out) >= PIECES:
                     yield batch_of()
         if block:
             flush()
