@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,37 +62,38 @@ def spelt(text: str, symbols: dict[str, int]) -> np.ndarray:
 
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
     """The suffix automaton of a text of symbols as a table [state, symbol] of states, -1 where
-    there is none."""
-    rows = [[-1] * width]
+    there is none. It has at most twice as many states as symbols."""
+    blank = array("i", [-1]) * width
+    table = array("i", blank)
     link, length, last = [-1], [0], 0
     for symbol in text.tolist():
-        existing = rows[last][symbol]
+        existing = table[last * width + symbol]
         if existing >= 0 and length[existing] == length[last] + 1:
             last = existing
             continue
-        cur = len(rows)
-        rows.append([-1] * width)
+        cur = len(length)
+        table.extend(blank)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and rows[p][symbol] < 0:
-            rows[p][symbol] = cur
+        while p >= 0 and table[p * width + symbol] < 0:
+            table[p * width + symbol] = cur
             p = link[p]
         if p >= 0:
-            q = rows[p][symbol]
+            q = table[p * width + symbol]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone = len(rows)
-                rows.append(rows[q][:])
+                clone = len(length)
+                table.extend(table[q * width:(q + 1) * width])
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and rows[p][symbol] == q:
-                    rows[p][symbol] = clone
+                while p >= 0 and table[p * width + symbol] == q:
+                    table[p * width + symbol] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return np.array(rows, np.int32)
+    return np.frombuffer(table, np.int32).reshape(-1, width)
 
 
 @dataclass
@@ -139,30 +141,36 @@ class LanguageModel:
         for i, text in enumerate(folded.values()):
             known = [k for k in folded if rest[k] and len(folded[k]) > len(text)]
             if known:
-                little = cls._of({k: folded[k][:len(text)] for k in known}, symbols)
-                probes = [rest[k] for k in known]
+                # One language at a time, so that the driver holds one small table beside the model.
+                less = sum(cls._of({k: folded[k][:len(text)]}, symbols).phrases([rest[k]])[0, 0]
+                           for k in known)
                 own = [model.languages.index(k) for k in known]
-                whole = model.phrases(probes)[np.arange(len(known)), own]
-                model.factors[i] = whole.sum() / np.diag(little.phrases(probes)).sum()
+                whole = model.phrases([rest[k] for k in known])[np.arange(len(known)), own]
+                model.factors[i] = whole.sum() / less
         return model
 
     @classmethod
     def _of(cls, folded: dict[str, str], symbols: dict[str, int]) -> LanguageModel:
         width = len(_DIGITS) + len(symbols)
-        tables, roots, base = [], [], 0
-        for text in folded.values():
-            table = automaton(spelt(text, symbols), width)
-            root, dead = table[0], len(table)  # ``dead`` follows a symbol the text lacks
-            start = np.where(root >= 0, root, dead)
-            missing = table < 0
-            after = np.vstack([np.where(missing, start[None, :], table), start])
-            ended = np.vstack([missing, np.ones(width, bool)])
-            ended[0] = False  # no phrase ends before the first symbol
-            tables.append(2 * (after + base) + ended)
+        coded = [spelt(text, symbols) for text in folded.values()]
+        # The tables are laid into one array of the most states there can be; what stays unused is
+        # never touched and takes no memory.
+        steps = np.empty((sum(2 * len(text) + 2 for text in coded), width), np.int32)
+        roots, base = [], 0
+        for text in coded:
+            table = automaton(text, width)
+            dead = len(table)  # follows a symbol the text lacks
+            missing, own = table < 0, steps[base:base + dead + 1]
+            own[dead] = np.where(table[0] >= 0, table[0], dead)
+            own[:dead] = np.where(missing, own[dead], table)
+            missing[0] = False  # no phrase ends before the first symbol
+            own += base
+            own *= 2
+            own[:dead] += missing
+            own[dead] += 1
             roots.append(base)
-            base += len(after)
-        steps = np.concatenate(tables).ravel() if tables else np.zeros(0)
-        return cls(list(folded), symbols, steps.astype(np.int32), np.array(roots, np.int64), width,
+            base += dead + 1
+        return cls(list(folded), symbols, steps[:base].ravel(), np.array(roots, np.int64), width,
                    np.ones(len(folded)))
 
     def phrases(self, texts: list[str]) -> np.ndarray:

@@ -30,7 +30,9 @@ def segment_keys(lines: list[str], edits: int):
     are within ``edits``, the longer holds a segment of the shorter close to its place: for a
     length less by d and segment i (from 0) at p, from max(p - i, p + d - (edits - i)) to
     min(p + i, p + d + (edits - i)). Keys hash length, segment number and text. ``own`` marks a
-    line's own segments, which also serve as its probes at the same place.
+    line's own segments, which also serve as its probes at the same place. Of a key the upper 40
+    bits are kept: zeros beside the head of a row take no room when it is shuffled, and lines that
+    meet by chance are told apart where they are compared.
     """
     lengths = np.array([len(x) for x in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -46,7 +48,7 @@ def segment_keys(lines: list[str], edits: int):
         text = (total[a + size] - total[a]) * inverse[a]
         key = mix(mix(text, 21) + (length * (edits + 1) + segment).astype(np.uint64), 22)
         found[0].append(who)
-        found[1].append(key)
+        found[1].append(key & ~np.uint64(0xFFFFFF))
         found[2].append(np.full(len(who), own))
 
     for d in range(edits + 1):
