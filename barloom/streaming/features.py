@@ -21,21 +21,34 @@ OUTPUT = ("symbol string, trade_date date, late boolean, "
 
 def trailing_features(history: pd.DataFrame) -> pd.DataFrame:
     """The nine features over date-ordered bars of one symbol."""
-    close, volume, amount = history["close"], history["volume"], history["amount"]
-    out = pd.DataFrame({f"ret_{n}d": close / close.shift(n) - 1 for n in (1, 5, 10, 20)})
-    for n in (5, 20):
-        mean = volume.rolling(n).mean()
-        out[f"vol_ratio_{n}d"] = np.where(mean > 0, volume / mean.where(mean > 0, 1.0), 1.0)
-    windows = np.lib.stride_tricks.sliding_window_view(amount.to_numpy(), 20)
-    pad = np.full(19, np.nan)
-    mean = np.concatenate([pad, windows.mean(axis=1)])
-    std = np.concatenate([pad, windows.std(axis=1)])
-    out["amount_z_20d"] = np.where(std > 0, (amount - mean) / np.where(std > 0, std, 1.0), 0.0)
-    high, low = history["high"].rolling(20).max(), history["low"].rolling(20).min()
-    span = high - low
-    out["close_to_high_20d"] = close / high
-    out["range_position_20d"] = np.where(span > 0, (close - low) / span.where(span > 0, 1.0), 0.5)
-    return out[list(FEATURE_NAMES)]
+    values = feature_arrays(*[history[c].to_numpy(float) for c in FIELDS[1:]])
+    return pd.DataFrame({n: values[n] for n in FEATURE_NAMES})
+
+
+def feature_arrays(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray,
+                   amount: np.ndarray) -> dict[str, np.ndarray]:
+    """The nine features as arrays; null where a bar has too few before it."""
+    def trailing(x: np.ndarray, n: int, of) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        if len(x) >= n:
+            out[n - 1:] = of(np.lib.stride_tricks.sliding_window_view(x, n), axis=1)
+        return out
+
+    out = {}
+    with np.errstate(all="ignore"):
+        for n in (1, 5, 10, 20):
+            out[f"ret_{n}d"] = np.full(len(close), np.nan)
+            out[f"ret_{n}d"][n:] = close[n:] / close[:-n] - 1
+        for n in (5, 20):
+            mean = trailing(volume, n, np.mean)
+            out[f"vol_ratio_{n}d"] = np.where(mean > 0, volume / mean, 1.0)
+        mean, std = trailing(amount, 20, np.mean), trailing(amount, 20, np.std)
+        out["amount_z_20d"] = np.where(std > 0, (amount - mean) / std, 0.0)
+        top, bottom = trailing(high, 20, np.max), trailing(low, 20, np.min)
+        span = top - bottom
+        out["close_to_high_20d"] = close / top
+        out["range_position_20d"] = np.where(span > 0, (close - bottom) / span, 0.5)
+    return out
 
 
 class TrailingFeatures(StatefulProcessor):
@@ -45,9 +58,19 @@ class TrailingFeatures(StatefulProcessor):
         self.recent = handle.getListState("recent", BAR_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        symbol = key[0]
-        incoming = pd.concat(list(rows)).sort_values("trade_date", kind="stable")
-        kept = pd.DataFrame(list(self.recent.get()), columns=FIELDS)
+        symbol, parts = key[0], list(rows)
+        incoming = parts[0] if len(parts) == 1 else pd.concat(parts)
+        state = list(self.recent.get())
+        days = incoming["trade_date"].to_numpy()
+        if not pd.isna(days).any():
+            order = np.argsort(days, kind="stable")
+            days = days[order]
+            if (days[1:] > days[:-1]).all() and not (state and days[0] <= max(
+                    r[0] for r in state)):
+                yield from self.append(symbol, incoming, order, days, state)
+                return
+        incoming = incoming.sort_values("trade_date", kind="stable")
+        kept = pd.DataFrame(state, columns=FIELDS)
         if len(kept):
             newest = kept["trade_date"].max()
             is_late = (incoming["trade_date"] <= newest) | incoming.duplicated("trade_date")
@@ -72,6 +95,20 @@ class TrailingFeatures(StatefulProcessor):
             out.insert(0, "symbol", symbol)
             yield out
 
+    def append(self, symbol, incoming: pd.DataFrame, order: np.ndarray, days: np.ndarray, state):
+        """Bars that are all newer than those kept, as arrays."""
+        before = list(zip(*state, strict=True)) if state else [()] * len(FIELDS)
+        days = np.concatenate([np.array(before[0], dtype=object), days])
+        columns = [np.concatenate([np.array(old, float), incoming[c].to_numpy(float)[order]])
+                   for c, old in zip(FIELDS[1:], before[1:], strict=True)]
+        last = 1 - MIN_OBSERVATIONS
+        self.recent.put(list(zip(days[last:], *[c[last:].tolist() for c in columns], strict=True)))
+        start = max(len(state), MIN_OBSERVATIONS - 1)
+        if len(days) > start:
+            values = feature_arrays(*columns)
+            yield pd.DataFrame({"symbol": symbol, "trade_date": days[start:], "late": False,
+                                **{n: values[n][start:] for n in FEATURE_NAMES}})
+
     def close(self) -> None:
         pass
 
