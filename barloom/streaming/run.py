@@ -11,17 +11,25 @@ from ..session import fresh_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def state_partitions(table: DataFrame) -> int:
+    """Two for each part that Spark reads of a stored table, one for each core at least, so that
+    the state in one task does not grow with the table."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, 2 * table.rdd.getNumPartitions())
+
+
 def streaming_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A sibling session with settings for stateful streams; the caller's stay as they are.
 
     The number of state partitions is fixed for the life of a checkpoint, so it is set
-    here and not left to adaptive execution. State lives in RocksDB, off the heap.
+    here and not left to adaptive execution. State lives in RocksDB, off the heap, and its rows
+    are not counted, which would read each key before it is written.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.shuffle.partitions",
                      str(partitions or spark.sparkContext.defaultParallelism))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     return session
 
 

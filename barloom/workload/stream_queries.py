@@ -38,7 +38,7 @@ def _stored_stream(spark, session, df, label):
 @query("stream_bars", """
 select * from bars""")
 def stream_bars(spark, sf):
-    session = Z.streaming_session(spark)
+    session = Z.streaming_session(spark, Z.state_partitions(T.table(spark, sf, "lineitem")))
     ticks = _ticks(Z.stream_table(session, sf, "lineitem.parquet"))
     closing = _stored_stream(
         spark, session, Z.closing_tick(_ticks(T.table(session, sf, "lineitem"))), "closing-tick")
@@ -56,7 +56,7 @@ from ({LATE_BARS})""")
 def stream_bars_late(spark, sf):
     """Ticks arrive in parts by date, in runs of one stream that stops and goes on; every seventh
     order of the first part comes with the third, when its bars are out, and is dropped."""
-    session = Z.streaming_session(spark)
+    session = Z.streaming_session(spark, Z.state_partitions(T.table(spark, sf, "lineitem")))
     ticks = T.table(session, sf, "lineitem")
     day, first = F.col("l_shipdate").cast("date"), F.lit(PARTS[0]).cast("date")
     late = (F.col("l_orderkey") % 7 == 0) & (day < first)
