@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,9 @@ _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
 _DIGITS = "0123456789abcdef"
+# Texts parsed at a time; with at most so many (text, language) pairs a step of numpy
+# costs more than what it computes.
+AT_ONCE, FEW = 1000, 64
 
 
 def sizes_of(text: str, symbols: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +104,17 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
 class LanguageModel:
     """One table of all languages: from a state and a symbol to the next state, with a flag.
 
-    ``steps[state * width + symbol]`` is ``2 * next + ended``; ``ended`` is 1 where no longer match
-    exists, so that a phrase ends and the next one begins with this symbol.
+    A state is where its row begins, and a row has one column for each symbol of its language and
+    one for all others: ``steps[state + columns[language, symbol]]`` is ``2 * next + ended``;
+    ``ended`` is 1 where no longer match exists, so that a phrase ends and the next one begins with
+    this symbol.
     """
 
     languages: list[str]
     symbols: dict[str, int]
     steps: np.ndarray
     roots: np.ndarray
-    width: int
+    columns: np.ndarray
 
     factors: np.ndarray
 
@@ -151,32 +157,40 @@ class LanguageModel:
 
     @classmethod
     def _of(cls, folded: dict[str, str], symbols: dict[str, int]) -> LanguageModel:
-        width = len(_DIGITS) + len(symbols)
         coded = [spelt(text, symbols) for text in folded.values()]
+        columns = np.empty((len(coded), len(_DIGITS) + len(symbols)), np.uint8)
+        widths = []
+        for own, text in zip(columns, coded, strict=True):
+            present = np.unique(text)
+            own[:] = len(present)
+            own[present] = np.arange(len(present))
+            widths.append(len(present) + 1)
         # The tables are laid into one array of the most states there can be; what stays unused is
         # never touched and takes no memory.
-        steps = np.empty((sum(2 * len(text) + 2 for text in coded), width), np.int32)
+        steps = np.empty(sum(w * (2 * len(t) + 2) for w, t in zip(widths, coded)), np.int32)
         roots, base = [], 0
-        for text in coded:
-            table = automaton(text, width)
+        for symbol, text, width in zip(columns, coded, widths, strict=True):
+            table = automaton(symbol[text], width)
             dead = len(table)  # follows a symbol the text lacks
-            missing, own = table < 0, steps[base:base + dead + 1]
+            end = base + (dead + 1) * width
+            missing, own = table < 0, steps[base:end].reshape(-1, width)
             own[dead] = np.where(table[0] >= 0, table[0], dead)
             own[:dead] = np.where(missing, own[dead], table)
             missing[0] = False  # no phrase ends before the first symbol
+            own *= width
             own += base
             own *= 2
             own[:dead] += missing
             own[dead] += 1
             roots.append(base)
-            base += dead + 1
-        return cls(list(folded), symbols, steps[:base].ravel(), np.array(roots, np.int64), width,
+            base = end
+        return cls(list(folded), symbols, steps[:base], np.array(roots, np.int64), columns,
                    np.ones(len(folded)))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each text needs against each language, of folded texts.
 
-        All texts advance together, one symbol at a time, longest first.
+        All texts advance together, one symbol at a time, longest first; the last few go on alone.
         """
         # Longest first; a text takes as many symbols as its characters are spelt with.
         sizes = [int(sizes_of(t, self.symbols)[2].sum(dtype=np.int64)) for t in texts]
@@ -189,13 +203,23 @@ class LanguageModel:
         count = len(self.languages)
         states = np.tile(self.roots.astype(np.int32), (len(texts), 1))
         ended = np.zeros((len(texts), count), np.int32)
-        for at in range(longest):
+        columns, at = self.columns.T.copy(), 0
+        while at < longest and alive[at] * count > FEW:
             n = alive[at]
-            index = states[:n] * self.width
-            index += codes[begins[:n] + at][:, None]
-            step = self.steps[index]
+            step = self.steps[states[:n] + columns[codes[begins[:n] + at]]]
             ended[:n] += step & 1
             np.right_shift(step, 1, out=states[:n])
+            at += 1
+        steps = memoryview(self.steps)
+        for i in range(alive[at] if at < longest else 0):
+            left = codes[begins[i] + at:begins[i] + lengths[i]]
+            for k in range(count):
+                state, more = int(states[i, k]), 0
+                for column in self.columns[k][left].tobytes():
+                    step = steps[state + column]
+                    more += step & 1
+                    state = step >> 1
+                ended[i, k] += more
         out = np.zeros((len(texts), count), np.int64)
         out[order] = ended + (lengths > 0)[:, None]
         return out
@@ -251,21 +275,23 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
     rows get equal results; an empty table gives no rows; the columns of ``docs`` stay inside
     ``doc``, so their names cannot clash.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
-                       docs[text_col].alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     schema = T.StructType([rows.schema["doc"], T.StructField(lang_out, T.StringType()),
                            T.StructField(score_out, T.DoubleType())])
+    text_at = next(i for same in (str, str.lower) for i, c in enumerate(docs.columns)
+                   if same(c) == same(text_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a in range(0, len(texts), 1000):
-                names, scores = held.predict(texts[a:a + 1000])
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = batch["doc"].slice(a, AT_ONCE)
+                # The text goes to Python once, inside its row; no list of a whole batch is held.
+                names, scores = held.predict(pc.struct_field(part, text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc"].slice(a, 1000), pa.array(names, pa.string()),
-                     pa.array(scores)], names=["doc", lang_out, score_out])
+                    [part, pa.array(names, pa.string()), pa.array(scores)],
+                    names=["doc", lang_out, score_out])
 
     return rows.mapInArrow(run, schema)
 
