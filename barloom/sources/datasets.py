@@ -22,7 +22,7 @@ PRIMARY_KEY = ("symbol", "trade_date")
 # A sha256 is cut into four parts of 15 hex digits, each below 2**60.
 PARTS = (1, 16, 31, 46)
 PART_DIGITS = 15
-MODULUS = 2 ** 60
+MODULUS, LIMB = 2 ** 60, 20
 SUMS = ("s0", "s1", "s2", "s3")
 STORED = T.StructType([*BARS.fields, T.StructField("year", T.IntegerType())])
 
@@ -31,18 +31,29 @@ class DatasetError(ValueError):
     """Raised when a dataset may not be published or does not verify."""
 
 
-def _row_hash(columns: Sequence[Column | str]) -> Column:
-    return F.sha2(F.concat_ws("|", *columns), 256)
+def _with_parts(df: DataFrame, columns: Sequence[Column | str], *keep: Column | str) -> DataFrame:
+    """``keep`` and the parts of each row's hash as whole numbers, computed once a row."""
+    hashed = df.select(*keep, F.sha2(F.concat_ws("|", *columns), 256).alias("_hash"))
+    kept = hashed.columns[:-1]
+    return hashed.select(*kept, *[
+        F.conv(F.substring("_hash", start, PART_DIGITS), 16, 10).cast("bigint").alias(f"_{s}")
+        for s, start in zip(SUMS, PARTS, strict=True)])
 
 
-def fingerprint_columns(row_hash: Column) -> list[Column]:
+def fingerprint_columns() -> list[Column]:
     """Order-free digest of a multiset of rows: the row count and, per part of the row
-    hashes, their sum. Sums combine on the map side, so no rows are gathered or sorted."""
-    sums = []
-    for i, start in enumerate(PARTS):
-        part = F.conv(F.substring(row_hash, start, PART_DIGITS), 16, 10).cast("decimal(20,0)")
-        sums.append((F.sum(part) % MODULUS).cast("bigint").alias(f"s{i}"))
-    return [F.count("*").alias("row_count"), *sums]
+    hashes, their sum. Sums combine on the map side, so no rows are gathered or sorted.
+
+    A part of 60 bits is summed in three of 20 bits, which are whole numbers for up to 2**43 rows;
+    only what is summed up is a decimal.
+    """
+    def total(part: str, shift: int) -> Column:
+        bits = F.shiftright(f"_{part}", shift).bitwiseAND(F.lit(2 ** LIMB - 1))
+        return F.sum(bits).cast("decimal(38,0)") * F.lit(2 ** shift)
+
+    return [F.count("*").alias("row_count"), *[
+        ((total(s, 0) + total(s, LIMB) + total(s, 2 * LIMB)) % MODULUS).cast("bigint").alias(s)
+        for s in SUMS]]
 
 
 def dataset_fingerprint(df: DataFrame, columns: Sequence[Column | str],
@@ -52,7 +63,7 @@ def dataset_fingerprint(df: DataFrame, columns: Sequence[Column | str],
     Independent of row order, partitioning and run time; dependent on the identity fields
     and every listed column. Columns must have one text form (integers, dates, strings).
     """
-    return _named(df.agg(*fingerprint_columns(_row_hash(columns))), identity)
+    return _named(_with_parts(df, columns).agg(*fingerprint_columns()), identity)
 
 
 def _named(digest: DataFrame, identity: Mapping[str, str]) -> DataFrame:
@@ -79,8 +90,10 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
     """Size, rows, dates and digest of every stored file, in one pass over all of them."""
     stored = spark.read.schema(STORED).parquet(path)
     name = F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2))
-    return stored.groupBy(name.alias("path"), F.col("_metadata.file_size").alias("file_size")).agg(
-        *fingerprint_columns(_row_hash(bar_text_columns())),
+    rows = _with_parts(stored, bar_text_columns(), name.alias("path"),
+                       F.col("_metadata.file_size").alias("file_size"), "trade_date")
+    return rows.groupBy("path", "file_size").agg(
+        *fingerprint_columns(),
         F.min("trade_date").alias("min_trade_date"), F.max("trade_date").alias("max_trade_date"))
 
 
