@@ -8,6 +8,7 @@ from ..operators import calendars as C
 from ..operators import features as X
 from ..operators import model as G
 from ..operators import ranking as R
+from ..session import stored
 from . import fixtures as T
 from .boosting_sql import LEADS, SAFE, boosting_sql
 from .registry import query
@@ -36,6 +37,12 @@ def _matrix_sql() -> str:
     return _cut_sql(f"f.symbol, f.trade_date, {features}, {labels}", "train_end")
 
 
+def _kept_bars(spark, sf):
+    """Bars stored once, for queries that read them many times with other columns each time:
+    their plans share no shuffle, so every reading would build the bars from ticks again."""
+    return stored(T.bars(spark, sf), "model-bars")
+
+
 def _matrix(spark, sf):
     bars = T.bars(spark, sf)
     index = C.calendar_index(C.sessions(bars))
@@ -109,7 +116,7 @@ select check_id, 'pass' as status, 0::bigint as violations from (values
   ('validation_labels_outside_test'), ('feature_pit_truncation_invariant'),
   ('universe_fixed_audit_set_disclosed')) t(check_id)""")
 def leak_checks(spark, sf):
-    return G.audit_leaks(T.bars(spark, sf))
+    return G.audit_leaks(_kept_bars(spark, sf))
 
 
 @query("leak_checks_planted", f"""
@@ -130,7 +137,7 @@ from (
 def leak_checks_planted(spark, sf):
     """Tables with a leak for every check: a matrix up to the end of validation, pairs without
     their guard, a replay that lacks a day, a split in the wrong order."""
-    bars = T.bars(spark, sf)
+    bars = _kept_bars(spark, sf)
     index = C.calendar_index(C.sessions(bars))
     split = G.walk_forward_split(index)
     found = split.first()
@@ -236,7 +243,7 @@ group by 1, 2, 3""")
 def model_document(spark, sf):
     from ..operators.report import model_document as build
 
-    bars = T.bars(spark, sf)
+    bars = _kept_bars(spark, sf)
     panel = X.feature_panel(bars)
     scored = R.score_with(panel, F.col("ret_20d"))
     ranks = R.daily_rank(scored.select("symbol", "trade_date", "score"))
